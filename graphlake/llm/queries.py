@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, line_dedup, mixing, packing
+from . import common, line_dedup, mixing, packing, pii, spotsigs, topk, toxicity
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -14,6 +14,33 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(common.table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, pii.PATTERNS), F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.concat("base", "extra")).alias("spans")
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.fingerprint_edits(common.table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spotsigs.as_text(F.col("signature")).alias("fingerprint"),
+        spotsigs.as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     pieces = packing.tokenize(docs, *tokenizer_paths())
@@ -65,5 +92,16 @@ FROM (SELECT l.doc_id, l.i, l.line, coalesce(l.doc_id < k.keep, false) AS gone F
 GROUP BY doc_id
 """
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
-ORACLE_SQL = {"op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL}
+OP9_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op9_exact_top_k": op9_exact_top_k, "op2_best_fit_packing": op2_best_fit_packing, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
+ORACLE_SQL = {"op9_exact_top_k": OP9_SQL, "op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL}
