@@ -1,8 +1,8 @@
 """Toxicity from subword bags: character n-gram embeddings, averaged per stretch of words, into a linear softmax.
 
-Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled documents. A document is cut into
-stretches of a fixed number of words; each stretch is the mean of its n-gram vectors, and the document's score is the
-soft maximum of its stretches, so that a few toxic words count in a text of any length. As every unseen spelling is a
+Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled documents. A word is the mean of
+its n-gram vectors, and the document's logit is the soft maximum of its words', so that a few toxic words count in a
+text of any length. As every unseen spelling is a
 bag of n-grams too, it shares vectors with the words it resembles. For scoring, the two trained layers fold into one
 number per n-gram bucket, which is broadcast (its size is fixed by BUCKETS).
 """
@@ -10,6 +10,7 @@ number per n-gram bucket, which is broadcast (its size is fixed by BUCKETS).
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of labelled documents of each label that are fitted, at most.
-TRAIN_ROWS = 2_000
-BUCKETS, DIM, STRETCH = 1 << 18, 4, 3
+#: Labelled documents of label 0 and 1 that are fitted, at most.
+TRAIN_ROWS = (3_000, 1_000)
+BUCKETS, DIM = 1 << 18, 4
 GRAMS = (3, 4, 5, 6)
 #: Words of the sample that an n-gram must be part of to be fitted.
-MIN_WORDS = 4
+MIN_WORDS = 6
 THRESHOLD = 0.7
+#: How close the soft maximum is to the maximum.
+SHARPNESS = 2.0
 #: Characters of scored text that are in memory at once.
 CHUNK = 1 << 21
 _LETTERS = re.compile("[0-9A-Za-zÀ-῿⁰-⿿぀-\U0010ffff]+")
@@ -57,17 +60,17 @@ def _buckets(code: np.ndarray):
             yield np.where(inner, (x ^ (x >> np.uint32(13))) & np.uint32(BUCKETS - 1), np.uint32(BUCKETS))
 
 
-def _softmax_score(stretch_logits: np.ndarray, doc_of: np.ndarray, docs: int) -> np.ndarray:
-    """Soft maximum of each document's stretches; -inf where it has none."""
+def _soft_max(logits: np.ndarray, doc_of: np.ndarray, docs: int, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """Soft maximum of the logits of each document's words; -inf where it has none."""
     top = np.full(docs, -np.inf)
-    np.maximum.at(top, doc_of, stretch_logits)
-    total = np.bincount(doc_of, np.exp(stretch_logits - top[doc_of]), docs)
+    np.maximum.at(top, doc_of, logits)
+    total = np.bincount(doc_of, weight * np.exp(SHARPNESS * (logits - top[doc_of])), docs)
     with np.errstate(divide="ignore"):
-        return np.where(total > 0, top + np.log(np.maximum(total, 1e-300)), -np.inf)
+        return np.where(total > 0, top + np.log(np.maximum(total, 1e-300)) / SHARPNESS, -np.inf)
 
 
 class Model:
-    """`weights`: what each bucket adds to a stretch's sum (0 at BUCKETS); `bias`: of a stretch's mean; `shift`: of the score."""
+    """`weights`: what each bucket adds to a word's sum (0 at BUCKETS); `bias`: of a word's mean; `shift`: of the score."""
 
     def __init__(self, weights: np.ndarray, bias: float, shift: float = 0.0):
         self.weights, self.bias, self.shift = weights, bias, shift
@@ -88,23 +91,20 @@ class Model:
         code, begins = _code(texts)
         n_all = len(code) - max(GRAMS)
         letter = code != 0
-        first = np.zeros(n_all + 1, dtype=np.int64)  # words begun up to the next position: a separator goes with the word after it
-        first[: n_all + 1] = np.cumsum(np.concatenate([letter[:1], letter[1 : n_all + 1] & ~letter[:n_all]]))
-        word = first[1:] - 1
         doc = np.repeat(np.arange(len(texts)), np.diff(begins))
-        base = np.concatenate([[0], first[begins[1:-1]], [0]])[: len(texts)]
-        stretch = np.maximum(word - base[doc], 0) // STRETCH
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(stretch) != 0) | (np.diff(doc) != 0)]))
+        begun = letter[1 : n_all + 1] & ~letter[:n_all]  # at the separator before each word
+        begun[begins[:-1]] = True  # what stands before a document's first word is a bag without n-grams, or that word's own
+        edge = np.flatnonzero(begun)
         total, count = np.zeros(len(edge)), np.zeros(len(edge))
         for b in _buckets(code):
             total += np.add.reduceat(self.weights[b], edge, dtype=np.float64)
             count += np.add.reduceat((b != BUCKETS).astype(np.int32), edge)
         logits = np.where(count > 0, total / np.maximum(count, 1), 0.0) + self.bias
-        s = _softmax_score(logits, doc[edge], len(texts)) + self.shift
+        s = _soft_max(logits, doc[edge], len(texts)) + self.shift
         return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs: int = 60, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs: int = 80, seed: int = 7) -> Model:
     """Trains embeddings and softmax jointly by Adam over the whole sample; `prior`: share of label 1 outside of it.
 
     With no text, or one label only, the model is constant.
@@ -113,14 +113,13 @@ def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs
     if not len(labels) or labels.min() == labels.max():
         p = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
         return Model(np.zeros(BUCKETS + 1, np.float32), float(np.log(p / (1 - p))))
-    vocabulary: dict[str, int] = {}
-    words, stretch_of, doc_of = [], [], []
+    vocabulary: dict[str, int] = {"": 0}  # the empty word, which every document has
+    words, times, doc_of = [], [], []
     for d, text in enumerate(texts):
-        own = [vocabulary.setdefault(w, len(vocabulary)) for w in _LETTERS.findall(text.lower())] or [vocabulary.setdefault("", len(vocabulary))]
-        words.append(np.array(own, np.int32))
-        stretch_of.append(np.arange(len(own)) // STRETCH + len(doc_of))
-        doc_of.extend([d] * (-(-len(own) // STRETCH)))
-    words, stretch_of, doc_of = np.concatenate(words), np.concatenate(stretch_of), np.array(doc_of)
+        own = Counter(vocabulary.setdefault(w, len(vocabulary)) for w in _LETTERS.findall(text.lower()))
+        own[0] = 1
+        words.extend(own), times.extend(own.values()), doc_of.extend([d] * len(own))
+    words, times, doc_of = np.array(words, np.int32), np.array(times, np.float64), np.array(doc_of, np.int32)
     code, begins = _code(list(vocabulary))
     owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), np.diff(begins))
     pairs = [(b[ok].astype(np.int32), owner[ok]) for b in _buckets(code) for ok in [b != BUCKETS]]
@@ -130,8 +129,8 @@ def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs
     used = np.flatnonzero(often)
     count_of = np.bincount(owner, minlength=len(vocabulary))
     gram, owner = (np.cumsum(often) - 1).astype(np.int32)[gram[often[gram]]], owner[often[gram]]
-    n_words, n_stretch = len(vocabulary), len(doc_of)
-    count = np.maximum(np.bincount(stretch_of, count_of[words], n_stretch), 1)
+    n_words = len(vocabulary)
+    count = np.maximum(count_of, 1).astype(np.float32)[:, None]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -139,15 +138,16 @@ def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, w, bias)]
     sums = lambda at, values, n: np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
     for step in range(1, epochs + 1):
-        mean = sums(stretch_of, sums(owner, e[gram], n_words)[words], n_stretch) / count[:, None].astype(np.float32)
+        mean = sums(owner, e[gram], n_words) / count
         logits = mean @ w + bias
-        margin = (logits[:, 1] - logits[:, 0]).astype(np.float64)
-        score = _softmax_score(margin, doc_of, len(texts))
+        margin = (logits[:, 1] - logits[:, 0]).astype(np.float64)[words]
+        score = _soft_max(margin, doc_of, len(texts), times)
         p = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
-        g = ((p - labels) / len(texts))[doc_of] * np.exp(margin - score[doc_of])
+        g = ((p - labels) / len(texts))[doc_of] * times * np.exp(SHARPNESS * (margin - score[doc_of]))
+        g = np.bincount(words, g, n_words)
         two = np.stack([-g, g], axis=1).astype(np.float32)
-        g_mean = (two @ w.T) / count[:, None].astype(np.float32)
-        g_e = sums(gram, sums(words, g_mean[stretch_of], n_words)[owner], len(used))
+        g_mean = (two @ w.T) / count
+        g_e = sums(gram, g_mean[owner], len(used))
         for (m, v), x, grad, rate in zip(state, (e, w, bias), (g_e + 1e-7 * e, mean.T @ two, two.sum(0)), (0.15, 0.05, 0.1), strict=True):
             m *= 0.9
             m += 0.1 * grad
@@ -166,14 +166,14 @@ def held_out(doc_id) -> object:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3) == 1
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most `rows` texts of each label, chosen by a hash of the id, none of them held out."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+    """At most rows[label] texts of each label, chosen by a hash of the id, none of them held out."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_label"))
     chosen = None
     for value in (0, 1):
-        part = known.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+        part = known.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows[value])
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = docs.select("doc_id", common.text_or_empty().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # 2 * rows ids at most
+    found = docs.select("doc_id", common.text_or_empty().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # sum(rows) ids at most
     pdf = found.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).orderBy("_id").toPandas()
     return list(pdf["_text"]), pdf["_label"].to_numpy(dtype=np.float64)
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), th
     return src.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> Model:
     """Fits a model to labels of `docs` that are not held out."""
     texts, y = training_sample(docs, labels, label, rows)
     return fit(texts, y)
