@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, line_dedup, mixing, packing, pii, spotsigs, topk, toxicity
+from . import common, html_text, line_dedup, mixing, packing, pii, spotsigs, topk, toxicity
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -36,6 +36,11 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(common.table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -103,5 +108,5 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op9_exact_top_k": op9_exact_top_k, "op2_best_fit_packing": op2_best_fit_packing, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op8_html_extraction": op8_html_extraction, "op9_exact_top_k": op9_exact_top_k, "op2_best_fit_packing": op2_best_fit_packing, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
 ORACLE_SQL = {"op9_exact_top_k": OP9_SQL, "op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL}
