@@ -98,7 +98,13 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, rows: int, min_texts: in
     # a group of copies is one text: the rows of each are counted before terms are listed
     texts = held.join(entities.filter(F.col("_texts") >= max(1, min_texts - 1)), "entity").groupBy("entity", "_c", "_key").agg(F.count("*").alias("_rows"), F.min("_text").alias("_text"))
     both = texts.select("entity", "_c", "_rows", F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("entity", "_c", "term").agg(F.sum("_rows").alias("_ct"), F.count("*").alias("_n"))
-    both = common.cut(both.filter(F.col("_n") >= min_texts))
+    n = F.lit(float(max(rows, 1)))
+    information = -F.log2(F.col("_c") / n)
+    # a term is in as many rows of the corpus as in those found at least: most can't reach the threshold already
+    least = found.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("_least"))
+    most = F.log2(F.col("_ct") * n / (F.col("_c").cast("double") * F.col("_least")))
+    both = both.filter(F.col("_n") >= min_texts).join(least, "term").filter((information > 0) & (most >= generalise * information - 1e-9)).drop("_least")
+    both = common.cut(both)
     wanted = both.select("term").distinct()
     small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     words = docs.select(F.explode(terms_of(common.text_or_empty())).alias("term"))
@@ -106,8 +112,6 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, rows: int, min_texts: in
         counts = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_t"))
     else:
         counts = words.groupBy("term").agg(F.count("*").alias("_t")).join(wanted, "term", "left_semi")
-    n = F.lit(float(max(rows, 1)))
-    information = -F.log2(F.col("_c") / n)
     mutual = F.log2(F.col("_ct") * n / (F.col("_c").cast("double") * F.col("_t")))
     share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
     out = both.join(counts, "term").select("entity", "term", share.alias("share"))
