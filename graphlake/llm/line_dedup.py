@@ -10,7 +10,6 @@ bound (`max_bits`), beyond which it only lets more unrepeated lines through to t
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Bits of a filter for each document, and the bounds of a filter's size (at most 256 MB is broadcast).
 BITS_PER_DOC, MIN_BITS, MAX_BITS = 192, 1 << 20, 1 << 31
-SEGMENT_BITS = 1 << 20
 _LOWEST = -(1 << 63)
 
 
@@ -38,88 +36,33 @@ def line_keys(text: str | None) -> list[bytes | None]:
     return out
 
 
-def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return hashes & mask, (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & mask
+def _hash(keys) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(k) for k in keys if k is not None], dtype=np.uint64)
 
 
-def _partial_filters(bits: int):
-    """A task's once and twice filters as rows (segment, once, twice), compressed; absent segments are empty."""
-
-    def run(batches):
-        seen = []
-        for batch in batches:
-            for text in batch.column(0):
-                seen.extend(xxhash.xxh3_64_intdigest(k) for k in line_keys(text.as_py()) if k is not None)
-        hashes, counts = np.unique(np.array(seen, dtype=np.uint64), return_counts=True)
-        once, twice = (np.unique(np.concatenate(_bits(x, bits))) for x in (hashes, hashes[counts > 1]))
-        for segment in np.unique(once // np.uint64(SEGMENT_BITS)):
-            lo = segment * np.uint64(SEGMENT_BITS)
-            row = []
-            for positions in (once, twice):
-                a, b = np.searchsorted(positions, [lo, lo + np.uint64(SEGMENT_BITS)])
-                mask = np.zeros(SEGMENT_BITS, dtype=bool)
-                mask[(positions[a:b] - lo).astype(np.int64)] = True
-                row.append(zlib.compress(np.packbits(mask, bitorder="little").tobytes(), 1))
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([int(segment)], pa.int64()), "once": [row[0]], "twice": [row[1]]})
-
-    return run
-
-
-def _merge(batches):
-    """Merges rows sorted by segment, one segment in memory at a time."""
-    current, once, twice = None, None, None
-
-    def done():
-        return pa.RecordBatch.from_pydict({"segment": pa.array([current], pa.int64()), "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    for batch in batches:
-        for segment, o, t in zip(*(batch.column(n).to_pylist() for n in ("segment", "once", "twice")), strict=True):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-            if segment != current:
-                if current is not None:
-                    yield done()
-                current, once, twice = segment, o.copy(), t.copy()
-            else:
-                twice |= t | (once & o)
-                once |= o
-    if current is not None:
-        yield done()
-
-
-def repeat_filter(docs: DataFrame, bits: int) -> bytes:
-    """The merged filter of keys seen at least twice, of `bits` bits."""
-    parts = docs.select("text").mapInArrow(_partial_filters(bits), "segment long, once binary, twice binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        x = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-        out[row["segment"] * len(x) : (row["segment"] + 1) * len(x)] = x
-    return out.tobytes()
+def _batch_hashes(batch: pa.RecordBatch):
+    for text in batch.column(0):
+        yield _hash(line_keys(text.as_py()))
 
 
-def _suspected(keys: list[bytes | None], bitmap: np.ndarray, bits: int) -> np.ndarray:
+def _suspected(keys: list[bytes | None], bitmap: bytes) -> np.ndarray:
     """Indexes of the lines that the filter suspects."""
-    at = [i for i, k in enumerate(keys) if k is not None]
-    hashes = np.array([xxhash.xxh3_64_intdigest(keys[i]) for i in at], dtype=np.uint64)
-    ok = np.ones(len(at), dtype=bool)
-    for p in _bits(hashes, bits):
-        ok &= (bitmap[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return np.array(at, dtype=np.int64)[ok]
+    at = np.array([i for i, k in enumerate(keys) if k is not None], dtype=np.int64)
+    return at[bloom.suspected(_hash(keys), bitmap)]
 
 
 def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _suspects(bitmap_of, bits: int):
+def _suspects(bitmap_of):
     def run(batches):
-        bitmap = np.frombuffer(bitmap_of.value, np.uint8)
+        bitmap = bitmap_of.value
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(*(batch.column(n) for n in ("doc_id", "text")), strict=True):
                 keys = line_keys(text.as_py())
-                own = {digest(keys[i]) for i in _suspected(keys, bitmap, bits)}
+                own = {digest(keys[i]) for i in _suspected(keys, bitmap)}
                 found.extend(own)
                 ids.extend([doc_id.as_py()] * len(own))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(found, pa.binary())})
@@ -127,9 +70,9 @@ def _suspects(bitmap_of, bits: int):
     return run
 
 
-def _rebuild(bitmap_of, bits: int, names: list[str]):
+def _rebuild(bitmap_of, names: list[str]):
     def run(batches):
-        bitmap = np.frombuffer(bitmap_of.value, np.uint8)
+        bitmap = bitmap_of.value
         for batch in batches:
             kept, lines, dropped = [], [], []
             for text, drop in zip(batch.column("_text"), batch.column("_drop"), strict=True):
@@ -138,7 +81,7 @@ def _rebuild(bitmap_of, bits: int, names: list[str]):
                     kept.append(text), lines.append(text.count("\n") + 1), dropped.append(0)
                     continue
                 drop, keys, all_lines = set(drop), line_keys(text), text.split("\n")
-                gone = {int(i) for i in _suspected(keys, bitmap, bits) if digest(keys[i]) in drop}
+                gone = {int(i) for i in _suspected(keys, bitmap) if digest(keys[i]) in drop}
                 kept.append("\n".join(x for i, x in enumerate(all_lines) if i not in gone))
                 lines.append(len(all_lines)), dropped.append(len(gone))
             yield pa.RecordBatch.from_arrays(
@@ -157,9 +100,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_bits: int = MAX_B
     """
     spark = docs.sparkSession
     bits = min(max_bits, max(MIN_BITS, common.pow2_at_least(docs.count() * BITS_PER_DOC)))
-    bitmap = spark.sparkContext.broadcast(repeat_filter(docs, bits))
+    bitmap = spark.sparkContext.broadcast(bloom.seen_twice(docs.select("text"), _batch_hashes, bits))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id")
-    suspects = docs.select(ids, "text").mapInArrow(_suspects(bitmap, bits), "doc_id long, key binary")
+    suspects = docs.select(ids, "text").mapInArrow(_suspects(bitmap), "doc_id long, key binary")
     exact = suspects.groupBy("key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keep")).filter(F.col("_n") >= min_docs)
     drops = suspects.join(exact, "key").filter(F.col("doc_id") < F.col("_keep"))
     drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_drop"))
@@ -167,4 +110,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_bits: int = MAX_B
     own = docs.select("doc_id", *keep, ids.alias("_own"), F.col("text").alias("_text"))
     joined = own.join(drops, F.col("_own") == F.col("_id"), "left").select(*names, "_text", "_drop")
     schema = ", ".join(f"`{n}` {joined.schema[n].dataType.simpleString()}" for n in names)
-    return joined.mapInArrow(_rebuild(bitmap, bits, names), f"{schema}, n_lines long, n_dropped long, kept string")
+    return joined.mapInArrow(_rebuild(bitmap, names), f"{schema}, n_lines long, n_dropped long, kept string")

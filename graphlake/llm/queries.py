@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html_text, line_dedup, mixing, packing, pii, spotsigs, topk, toxicity
+from . import common, html_text, line_dedup, mixing, ngram_join, packing, pii, spotsigs, topk, toxicity
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -52,6 +52,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, docs.count())
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(common.table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -108,5 +112,5 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op8_html_extraction": op8_html_extraction, "op9_exact_top_k": op9_exact_top_k, "op2_best_fit_packing": op2_best_fit_packing, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op8_html_extraction": op8_html_extraction, "op9_exact_top_k": op9_exact_top_k, "op2_best_fit_packing": op2_best_fit_packing, "op5_ngram_join": op5_ngram_join, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
 ORACLE_SQL = {"op9_exact_top_k": OP9_SQL, "op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL}
