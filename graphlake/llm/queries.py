@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html_text, line_dedup, mixing, ngram_join, packing, pii, spotsigs, topk, toxicity
+from . import common, html_text, line_dedup, mixing, ngram_join, packing, passages, pii, spotsigs, topk, toxicity
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -65,6 +65,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.find(common.table(spark, sf_dir, "documents"))
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_words", words(F.col("repeated")).alias("n_repeated"), words(F.col("dropped")).alias("n_dropped"), listed(F.col("repeated")).alias("spans"), listed(F.col("dropped")).alias("dropped_spans"), "class_id")
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -112,5 +119,5 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op8_html_extraction": op8_html_extraction, "op9_exact_top_k": op9_exact_top_k, "op2_best_fit_packing": op2_best_fit_packing, "op5_ngram_join": op5_ngram_join, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op8_html_extraction": op8_html_extraction, "op9_exact_top_k": op9_exact_top_k, "op10_substring_dedup": op10_substring_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op5_ngram_join": op5_ngram_join, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
 ORACLE_SQL = {"op9_exact_top_k": OP9_SQL, "op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL}
