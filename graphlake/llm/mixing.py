@@ -24,6 +24,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 #: Hexadecimal digits of the hash that name a cell.
 CELL_DIGITS = 3
+#: So many sources' plans are broadcast at most; more are joined by shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -54,9 +56,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     An empty table gives an empty result.
     """
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(common.WORD)), F.lit(0)) if size is None else size
-    base = docs.select(*keep, "doc_id", F.col("source"), words.cast("long").alias("size"))
-    base = base.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_cell", F.substring("_h", 1, CELL_DIGITS))
-    base = common.cut(base)
+    def sized(columns):
+        own = docs.select(*columns, "doc_id", F.col("source"), words.cast("long").alias("size"))
+        return own.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_cell", F.substring("_h", 1, CELL_DIGITS))
+
+    base = common.cut(sized(()))
     cells = base.groupBy("source", "_cell").agg(F.sum("size").alias("_n"))
     sources = cells.groupBy("source").agg(F.sum("_n").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
@@ -71,7 +75,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     ends = cells_of.filter((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_n")))
     ends = ends.select(F.col("_s").alias("_e"), F.col("_cell").alias("_end"), (F.col("_rest") - F.col("_before")).alias("_rest_in"))
     plan = filled.withColumnRenamed("source", "_s").join(ends, F.col("_s").eqNullSafe(F.col("_e")), "left").drop("_e", "weight", "_rest")
-    placed = base.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    plan = common.cut(plan)
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    placed = (sized(keep) if keep else base).join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     inside = F.col("_cell") == F.col("_end")
     order = Window.partitionBy("source", "_cell").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     cutoff = placed.filter(inside).withColumn("_b", F.coalesce(F.sum("size").over(order), F.lit(0)))
@@ -79,3 +86,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     others = placed.filter(~F.coalesce(inside, F.lit(False))).withColumn("_extra", F.when(F.col("_cell") < F.col("_end"), F.col("size")).otherwise(F.lit(0)))
     out = others.unionByName(cutoff)
     return out.select(*keep, "doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_extra")).cast("long").alias("taken"))
+
+
+def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The mix itself: `columns` of each taken row once per repetition, a partial one with its first words and n_chars.
+
+    `mixed` is a result of mix() that kept the text. Rows of no words are not taken.
+    """
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(1))), " ")
+    texts = F.filter(F.concat(F.array_repeat(F.col("text"), whole), F.array(F.when(rest > 0, part))), lambda t: t.isNotNull())
+    out = mixed.withColumn("_text", F.explode(texts))
+    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*(own.get(c, F.col(c)).alias(c) for c in columns))
