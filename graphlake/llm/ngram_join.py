@@ -30,7 +30,7 @@ PERCENT = 80
 #: Parts for each element of the largest difference, and sets that may share a signature before it counts as common.
 PARTS, COMMON = 1.5, 24
 #: Bits of the filter for each document and its largest size (256 MB are broadcast at most).
-BITS_PER_DOC, MIN_BITS, MAX_BITS = 2_048, 1 << 20, 1 << 31
+BITS_PER_DOC, MIN_BITS, MAX_BITS = 1_024, 1 << 20, 1 << 31
 CELLS = 256
 _BANDS = np.unique(np.ceil(1.5 ** np.arange(0, 80)).astype(np.int64))[:60]
 _TAG = np.uint64(63)
@@ -75,7 +75,7 @@ def signatures(features: np.ndarray, of: np.ndarray, size: np.ndarray) -> tuple[
         f, o = mixed[taken], of[taken]
         part = textops.mix(f ^ (band[o].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % parts[o].astype(np.uint64)
         cell = base[o] + part.astype(np.int64)
-        order = np.argsort(cell, kind="stable")
+        order = np.argsort(cell)
         cell, f, o = cell[order], f[order], o[order]
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         row, place = o[first], cell[first] - base[o[first]]
@@ -148,6 +148,10 @@ def _suspected_rows(bitmap_of):
                 sig, row, slack = signatures(features, of, size)
                 ok = bloom.suspected(sig, bitmap_of.value)
                 sig, row, slack = sig[ok], row[ok], slack[ok]
+                # sets that link share as many signatures of their band as their slack: with fewer, there is no partner
+                place = row * 64 + (sig & _TAG).astype(np.int64)
+                able = np.bincount(place, minlength=1)[place] >= slack if len(place) else np.zeros(0, dtype=bool)
+                sig, row, slack = sig[able], row[able], slack[able]
                 held = np.unique(row)
                 ends = np.cumsum(size)
                 cells = [np.minimum(np.bincount((features[ends[r] - size[r] : ends[r]] >> np.uint64(7)) % np.uint64(CELLS), minlength=CELLS), 255).astype(np.uint8).tobytes() for r in held]
@@ -184,14 +188,18 @@ def _linked(batches):
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a < b) that link, by their whole sets."""
-    side = lambda columns, x: sets.select(*(F.col(c).alias({"set_id": x}.get(c, f"{c}_{x}")) for c in columns))
-    near = pairs.join(side(["set_id", "n", "cells"], "a"), "a").join(side(["set_id", "n", "cells"], "b"), "b")
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    near = near.filter(fits).mapInArrow(_near_cells, "a long, b long")
-    whole = near.join(side(["set_id", "features"], "a"), "a").join(side(["set_id", "features"], "b"), "b").select("a", "b", "features_a", "features_b")
-    return whole.mapInArrow(_linked, "a long, b long")
+def _verified(pairs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """The pairs (a < b) that link, by their whole sets. Features are read for sets of pairs that pass all bounds only."""
+    cells = rows.filter("features is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
+    side = lambda df, columns, x: df.select(*(F.col(c).alias({"set_id": x}.get(c, f"{c}_{x}")) for c in columns))
+    near = pairs.join(side(cells, ["set_id", "n", "cells"], "a"), "a").join(side(cells, ["set_id", "n", "cells"], "b"), "b")
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    near = common.written(near.filter(fits).mapInArrow(_near_cells, "a long, b long"), f"{path}/near")
+    wanted = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
+    held = rows.filter("features is not null").select("set_id", "features").join(wanted, "set_id", "left_semi")
+    held = common.written(held.groupBy("set_id").agg(F.first("features").alias("features")), f"{path}/held")
+    whole = near.join(side(held, ["set_id", "features"], "a"), "a").join(side(held, ["set_id", "features"], "b"), "b").select("a", "b", "features_a", "features_b")
+    return common.cut(whole.mapInArrow(_linked, "a long, b long"))
 
 
 def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS) -> DataFrame:
@@ -208,7 +216,7 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
     with common.scratch(spark) as path:
         rows = common.written(texts.mapInArrow(_suspected_rows(bitmap), _ROW_SCHEMA), f"{path}/rows")
         sigs = rows.filter("sig is not null").select("set_id", "sig", "slack")
-        sets = rows.filter("features is not null").select("set_id", "n", "cells", "features").dropDuplicates(["set_id"])
+        sizes = rows.filter("features is not null").select("set_id", "n").distinct()
         shared = sigs.groupBy("sig").agg(F.min("set_id").alias("_p"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("_p < _q").select("sig", "_sets")
         members = sigs.join(shared, "sig").withColumn("_common", F.col("_sets") > common_sets)
         band = F.col("sig").bitwiseAND(F.lit(63)).alias("_band")
@@ -218,15 +226,15 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
         members = common.written(members, f"{path}/members")
         first = members.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q")).filter("a < _q").select("sig", "a")
         star = members.join(first, "sig").filter("a < set_id").select("a", F.col("set_id").alias("b")).distinct()
-        links = common.cut(_verified(star, sets))
+        links = _verified(star, rows, f"{path}/star")
         found = components(links)
         placed = members.join(found, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("_c"))
         split = placed.groupBy("sig").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.min("set_id").alias("_first")).filter("_lo < _hi").select("sig", "_first")
-        open_rows = placed.join(split, "sig").join(sets.select("set_id", "n"), "set_id").filter("set_id <> _first")
+        open_rows = placed.join(split, "sig").join(sizes, "set_id").filter("set_id <> _first")
         x, y = (open_rows.select("sig", F.col("set_id").alias(s), F.col("_c").alias(f"_c{s}"), F.col("n").alias(f"_n{s}")) for s in "ab")
         fits = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * PERCENT
         across = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & fits).select("a", "b").distinct()
-        links = common.cut(links.union(_verified(across, sets)))
+        links = common.cut(links.union(_verified(across, rows, f"{path}/across")))
         found = components(links)
     bitmap.unpersist()
     named = base.join(found, F.col("set_id") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "set_id")).drop("node", "component")

@@ -14,7 +14,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Bytes of text that are hashed at once; a longer single text is hashed alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -91,8 +91,17 @@ def shingle_hashes(hashes: np.ndarray, row: np.ndarray, count: np.ndarray, words
 
 
 def distinct(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each row, rows in order."""
-    order = np.lexsort((hashes, row))
+    """Distinct hashes of each row, rows in order, each row's hashes sorted; `row` ascends.
+
+    One sort by the row and the upper bits of the hash; rows in which different hashes share these are sorted in full.
+    """
+    if not len(hashes):
+        return hashes, row
+    width = np.uint64(max(1, int(row[-1]).bit_length()))
+    order = np.argsort(row.astype(np.uint64) << (np.uint64(64) - width) | hashes >> width)
     hashes, row = hashes[order], row[order]
-    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])[: len(hashes)]
+    if np.any((hashes[1:] < hashes[:-1]) & (row[1:] == row[:-1])):
+        order = np.lexsort((hashes, row))
+        hashes, row = hashes[order], row[order]
+    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])
     return hashes[fresh], row[fresh]
