@@ -7,7 +7,8 @@ similar enough agree on at least one. Two exact rules keep this cheap:
 
 - a pair whose sets hold more non-empty parts than they may differ in agrees on a non-empty one, so empty parts give
   no signature but for the few sets that can't rely on this (`slack` below 1);
-- in the same way a set may do without signatures that many sets share, as long as more than it may differ in remain.
+- in the same way a set may do without signatures that many sets share, as long as more than it may differ in remain;
+  sets that can't are matched with each other by their rarest features instead.
 
 Sets of equal features are one. Signatures pass a filter of those seen twice before anything is shuffled. In each
 group of a shared signature all sets are compared with one; only where a group is not yet in one component are the
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom, common, textops
@@ -202,6 +203,32 @@ def _verified(pairs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
     return common.cut(whole.mapInArrow(_linked, "a long, b long"))
 
 
+def _shared_least(total):
+    """Features that linked sets of this total size share at least."""
+    return F.ceil(total * PERCENT / (100 + PERCENT) - 1e-9)
+
+
+def _rare_features(rows: DataFrame, weak: DataFrame) -> DataFrame:
+    """(sig, set_id, rank) for sets whose signatures are too common to do without: their rarest features.
+
+    Linked sets share the larger's size times PERCENT / 100 at least, so they share one of the larger's rarest
+    n - PERCENT n / 100 + 1 features; common ones come last and mostly fall away.
+    """
+    held = rows.filter("features is not null").select("set_id", "n", "features").join(weak, "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("features").alias("features"))
+    each = held.mapInArrow(_unpacked, "set_id long, n long, sig long")
+    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("_df", "sig"))
+    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("_df")), "sig").withColumn("rank", rank)
+    return ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - 1e-9) + 1).select("sig", "set_id", "rank")
+
+
+def _unpacked(batches):
+    for batch in batches:
+        ids, n = batch.column("set_id").to_numpy(), batch.column("n").to_numpy()
+        if len(ids):
+            features = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n)), pa.array(features)], names=["set_id", "n", "sig"])
+
+
 def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included), for every row.
 
@@ -222,18 +249,22 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
         band = F.col("sig").bitwiseAND(F.lit(63)).alias("_band")
         lost = members.filter("_common").groupBy("set_id", band).agg(F.count_distinct("sig").alias("_lost"))
         members = members.withColumn("_band", band).join(lost, ["set_id", "_band"], "left")
-        members = members.filter(~F.col("_common") | (F.col("slack") - F.col("_lost") < 1)).select("sig", "set_id")
-        members = common.written(members, f"{path}/members")
+        weak = members.filter(F.col("_common") & (F.col("slack") - F.col("_lost") < 1)).select("set_id").distinct()
+        members = members.filter(~F.col("_common")).select("sig", "set_id", F.lit(None).cast("int").alias("rank"))
+        members = common.written(members.unionByName(_rare_features(rows, weak)), f"{path}/members")
         first = members.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q")).filter("a < _q").select("sig", "a")
         star = members.join(first, "sig").filter("a < set_id").select("a", F.col("set_id").alias("b")).distinct()
         links = _verified(star, rows, f"{path}/star")
         found = components(links)
-        placed = members.join(found, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("_c"))
+        placed = members.join(found, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", "rank", F.coalesce("component", "set_id").alias("_c"))
         split = placed.groupBy("sig").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.min("set_id").alias("_first")).filter("_lo < _hi").select("sig", "_first")
         open_rows = placed.join(split, "sig").join(sizes, "set_id").filter("set_id <> _first")
-        x, y = (open_rows.select("sig", F.col("set_id").alias(s), F.col("_c").alias(f"_c{s}"), F.col("n").alias(f"_n{s}")) for s in "ab")
+        x, y = (open_rows.select("sig", F.col("set_id").alias(s), F.col("_c").alias(f"_c{s}"), F.col("n").alias(f"_n{s}"), F.col("rank").alias(f"_r{s}")) for s in "ab")
         fits = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * PERCENT
-        across = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & fits).select("a", "b").distinct()
+        small, low = F.when(F.col("_na") <= F.col("_nb"), F.col("_ra")).otherwise(F.col("_rb")), F.least("_na", "_nb")
+        still = 1 + F.least(F.col("_na") - F.col("_ra"), F.col("_nb") - F.col("_rb"))  # features that may be shared from here on
+        able = F.col("_ra").isNull() | ((small <= low - _shared_least(low + low) + 1) & (still >= _shared_least(F.col("_na") + F.col("_nb"))))
+        across = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & F.col("_ra").isNull().eqNullSafe(F.col("_rb").isNull()) & fits & able).select("a", "b").distinct()
         links = common.cut(links.union(_verified(across, rows, f"{path}/across")))
         found = components(links)
     bitmap.unpersist()
