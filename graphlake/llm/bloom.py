@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 SEGMENT_BITS = 1 << 20
 
 
-def bits_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of each 64-bit hash in a filter of `bits` (a power of two) bits."""
-    mask = np.uint64(bits - 1)
-    return hashes & mask, (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & mask
+def place_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each 64-bit hash in a filter of `bits` (a power of two) bits.
+
+    One place each: a second would let fewer through by chance, but parts of filters are shuffled and would be twice as large.
+    """
+    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1)
 
 
 def _parts(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int):
@@ -28,7 +30,7 @@ def _parts(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: in
     def run(batches):
         seen = [h for batch in batches for h in hashes_of(batch)]
         hashes, counts = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
-        once, twice = (np.unique(np.concatenate(bits_of(x, bits))) for x in (hashes, hashes[counts > 1]))
+        once, twice = (np.unique(place_of(x, bits)) for x in (hashes, hashes[counts > 1]))
         for segment in np.unique(once // np.uint64(SEGMENT_BITS)):
             lo = segment * np.uint64(SEGMENT_BITS)
             row = []
@@ -77,7 +79,5 @@ def seen_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.
 def suspected(hashes: np.ndarray, bitmap: bytes) -> np.ndarray:
     """Which hashes the filter lets through."""
     table = np.frombuffer(bitmap, np.uint8)
-    ok = np.ones(len(hashes), dtype=bool)
-    for p in bits_of(hashes, len(table) * 8):
-        ok &= (table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return ok
+    p = place_of(hashes, len(table) * 8)
+    return (table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1

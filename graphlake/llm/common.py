@@ -69,3 +69,15 @@ def scratch(spark: SparkSession):
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Arrow batches of fewer rows for what runs inside, where rows hold whole sets or texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -5,8 +5,8 @@ comments go, as do scripts and styles. If the page marks its article, the text i
 the token streams of the host's pages are concatenated and the suffixes of the whole are sorted: substrings of at
 least RUN tokens found on MIN_PAGES distinct pages are boilerplate; covered tokens go, and the unique runs stay.
 
-Hosts of many pages are cut into shards of a bounded number, each with its own array. What no shard covers is dealt
-once more, by content, so that runs that a shard saw only once or twice meet the others of their kind.
+Hosts of many pages are cut into shards of a bounded number, each with its own array. Stretches of RUN tokens are then
+counted over all shards of a host, so what a shard saw on too few pages still meets the others of its kind.
 """
 
 from __future__ import annotations
@@ -236,30 +236,40 @@ def repeated_runs(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES,
     dealt = rows.join(hosts, F.col("host") == F.col("_h")).withColumn("_shard", F.pmod(F.xxhash64("key"), F.col("_shards"))).drop("_h")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, windows, owners = [], [], []
         alone = int(pdf["_shards"].iloc[0]) == 1
-        for r, (tokens, mask) in zip(pdf.itertuples(index=False), _cover(pdf, run, min_pages), strict=True):
+        host = pdf["host"].iloc[0]
+        for k, (r, (tokens, mask)) in enumerate(zip(pdf.itertuples(index=False), _cover(pdf, run, min_pages), strict=True)):
             if r.open:
-                out += [(r.host, r.key, r.open, a, b - a, None, 0) for a, b in _runs(mask)]
-            if not alone:
-                for a, b in _runs(~mask):
-                    if b - a >= run:
-                        part = tokens[a:b]
-                        windows = np.lib.stride_tricks.sliding_window_view(part.view(np.uint64), run)
-                        mixed = (windows * (2 * np.arange(run, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))).sum(axis=1, dtype=np.uint64)
-                        out.append((r.host, r.key, r.open, a, b - a, part.tobytes(), int(mixed.min() >> np.uint64(1))))
-        return pd.DataFrame(out, columns=[*_STREAM_NAMES, "content"])
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r, (_, mask) in zip(pdf.itertuples(index=False), _cover(pdf, run, min_pages), strict=True):
-            if r.open:
-                out += [(r.key, r.start + a, b - a) for a, b in _runs(mask)]
-        return pd.DataFrame(out, columns=["key", "start", "n"])
-
-    first = dealt.groupBy("host", "_shard").applyInPandas(within, f"{_STREAM_SCHEMA}, content long")
-    second = first.filter(F.col("tokens").isNotNull()).groupBy("host", "content").applyInPandas(across, "key binary, start int, n int")
-    return first.filter(F.col("tokens").isNull()).select("key", "start", "n").unionByName(second)
+                out += [(host, r.key, a, b - a, None, None) for a, b in _runs(mask)]
+            if not alone and len(tokens) >= run:
+                mixed = _windows(tokens, run)
+                windows.append(mixed), owners.append(np.full(len(mixed), k))
+                if r.open:
+                    whole = np.lib.stride_tricks.sliding_window_view(mask, run).all(axis=1)
+                    out += [(host, r.key, int(i), run, int(mixed[i]), None) for i in np.flatnonzero(~whole)]
+        if windows:
+            pages = np.unique(pdf["key"].map(bytes).to_numpy(), return_inverse=True)[1]
+            pairs = np.unique(np.stack([np.concatenate(windows), pages[np.concatenate(owners)]]), axis=1)
+            found, counts = np.unique(pairs[0], return_counts=True)
+            out += [(host, None, None, None, w, n) for w, n in zip(found.tolist(), counts.tolist(), strict=True)]
+        kinds = {"host": object, "key": object, "start": "Int32", "n": "Int32", "window": "Int64", "pages": "Int64"}  # with nulls, and exact
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pd.DataFrame({n: pd.array(list(c), dtype=t) if t is not object else pd.Series(list(c), dtype=object) for (n, t), c in zip(kinds.items(), columns, strict=True)})
+
+    first = dealt.groupBy("host", "_shard").applyInPandas(within, "host string, key binary, start int, n int, window long, pages long")
+    # a page is in one shard, so the shards' pages add up
+    totals = first.filter(F.col("pages").isNotNull()).groupBy("host", "window").agg(F.sum("pages").alias("_pages")).filter(F.col("_pages") >= min_pages)
+    second = first.filter(F.col("key").isNotNull() & F.col("window").isNotNull()).join(totals, ["host", "window"]).select("key", "start", "n")
+    return first.filter(F.col("window").isNull()).select("key", "start", "n").unionByName(second)
+
+
+def _windows(tokens: np.ndarray, run: int) -> np.ndarray:
+    """A hash of each stretch of `run` tokens."""
+    views = np.lib.stride_tricks.sliding_window_view(tokens.view(np.uint64), run)
+    odd = 2 * np.arange(run, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    mixed = (views * odd).sum(axis=1, dtype=np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
 def _texts(names: list[str], marked: bool):

@@ -200,7 +200,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
     held = rows.filter("features is not null").select("set_id", "features").join(wanted, "set_id", "left_semi")
     held = common.written(held.groupBy("set_id").agg(F.first("features").alias("features")), f"{path}/held")
     whole = near.join(side(held, ["set_id", "features"], "a"), "a").join(side(held, ["set_id", "features"], "b"), "b").select("a", "b", "features_a", "features_b")
-    return common.cut(whole.mapInArrow(_linked, "a long, b long"))
+    with common.small_batches(rows.sparkSession):
+        return common.cut(whole.mapInArrow(_linked, "a long, b long"))
 
 
 def _shared_least(total):
@@ -244,6 +245,7 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
         rows = common.written(texts.mapInArrow(_suspected_rows(bitmap), _ROW_SCHEMA), f"{path}/rows")
         sigs = rows.filter("sig is not null").select("set_id", "sig", "slack")
         sizes = rows.filter("features is not null").select("set_id", "n").distinct()
+        sigs = sigs.repartition("sig")  # one exchange for the groups and for what is joined with them
         shared = sigs.groupBy("sig").agg(F.min("set_id").alias("_p"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("_p < _q").select("sig", "_sets")
         members = sigs.join(shared, "sig").withColumn("_common", F.col("_sets") > common_sets)
         band = F.col("sig").bitwiseAND(F.lit(63)).alias("_band")
@@ -251,7 +253,8 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
         members = members.withColumn("_band", band).join(lost, ["set_id", "_band"], "left")
         weak = members.filter(F.col("_common") & (F.col("slack") - F.col("_lost") < 1)).select("set_id").distinct()
         members = members.filter(~F.col("_common")).select("sig", "set_id", F.lit(None).cast("int").alias("rank"))
-        members = common.written(members.unionByName(_rare_features(rows, weak)), f"{path}/members")
+        with common.small_batches(spark):
+            members = common.written(members.unionByName(_rare_features(rows, weak)), f"{path}/members")
         first = members.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q")).filter("a < _q").select("sig", "a")
         star = members.join(first, "sig").filter("a < set_id").select("a", F.col("set_id").alias("b")).distinct()
         links = _verified(star, rows, f"{path}/star")

@@ -159,7 +159,7 @@ def pack(pieces: DataFrame, rows: int, size: int = MAX_TOKENS, shard_pieces: int
     key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
-    def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="_shard").sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
         at, offset = best_fit_decreasing(pdf["length"].to_numpy(), size)
         return pdf.assign(sequence_id=at + (int(keys[0]) << 32), offset=offset)

@@ -50,7 +50,7 @@ def max_score(query: np.ndarray, terms: np.ndarray, low: np.ndarray, high: np.nd
 
 
 def _pack(name: str, schema_ids: str):
-    def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
         matrix = np.ascontiguousarray(np.stack(pdf["_v"].to_numpy()).astype(np.float64))
         return pd.DataFrame({name: [int(keys[0])], "dim": [int(keys[1])], f"{name}_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_v": [matrix.tobytes()]})
