@@ -16,12 +16,25 @@ from pyspark.sql import DataFrame
 SEGMENT_BITS = 1 << 20
 
 
-def place_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The place of each 64-bit hash in a filter of `bits` (a power of two) bits.
+def places_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each 64-bit hash in a filter of `bits` (a power of two) bits."""
+    mask = np.uint64(bits - 1)
+    return hashes & mask, (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & mask
 
-    One place each: a second would let fewer through by chance, but parts of filters are shuffled and would be twice as large.
-    """
-    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1)
+
+def _encode(places: np.ndarray) -> bytes:
+    """Sorted places within a segment as their gaps, compressed."""
+    gaps = np.diff(places.astype(np.int64), prepend=0)
+    wide = len(gaps) and gaps.max() > 0xFFFF
+    return zlib.compress((b"\4" if wide else b"\2") + gaps.astype("<u4" if wide else "<u2").tobytes(), 1)
+
+
+def _decode(data: bytes) -> np.ndarray:
+    """The segment's bitmap."""
+    raw = zlib.decompress(data)
+    mask = np.zeros(SEGMENT_BITS, dtype=bool)
+    mask[np.cumsum(np.frombuffer(raw[1:], "<u4" if raw[:1] == b"\4" else "<u2").astype(np.int64))] = True
+    return np.packbits(mask, bitorder="little")
 
 
 def _parts(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int):
@@ -30,15 +43,13 @@ def _parts(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: in
     def run(batches):
         seen = [h for batch in batches for h in hashes_of(batch)]
         hashes, counts = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
-        once, twice = (np.unique(place_of(x, bits)) for x in (hashes, hashes[counts > 1]))
+        once, twice = (np.unique(np.concatenate(places_of(x, bits))) for x in (hashes, hashes[counts > 1]))
         for segment in np.unique(once // np.uint64(SEGMENT_BITS)):
             lo = segment * np.uint64(SEGMENT_BITS)
             row = []
-            for positions in (once, twice):
-                a, b = np.searchsorted(positions, [lo, lo + np.uint64(SEGMENT_BITS)])
-                mask = np.zeros(SEGMENT_BITS, dtype=bool)
-                mask[(positions[a:b] - lo).astype(np.int64)] = True
-                row.append(zlib.compress(np.packbits(mask, bitorder="little").tobytes(), 1))
+            for places in (once, twice):
+                a, b = np.searchsorted(places, [lo, lo + np.uint64(SEGMENT_BITS)])
+                row.append(_encode(places[a:b] - lo))
             yield pa.RecordBatch.from_pydict({"segment": pa.array([int(segment)], pa.int64()), "once": [row[0]], "twice": [row[1]]})
 
     return run
@@ -53,11 +64,11 @@ def _merge(batches):
 
     for batch in batches:
         for segment, o, t in zip(*(batch.column(n).to_pylist() for n in ("segment", "once", "twice")), strict=True):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
+            o, t = _decode(o), _decode(t)
             if segment != current:
                 if current is not None:
                     yield done()
-                current, once, twice = segment, o.copy(), t.copy()
+                current, once, twice = segment, o, t
             else:
                 twice |= t | (once & o)
                 once |= o
@@ -79,5 +90,7 @@ def seen_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.
 def suspected(hashes: np.ndarray, bitmap: bytes) -> np.ndarray:
     """Which hashes the filter lets through."""
     table = np.frombuffer(bitmap, np.uint8)
-    p = place_of(hashes, len(table) * 8)
-    return (table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    ok = np.ones(len(hashes), dtype=bool)
+    for p in places_of(hashes, len(table) * 8):
+        ok &= (table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return ok
