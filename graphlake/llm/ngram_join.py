@@ -246,22 +246,25 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
         sigs = rows.filter("sig is not null").select("set_id", "sig", "slack")
         sizes = rows.filter("features is not null").select("set_id", "n").distinct()
         sigs = sigs.repartition("sig")  # one exchange for the groups and for what is joined with them
-        shared = sigs.groupBy("sig").agg(F.min("set_id").alias("_p"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("_p < _q").select("sig", "_sets")
-        members = sigs.join(shared, "sig").withColumn("_common", F.col("_sets") > common_sets)
-        band = F.col("sig").bitwiseAND(F.lit(63)).alias("_band")
-        lost = members.filter("_common").groupBy("set_id", band).agg(F.count_distinct("sig").alias("_lost"))
-        members = members.withColumn("_band", band).join(lost, ["set_id", "_band"], "left")
-        weak = members.filter(F.col("_common") & (F.col("slack") - F.col("_lost") < 1)).select("set_id").distinct()
-        members = members.filter(~F.col("_common")).select("sig", "set_id", F.lit(None).cast("int").alias("rank"))
+        shared = sigs.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("a < _q").select("sig", "a", "_sets")
+        members = common.written(sigs.join(shared, "sig"), f"{path}/members")
+        often = members.filter(F.col("_sets") > common_sets)
+        lost = often.groupBy("set_id", F.col("sig").bitwiseAND(F.lit(63)).alias("_band")).agg(F.count_distinct("sig").alias("_lost"), F.first("slack").alias("slack"))
+        weak = lost.filter(F.col("slack") - F.col("_lost") < 1).select("set_id").distinct()
         with common.small_batches(spark):
-            members = common.written(members.unionByName(_rare_features(rows, weak)), f"{path}/members")
-        first = members.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q")).filter("a < _q").select("sig", "a")
-        star = members.join(first, "sig").filter("a < set_id").select("a", F.col("set_id").alias("b")).distinct()
+            rare = common.written(_rare_features(rows, weak), f"{path}/rare")
+        first = rare.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("a < _q").select("sig", "a", "_sets")
+        members = members.filter(F.col("_sets") <= common_sets).select("sig", "a", "_sets", "set_id", F.lit(None).cast("int").alias("rank"))
+        members = members.unionByName(rare.join(first, "sig").select("sig", "a", "_sets", "set_id", "rank"))
+        star = common.cut(members.filter("a < set_id").select("a", F.col("set_id").alias("b")).distinct())
         links = _verified(star, rows, f"{path}/star")
-        found = components(links)
-        placed = members.join(found, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", "rank", F.coalesce("component", "set_id").alias("_c"))
-        split = placed.groupBy("sig").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.min("set_id").alias("_first")).filter("_lo < _hi").select("sig", "_first")
-        open_rows = placed.join(split, "sig").join(sizes, "set_id").filter("set_id <> _first")
+        found = common.cut(components(links))
+        of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"_c{x}"))
+        apart = star.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
+        # groups of two are done; larger ones with a set apart from the first are compared across components
+        wide = members.filter("_sets > 2")
+        split = wide.join(apart.select("a", F.col("b").alias("set_id")), ["a", "set_id"], "left_semi").select("sig").distinct()
+        open_rows = wide.filter("a < set_id").join(split, "sig", "left_semi").join(found, F.col("set_id") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "set_id")).join(sizes, "set_id")
         x, y = (open_rows.select("sig", F.col("set_id").alias(s), F.col("_c").alias(f"_c{s}"), F.col("n").alias(f"_n{s}"), F.col("rank").alias(f"_r{s}")) for s in "ab")
         fits = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * PERCENT
         small, low = F.when(F.col("_na") <= F.col("_nb"), F.col("_ra")).otherwise(F.col("_rb")), F.least("_na", "_nb")
