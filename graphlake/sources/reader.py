@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,6 +136,7 @@ class EdgeReader(_Source):
         super().__init__(spark, prefix)
         self.info, self.layout, self.adj = info, layout, info.adj_list(layout)
         self.part_size = info.part_size(layout)
+        self._counts: list[int] | None = None
 
     def vertex_count(self) -> int:
         return self.files.read_count(self.prefix + self.info.vertex_count_path(self.layout))
@@ -147,10 +150,16 @@ class EdgeReader(_Source):
         return part
 
     def count(self, part: int | None = None) -> int:
-        """Edges of a part, or of all."""
-        if part is None:
-            return sum(self.count(p) for p in range(self.part_count()))
-        path = self.prefix + self.info.edge_count_path(self.layout, self._part(part))
+        """Edges of a part, or of all; count files are read once."""
+        if part is not None and self._counts is None:
+            return self._stored_count(self._part(part))
+        if self._counts is None:
+            with ThreadPoolExecutor(16) as pool:
+                self._counts = list(pool.map(self._stored_count, range(self.part_count())))
+        return sum(self._counts) if part is None else self._counts[self._part(part)]
+
+    def _stored_count(self, part: int) -> int:
+        path = self.prefix + self.info.edge_count_path(self.layout, part)
         return self.files.read_count(path) if self.files.exists(path) else 0
 
     def chunk_count(self, part: int) -> int:
@@ -182,12 +191,6 @@ class EdgeReader(_Source):
         rows = rows.withColumn(lay.PART, F.when(part != "", part.cast("long"))).withColumn(lay.CHUNK, F.regexp_extract("file_path", r"chunk(\d+)$", 1).cast("long"))
         return rows.drop("file_path")
 
-    def _chunks_of(self, part: int) -> int:
-        n = self.chunk_count(part)
-        if n == 0:
-            return 0
-        return n
-
     def _empty(self, fields: list[T.StructField]) -> DataFrame:
         longs = [T.StructField(k, T.LongType()) for k in (*KEYS,)]
         return self.spark.createDataFrame([], T.StructType([*fields, *longs]))
@@ -211,7 +214,7 @@ class EdgeReader(_Source):
 
     def _paths(self, at, part: int | None, chunk: int | None, parts: range | None) -> list[str]:
         if part is None and parts is None:
-            return [at(None, None)] if self.count() else []
+            return [at(None, None)] if self.files.exists(at(None, None)) else []
         if part is None:
             return [at(p, None) for p in parts if self.count(self._part(p))]  # type: ignore[union-attr]
         n = self.chunk_count(self._part(part))
@@ -237,10 +240,8 @@ class EdgeReader(_Source):
         """Edges before each part, from the count files; None for more parts than are worth a literal."""
         if self.part_count() > most:
             return None
-        out = [0]
-        for p in range(self.part_count()):
-            out.append(out[-1] + self.count(p))
-        return out[:-1] or [0]
+        self.count()
+        return list(accumulate(self._counts or [], initial=0))[:-1] or [0]
 
     def adj_chunk(self, part: int, chunk: int, add_index: bool = False) -> DataFrame:
         return self._finish(self.adj_rows(part, chunk), [names.SRC, names.DST], add_index)
