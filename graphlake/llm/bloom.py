@@ -42,7 +42,13 @@ def _parts(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: in
 
     def run(batches):
         seen = [h for batch in batches for h in hashes_of(batch)]
-        hashes, counts = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
+        hashes = np.concatenate([*seen, np.zeros(0, np.uint64)])
+        seen.clear()
+        pa.default_memory_pool().release_unused()  # the batches' memory, before more is taken
+        hashes.sort()
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+        counts = np.diff(np.append(first, len(hashes)))
+        hashes = hashes[first]
         once, twice = (np.unique(np.concatenate(places_of(x, bits))) for x in (hashes, hashes[counts > 1]))
         for segment in np.unique(once // np.uint64(SEGMENT_BITS)):
             lo = segment * np.uint64(SEGMENT_BITS)

@@ -238,11 +238,13 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
     """
     spark = docs.sparkSession
     texts = docs.select(common.text_or_empty().alias("text"))
-    base = common.cut(docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(_classes, "doc_id long, set_id long, n long"))
-    bits = min(max_bits, max(MIN_BITS, common.pow2_at_least(base.count() * BITS_PER_DOC)))
-    bitmap = spark.sparkContext.broadcast(bloom.seen_twice(texts, _Hashes(), bits))
+    with common.small_batches(spark, 1_024):
+        base = common.cut(docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(_classes, "doc_id long, set_id long, n long"))
+        bits = min(max_bits, max(MIN_BITS, common.pow2_at_least(base.count() * BITS_PER_DOC)))
+        bitmap = spark.sparkContext.broadcast(bloom.seen_twice(texts, _Hashes(), bits))
     with common.scratch(spark) as path:
-        rows = common.written(texts.mapInArrow(_suspected_rows(bitmap), _ROW_SCHEMA), f"{path}/rows")
+        with common.small_batches(spark, 1_024):
+            rows = common.written(texts.mapInArrow(_suspected_rows(bitmap), _ROW_SCHEMA), f"{path}/rows")
         sigs = rows.filter("sig is not null").select("set_id", "sig", "slack")
         sizes = rows.filter("features is not null").select("set_id", "n").distinct()
         sigs = sigs.repartition("sig")  # one exchange for the groups and for what is joined with them
