@@ -304,6 +304,25 @@ def test_passages_are_found(spark):
     assert df.select(passages.remove(F.col("text"), F.col("d"), F.lit(190).cast("long"))).first()[0].split() == texts[1][1].split()[:80] + texts[1][1].split()[140:]
 
 
+def test_passages_are_found_among_outsiders(spark):
+    exact, near = words(50, 78), words(60, 79)
+    changed = [*near[:30], "changed", *near[31:]]
+    texts = [(i, " ".join(words(60, i) + p + words(60, 500 + i))) for i, p in [(0, exact), (1, exact), (2, near), (3, changed)]]
+    pieces = [x[a : a + 30] for x in (exact, near) for a in (0, len(x) - 30)]  # shorter than a passage, but they hold its minima
+    texts += [(i, " ".join(words(70, 1000 + i) + pieces[i % 4] + words(70, 2000 + i))) for i in range(10, 170)]
+    rows = {r["doc_id"]: r for r in passages.find(docs(spark, texts)).collect()}
+    assert [[(s["start"], s["end"]) for s in rows[i]["repeated"]] for i in range(4)] == [[(60, 110)]] * 2 + [[(60, 120)]] * 2
+    assert [rows[i]["class_id"] for i in range(4)] == [0, 0, 2, 2] and not any(r["repeated"] for i, r in rows.items() if i > 3)
+    for i in (0, 2):
+        assert sorted(len(rows[k]["dropped"]) for k in (i, i + 1)) == [0, 1]
+
+
+def test_runs_of_shingles():
+    x = np.array([5, 6, 7, 0, 5, 6, 7, 8], np.uint32)
+    h, at = passages.run_hashes(x, 3)
+    assert at.tolist() == [0, 4, 5] and h[0] == h[1] != h[2]
+
+
 # ---- personal data
 
 
