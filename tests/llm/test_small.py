@@ -290,6 +290,26 @@ def test_windows_and_alignment():
     assert passages.align(x, y) == [(50, 74, 30, 74)] and passages.align(x[:60], y) == []
 
 
+def test_alignment_of_repeated_phrases():
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(1, 1 << 30, n).astype(np.uint32)
+    p, inside = new(56), []
+    for phrases in ([p[26:32]], [p[:6]], [p[50:]], [p[:6], p[26:32], p[50:]], [p[:30], p[20:]]):
+        before = np.concatenate([np.concatenate([new(9), q]) for q in phrases])
+        x, y = np.concatenate([new(20), p, new(20)]), np.concatenate([before, new(15), p, new(5)])
+        at = len(before) + 15
+        for found in (passages.align(x, y), [(b, m, a, n) for a, n, b, m in passages.align(y, x)]):
+            inside.append((20, 60, at, 60) in found)
+        changed = np.concatenate([p[:12], new(5), p[17:]])  # a word is another one: no long run is left
+        x = np.concatenate([new(20), changed, new(20)])
+        for found in (passages.align(x, y), [(b, m, a, n) for a, n, b, m in passages.align(y, x)]):
+            inside.append(any(a <= 20 and a + n >= 80 and b <= at and b + m >= at + 60 for a, n, b, m in found))
+    assert inside == [True] * 20
+    lines = np.tile(new(7), 3000)
+    found = passages.align(np.concatenate([lines, p]), np.concatenate([p, lines[:9000], new(4)]))
+    assert {(a, n) for a, n, _, _ in found} >= {(21_000, 60)} and min(a for a, *_ in found) == 0 and len(found) < 50
+
+
 def test_passages_are_found(spark):
     passage = words(60, 77)
     texts = [(i, " ".join(words(80, i) + (passage if i % 2 else []) + words(50, 500 + i))) for i in range(12)] + [(50, " ".join(words(70, 900)))] * 1 + [(51, " ".join(words(70, 900))), (52, None), (53, " ".join(passage[:30]))]
