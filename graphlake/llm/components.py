@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by minimum labels with pointer jumping."""
+"""Connected components of a table of links, by contraction."""
 
 from __future__ import annotations
 
@@ -8,21 +8,35 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component: the smallest node reachable) of the nodes of `links` (a, b: long); an empty table gives none.
 
-    Each round a node takes the smallest label among its own and its neighbours', then that label's own label, which
-    halves the way to go. Only nodes with links take part; lineage is cut each round.
+    Each round a node takes the smallest of itself and its neighbours in an order that is dealt anew by a hash, and nodes
+    that took the same become one, so that paths of any length shrink by a share each round: rounds grow with the
+    logarithm of the nodes, and end when no link is left. Only nodes with links take part; lineage is cut each round.
     """
-    both = common.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_near"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "_near").alias("_new"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_jump"))
-        new = new.join(jump, F.col("_new") == F.col("_n"), "left").select("node", F.least("_new", F.coalesce("_jump", "_new")).alias("component"), (F.least("_new", F.coalesce("_jump", "_new")) < F.col("component")).alias("_moved"))
-        new = common.cut(new)
-        labels = new.select("node", "component")
-        if new.filter("_moved").isEmpty():
-            break
-    return labels
+    both = common.cut(_both_ways(links))
+    steps, k = [], 0
+    while not both.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        low = both.groupBy("a").agg(F.least(order("a"), F.min(order("b")))["v"].alias("to"))
+        steps.append(common.cut(low.select(F.col("a").alias("node"), "to")))
+        of = lambda c: steps[-1].select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))  # noqa: B023, E731
+        both = common.cut(both.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct())
+        k += 1
+    if not steps:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # what a node became, from the last round back to the first
+    last = None
+    for step in reversed(steps):
+        if last is not None:
+            step = step.join(last.select(F.col("node").alias("to"), F.col("head")), "to", "left").select("node", F.coalesce("head", "to").alias("head"))
+        else:
+            step = step.withColumnRenamed("to", "head")
+        last = common.cut(step)
+    smallest = last.groupBy("head").agg(F.min("node").alias("component"))
+    return common.cut(last.join(smallest, "head").select("node", "component"))

@@ -255,6 +255,13 @@ def test_components(spark):
     assert found == parent
 
 
+def test_components_of_long_chains(spark):
+    ids = np.random.default_rng(9).permutation(5_000)[:3_000].tolist()  # in no order along the chains
+    links = [(ids[k], ids[k + 1]) for k in range(2_999) if k != 1_000]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {x: min(part) for part in (ids[:1_001], ids[1_001:]) for x in part}
+
+
 def test_word_hashes_match_words():
     import pyarrow as pa
 
