@@ -29,7 +29,9 @@ THRESHOLD = 0.7
 #: How close the soft maximum is to the maximum.
 SHARPNESS = 2.0
 #: Characters of scored text that are in memory at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Words whose n-grams are listed at once, and n-grams summed at once.
+SLICE, SUMMED = 1 << 14, 1 << 18
 _LETTERS = re.compile("[0-9A-Za-zÀ-῿⁰-⿿぀-\U0010ffff]+")
 
 
@@ -104,50 +106,80 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs: int = 80, seed: int = 7) -> Model:
+class Bags:
+    """Words of labelled documents, taken in batch by batch: what is kept is each document's distinct words and their counts."""
+
+    def __init__(self):
+        self.vocabulary: dict[str, int] = {"": 0}  # the empty word, which every document has
+        self.words, self.times, self.sizes, self.labels = [], [], [], []
+
+    def add(self, counts: dict[str, int], label: float) -> None:
+        own = {0: 1} | {self.vocabulary.setdefault(w, len(self.vocabulary)): n for w, n in counts.items() if w}
+        self.words.append(np.fromiter(own, np.int32, len(own)))
+        self.times.append(np.fromiter(own.values(), np.float32, len(own)))
+        self.sizes.append(len(own))
+        self.labels.append(label)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of all n-grams of the vocabulary, the word of each, and how many a word has; words a slice at a time."""
+        listed, parts, count = list(self.vocabulary), [], np.zeros(len(self.vocabulary), np.int64)
+        for lo in range(0, len(listed), SLICE):
+            code, begins = _code(listed[lo : lo + SLICE])
+            owner = np.repeat(np.arange(lo, min(lo + SLICE, len(listed)), dtype=np.int32), np.diff(begins))
+            for b in _buckets(code):
+                ok = b != BUCKETS
+                parts.append((b[ok].astype(np.int32), owner[ok]))
+                count += np.bincount(owner[ok], minlength=len(listed))
+        gram, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return gram, owner, count
+
+
+def word_counts(text: str) -> Counter:
+    return Counter(_LETTERS.findall(text.lower()))
+
+
+def _sums(at: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """For each column of `values`, the sums of its entries `of` by `at`; so few at a time that no long copy is made."""
+    out = np.zeros((n, values.shape[1]), np.float64)
+    for lo in range(0, len(at), SUMMED):
+        a, o = at[lo : lo + SUMMED], of[lo : lo + SUMMED]
+        for k in range(values.shape[1]):
+            out[:, k] += np.bincount(a, values[:, k][o], n)
+    return out.astype(np.float32)
+
+
+def fit_bags(bags: Bags, prior: float | None = None, epochs: int = 80, seed: int = 7) -> Model:
     """Trains embeddings and softmax jointly by Adam over the whole sample; `prior`: share of label 1 outside of it.
 
     With no text, or one label only, the model is constant.
     """
-    labels = np.asarray(labels, dtype=np.float64)
+    labels = np.asarray(bags.labels, dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():
         p = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
         return Model(np.zeros(BUCKETS + 1, np.float32), float(np.log(p / (1 - p))))
-    vocabulary: dict[str, int] = {"": 0}  # the empty word, which every document has
-    words, times, doc_of = [], [], []
-    for d, text in enumerate(texts):
-        own = Counter(vocabulary.setdefault(w, len(vocabulary)) for w in _LETTERS.findall(text.lower()))
-        own[0] = 1
-        words.extend(own), times.extend(own.values()), doc_of.extend([d] * len(own))
-    words, times, doc_of = np.array(words, np.int32), np.array(times, np.float64), np.array(doc_of, np.int32)
-    code, begins = _code(list(vocabulary))
-    owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), np.diff(begins))
-    pairs = [(b[ok].astype(np.int32), owner[ok]) for b in _buckets(code) for ok in [b != BUCKETS]]
-    gram, owner = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    del pairs
+    words, times, doc_of = np.concatenate(bags.words), np.concatenate(bags.times), np.repeat(np.arange(len(labels), dtype=np.int32), bags.sizes)
+    docs, n_words = len(labels), len(bags.vocabulary)
+    gram, owner, count_of = bags.grams()
     often = np.bincount(gram, minlength=BUCKETS) >= MIN_WORDS  # n-grams of a few words tell nothing about others
     used = np.flatnonzero(often)
-    count_of = np.bincount(owner, minlength=len(vocabulary))
-    gram, owner = (np.cumsum(often) - 1).astype(np.int32)[gram[often[gram]]], owner[often[gram]]
-    n_words = len(vocabulary)
+    kept = often[gram]
+    gram, owner = (np.cumsum(often) - 1).astype(np.int32)[gram[kept]], owner[kept]
     count = np.maximum(count_of, 1).astype(np.float32)[:, None]
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, w, bias)]
-    sums = lambda at, values, n: np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
     for step in range(1, epochs + 1):
-        mean = sums(owner, e[gram], n_words) / count
+        mean = _sums(owner, e, gram, n_words) / count
         logits = mean @ w + bias
         margin = (logits[:, 1] - logits[:, 0]).astype(np.float64)[words]
-        score = _soft_max(margin, doc_of, len(texts), times)
+        score = _soft_max(margin, doc_of, docs, times)
         p = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
-        g = ((p - labels) / len(texts))[doc_of] * times * np.exp(SHARPNESS * (margin - score[doc_of]))
+        g = ((p - labels) / docs)[doc_of] * times * np.exp(SHARPNESS * (margin - score[doc_of]))
         g = np.bincount(words, g, n_words)
         two = np.stack([-g, g], axis=1).astype(np.float32)
-        g_mean = (two @ w.T) / count
-        g_e = sums(gram, g_mean[owner], len(used))
+        g_e = _sums(gram, (two @ w.T) / count, owner, len(used))
         for (m, v), x, grad, rate in zip(state, (e, w, bias), (g_e + 1e-7 * e, mean.T @ two, two.sum(0)), (0.15, 0.05, 0.1), strict=True):
             m *= 0.9
             m += 0.1 * grad
@@ -161,25 +193,52 @@ def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs
     return Model(weights, float(bias[1] - bias[0]), shift)
 
 
+def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs: int = 80, seed: int = 7) -> Model:
+    """As fit_bags, for texts in memory."""
+    bags = Bags()
+    for text, label in zip(texts, labels, strict=True):
+        bags.add(word_counts(text), float(label))
+    return fit_bags(bags, prior, epochs, seed)
+
+
 def held_out(doc_id) -> object:
     """Whether a row's label is kept from training: crc32 of its id as text leaves 1 when divided by 3 (null: '')."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3) == 1
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most rows[label] texts of each label, chosen by a hash of the id, none of them held out."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_label"))
+def _counted(batches):
+    """Distinct words of each text and how often each occurs, in place of the text."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            counts = [word_counts(t or "") for t in part.column("_text").to_pylist()]
+            words = pa.array([list(c) for c in counts], pa.list_(pa.string()))
+            times = pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), words, times], names=["_id", "_label", "words", "times"])
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> DataFrame:
+    """_id, _label, words, times: at most rows[label] documents of each label, chosen by a hash of the id, none held out.
+
+    Words are counted where the texts are. Of rows that repeat an id one is taken, by a hash of its text; of labels
+    that differ for an id, the larger.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     chosen = None
     for value in (0, 1):
         part = known.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows[value])
         chosen = part if chosen is None else chosen.unionByName(part)
     found = docs.select("doc_id", common.text_or_empty().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # sum(rows) ids at most
-    pdf = found.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).orderBy("_id").toPandas()
-    return list(pdf["_text"]), pdf["_label"].to_numpy(dtype=np.float64)
+    once = found.groupBy("_id").agg(F.min_by(F.struct("_label", "_text"), F.xxhash64("_text")).alias("_r")).select(F.col("_id").cast("string").alias("_id"), "_r.*")
+    return once.mapInArrow(_counted, "_id string, _label int, words array<string>, times array<int>")
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The columns in `keep`, score (0 to 1) and predicted (score >= threshold). Null text is empty text."""
+    """The columns in `keep`, score (0 to 1) and predicted (score >= threshold), for every row.
+
+    Null text is empty text, which has the score of a document without words. Equal texts have equal scores, rows that
+    repeat an id are rows of their own, and an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in keep) + ", score double, predicted int"
@@ -192,7 +251,24 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), th
     return src.mapInArrow(run, schema)
 
 
+def _fitted(batches):
+    bags = Bags()
+    for batch in batches:
+        for words, times, label in zip(*(batch.column(n) for n in ("words", "times", "_label")), strict=True):
+            bags.add(dict(zip(words.as_py(), times.as_py(), strict=True)), float(label.as_py()))
+    model = fit_bags(bags)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.shift])], names=["weights", "bias", "shift"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> Model:
-    """Fits a model to labels of `docs` that are not held out."""
-    texts, y = training_sample(docs, labels, label, rows)
-    return fit(texts, y)
+    """Fits a model to labels of `docs` that are not held out.
+
+    One task of the cluster fits it, as the sample is bounded; the driver gets one number per bucket (1 MB).
+    """
+    with common.small_batches(docs.sparkSession):
+        sample = training_sample(docs, labels, label, rows).repartition(1).sortWithinPartitions("_id")
+        rows_of = sample.mapInArrow(_fitted, "weights binary, bias double, shift double").collect()
+    if not rows_of:  # of an empty table no task may be left
+        return fit_bags(Bags())
+    row = rows_of[0]
+    return Model(np.frombuffer(row["weights"], np.float32).copy(), row["bias"], row["shift"])
