@@ -37,26 +37,36 @@ def _decode(data: bytes) -> np.ndarray:
     return np.packbits(mask, bitorder="little")
 
 
-def _parts(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int):
-    """A task's once and twice filters as rows (segment, once, twice), compressed; absent segments are empty."""
+PARTS_SCHEMA = "segment long, once binary, twice binary"
+
+
+def parts(seen: list[np.ndarray], bits: int):
+    """A task's once and twice filters of the hashes in `seen`, which is emptied, as rows (segment, once, twice).
+
+    Each is compressed; absent segments are empty.
+    """
+    hashes = np.concatenate([*seen, np.zeros(0, np.uint64)])
+    seen.clear()
+    pa.default_memory_pool().release_unused()  # the batches' memory, before more is taken
+    hashes.sort()
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+    counts = np.diff(np.append(first, len(hashes)))
+    hashes = hashes[first]
+    once, twice = (np.unique(np.concatenate(places_of(x, bits))) for x in (hashes, hashes[counts > 1]))
+    for segment in np.unique(once // np.uint64(SEGMENT_BITS)):
+        lo = segment * np.uint64(SEGMENT_BITS)
+        row = []
+        for places in (once, twice):
+            a, b = np.searchsorted(places, [lo, lo + np.uint64(SEGMENT_BITS)])
+            row.append(_encode(places[a:b] - lo))
+        yield int(segment), row[0], row[1]
+
 
+def _parts(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int):
     def run(batches):
         seen = [h for batch in batches for h in hashes_of(batch)]
-        hashes = np.concatenate([*seen, np.zeros(0, np.uint64)])
-        seen.clear()
-        pa.default_memory_pool().release_unused()  # the batches' memory, before more is taken
-        hashes.sort()
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
-        counts = np.diff(np.append(first, len(hashes)))
-        hashes = hashes[first]
-        once, twice = (np.unique(np.concatenate(places_of(x, bits))) for x in (hashes, hashes[counts > 1]))
-        for segment in np.unique(once // np.uint64(SEGMENT_BITS)):
-            lo = segment * np.uint64(SEGMENT_BITS)
-            row = []
-            for places in (once, twice):
-                a, b = np.searchsorted(places, [lo, lo + np.uint64(SEGMENT_BITS)])
-                row.append(_encode(places[a:b] - lo))
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([int(segment)], pa.int64()), "once": [row[0]], "twice": [row[1]]})
+        for segment, once, twice in parts(seen, bits):
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int64()), "once": [once], "twice": [twice]})
 
     return run
 
@@ -82,17 +92,21 @@ def _merge(batches):
         yield done()
 
 
-def seen_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> bytes:
-    """The filter of the hashes that `hashes_of` the table's batches gives twice or more."""
-    parts = df.mapInArrow(_parts(hashes_of, bits), "segment long, once binary, twice binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
+def merged(rows: DataFrame, bits: int) -> bytes:
+    """The filter of the hashes seen twice or more, from the rows of all tasks' parts."""
+    whole = rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in whole.toLocalIterator():
         x = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
         out[row["segment"] * len(x) : (row["segment"] + 1) * len(x)] = x
     return out.tobytes()
 
 
+def seen_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> bytes:
+    """The filter of the hashes that `hashes_of` the table's batches gives twice or more."""
+    return merged(df.mapInArrow(_parts(hashes_of, bits), PARTS_SCHEMA), bits)
+
+
 def suspected(hashes: np.ndarray, bitmap: bytes) -> np.ndarray:
     """Which hashes the filter lets through."""
     table = np.frombuffer(bitmap, np.uint8)

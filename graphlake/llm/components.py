@@ -17,26 +17,36 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest of itself and its neighbours in an order that is dealt anew by a hash, and nodes
     that took the same become one, so that paths of any length shrink by a share each round: rounds grow with the
-    logarithm of the nodes, and end when no link is left. Only nodes with links take part; lineage is cut each round.
+    logarithm of the nodes, and end when no link is left. Only nodes with links take part. Rounds are written tables, not
+    checkpoints: these keep their partitionings, of which each join would double the number.
     """
-    both = common.cut(_both_ways(links))
-    steps, k = [], 0
-    while not both.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
-        low = both.groupBy("a").agg(F.least(order("a"), F.min(order("b")))["v"].alias("to"))
-        steps.append(common.cut(low.select(F.col("a").alias("node"), "to")))
-        of = lambda c: steps[-1].select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))  # noqa: B023, E731
-        both = common.cut(both.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct())
-        k += 1
-    if not steps:
-        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    # what a node became, from the last round back to the first
-    last = None
-    for step in reversed(steps):
-        if last is not None:
+    with common.scratch(links.sparkSession) as path:
+        both = common.written(_both_ways(links), f"{path}/links")
+        if both.isEmpty():
+            return common.cut(both.select(F.col("a").alias("node"), F.col("b").alias("component")))
+        steps: list[DataFrame] = []
+        while not both.isEmpty():
+            k = len(steps)
+            order = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+            low = both.groupBy("a").agg(F.least(order("a"), F.min(order("b")))["v"].alias("to"))
+            steps.append(common.written(low.select(F.col("a").alias("node"), "to"), f"{path}/step{k}"))
+            of = lambda c: steps[-1].select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))  # noqa: B023, E731
+            both = both.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct()
+            both = common.written(both, f"{path}/links{k}")
+        # what a node became, from the last round back to the first
+        last = steps[-1].withColumnRenamed("to", "head")
+        for k, step in reversed(list(enumerate(steps[:-1]))):
             step = step.join(last.select(F.col("node").alias("to"), F.col("head")), "to", "left").select("node", F.coalesce("head", "to").alias("head"))
-        else:
-            step = step.withColumnRenamed("to", "head")
-        last = common.cut(step)
-    smallest = last.groupBy("head").agg(F.min("node").alias("component"))
-    return common.cut(last.join(smallest, "head").select("node", "component"))
+            last = common.written(step, f"{path}/heads{k}")
+        smallest = last.groupBy("head").agg(F.min("node").alias("component"))
+        return common.cut(last.join(smallest, "head").select("node", "component"))
+
+
+def extended(found: DataFrame, links: DataFrame, path: str) -> DataFrame:
+    """`found` (node, component) with the components that further links (a, b) join, and their new nodes; written to `path`."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    joined = components(across)
+    new = joined.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    to = joined.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
+    return common.written(found.unionByName(new).join(to, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component")), path)

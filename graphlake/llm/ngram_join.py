@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom, common, textops
-from .components import components
+from .components import components, extended
 
 WORDS = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
@@ -33,6 +33,8 @@ PARTS, COMMON = 1.5, 24
 #: Bits of the filter for each document and its largest size (256 MB are broadcast at most).
 BITS_PER_DOC, MIN_BITS, MAX_BITS = 1_024, 1 << 20, 1 << 31
 CELLS = 256
+#: Sets of a large group that its others are compared with in a round, and rounds, before all open pairs are compared.
+PIVOTS, ROUNDS = 8, 2
 _BANDS = np.unique(np.ceil(1.5 ** np.arange(0, 80)).astype(np.int64))[:60]
 _TAG = np.uint64(63)
 
@@ -42,6 +44,10 @@ def _largest_difference(total):
     return total * (100 - PERCENT) // (100 + PERCENT)
 
 
+def _own_band(size: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_BANDS, np.maximum(size, 1), side="right") - 1
+
+
 def _parts_of(band: np.ndarray) -> np.ndarray:
     most = _largest_difference(2 * (_BANDS[band + 1] - 1))
     return np.where(most == 0, 1, np.ceil(PARTS * most).astype(np.int64) + 2)
@@ -62,7 +68,7 @@ def feature_sets(texts) -> object:
 def signatures(features: np.ndarray, of: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures, their rows and their rows' slack: non-empty parts beyond the largest difference."""
     out = []
-    own_band = np.searchsorted(_BANDS, np.maximum(size, 1), side="right") - 1
+    own_band = _own_band(size)
     mixed = textops.mix(features)
     for up in (0, 1):
         band = own_band + up
@@ -93,59 +99,50 @@ def signatures(features: np.ndarray, of: np.ndarray, size: np.ndarray) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _fresh_sets(texts, seen: set):
-    """As feature_sets, for the first of equal sets in a task only."""
-    for _, features, of, size, identity in feature_sets(texts):
-        _, first = np.unique(identity, return_index=True)
-        fresh = np.zeros(len(size), dtype=bool)
-        fresh[[i for i in first if size[i] and int(identity[i]) not in seen]] = True
-        seen.update(identity[fresh].tolist())
-        renamed = np.cumsum(fresh) - 1
-        inside = fresh[of]
-        yield features[inside], renamed[of[inside]], size[fresh], identity[fresh]
+_FIRST = f"doc_id long, set_id long, n long, {bloom.PARTS_SCHEMA}"
 
 
-def _hashes_of_batch():
-    seen: set = set()
+def _first_pass(bits: int):
+    """Rows (doc_id, set_id, n) of all texts, and a task's parts of the filters of their sets' signatures."""
 
-    def run(batch):
-        for features, of, size, _ in _fresh_sets(batch.column(0), seen):
-            yield signatures(features, of, size)[0]
+    def run(batches):
+        met, seen = set(), []
+        names = [f.split()[0] for f in _FIRST.split(", ")]
+        for batch in batches:
+            for lo, features, of, size, identity in feature_sets(batch.column(1)):
+                n, ids = len(size), batch.column(0).slice(lo, len(size))
+                fresh = _fresh(size, identity, met)
+                seen.append(signatures(features[fresh[of]], (np.cumsum(fresh) - 1)[of[fresh[of]]], size[fresh])[0])
+                none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(identity.view(np.int64)), pa.array(size.astype(np.int64)), *none], names=names)
+        for segment, once, twice in bloom.parts(seen, bits):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([segment], pa.int64()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())], names=names)
 
     return run
 
 
-class _Hashes:
-    """Signatures of a batch; each task has its own memory of sets met."""
+def _fresh(size: np.ndarray, identity: np.ndarray, met: set) -> np.ndarray:
+    """Which sets aren't empty and are the first of equal ones in a task."""
+    _, first = np.unique(identity, return_index=True)
+    fresh = np.zeros(len(size), dtype=bool)
+    fresh[[i for i in first if size[i] and int(identity[i]) not in met]] = True
+    met.update(identity[fresh].tolist())
+    return fresh
 
-    def __init__(self):
-        self.run = None
 
-    def __call__(self, batch):
-        self.run = self.run or _hashes_of_batch()
-        return self.run(batch)
-
-    def __getstate__(self):
-        return {"run": None}
-
-
-def _classes(batches):
-    for batch in batches:
-        for lo, _, _, size, identity in feature_sets(batch.column(1)):
-            ids = batch.column(0).slice(lo, len(size))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(identity.view(np.int64)), pa.array(size.astype(np.int64))], names=["doc_id", "set_id", "n"])
-
-
-_ROW_SCHEMA = "set_id long, sig long, slack int, n long, cells binary, features binary"
+_ROWS = "set_id long, sig long, n long, band int, slack array<int>, cells binary, features binary"
 
 
 def _suspected_rows(bitmap_of):
-    """Rows (set, signature, slack) of suspected signatures; and one row with the features of each set that has any."""
+    """Rows (set, signature) of suspected signatures; and one row of each set that has any, with its slack in both its bands."""
 
     def run(batches):
-        seen: set = set()
+        met: set = set()
+        names = [f.split()[0] for f in _ROWS.split(", ")]
         for batch in batches:
-            for features, of, size, identity in _fresh_sets(batch.column(0), seen):
+            for _, features, of, size, identity in feature_sets(batch.column(0)):
+                fresh = _fresh(size, identity, met)
+                features, of, size, identity = features[fresh[of]], (np.cumsum(fresh) - 1)[of[fresh[of]]], size[fresh], identity[fresh]
                 sig, row, slack = signatures(features, of, size)
                 ok = bloom.suspected(sig, bitmap_of.value)
                 sig, row, slack = sig[ok], row[ok], slack[ok]
@@ -155,15 +152,20 @@ def _suspected_rows(bitmap_of):
                 sig, row, slack = sig[able], row[able], slack[able]
                 held = np.unique(row)
                 ends = np.cumsum(size)
+                own = _own_band(size)
+                slacks = np.zeros((len(size), 2), np.int32)
+                slacks[row, (sig & _TAG).astype(np.int64) - own[row]] = slack
+                slacks = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * 2, pa.int32()), pa.array(slacks[held].ravel()))
                 cells = [np.minimum(np.bincount((features[ends[r] - size[r] : ends[r]] >> np.uint64(7)) % np.uint64(CELLS), minlength=CELLS), 255).astype(np.uint8).tobytes() for r in held]
                 packed = [features[ends[r] - size[r] : ends[r]].tobytes() for r in held]
-                names = ["set_id", "sig", "slack", "n", "cells", "features"]
                 k, h = len(sig), len(held)
+                none = lambda kind, n: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(identity.view(np.int64)[row]), pa.array(sig.view(np.int64)), pa.array(slack.astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names
+                    [pa.array(identity.view(np.int64)[row]), pa.array(sig.view(np.int64)), none(pa.int64(), k), none(pa.int32(), k), none(pa.list_(pa.int32()), k), none(pa.binary(), k), none(pa.binary(), k)], names=names
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(identity.view(np.int64)[held]), pa.nulls(h, pa.int64()), pa.nulls(h, pa.int32()), pa.array(size[held].astype(np.int64)), pa.array(cells, pa.binary()), pa.array(packed, pa.binary())], names=names
+                    [pa.array(identity.view(np.int64)[held]), none(pa.int64(), h), pa.array(size[held].astype(np.int64)), pa.array(own[held].astype(np.int32)), slacks, pa.array(cells, pa.binary()), pa.array(packed, pa.binary())],
+                    names=names,
                 )
 
     return run
@@ -189,9 +191,8 @@ def _linked(batches):
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, cells: DataFrame, path: str) -> DataFrame:
     """The pairs (a < b) that link, by their whole sets. Features are read for sets of pairs that pass all bounds only."""
-    cells = rows.filter("features is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
     side = lambda df, columns, x: df.select(*(F.col(c).alias({"set_id": x}.get(c, f"{c}_{x}")) for c in columns))
     near = pairs.join(side(cells, ["set_id", "n", "cells"], "a"), "a").join(side(cells, ["set_id", "n", "cells"], "b"), "b")
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
@@ -230,54 +231,120 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n)), pa.array(features)], names=["set_id", "n", "sig"])
 
 
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, F.col("set_id") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "set_id")).drop("node", "component")
+
+
+def _worth(a, b):
+    """Whether two sets (structs of n, c, rank) of one group may link and aren't linked yet."""
+    low, high = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    small = F.when(a["n"] <= b["n"], a["rank"]).otherwise(b["rank"])
+    still = 1 + F.least(a["n"] - a["rank"], b["n"] - b["rank"])  # features that may be shared from here on
+    able = a["rank"].isNull() | ((small <= low - _shared_least(low + low) + 1) & (still >= _shared_least(a["n"] + b["n"])))
+    return (a["c"] != b["c"]) & (low * 100 >= high * PERCENT) & able
+
+
+def _pivot_pairs(large: DataFrame, found: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b): the sets of groups that are in several components, each with the group's few pivots of this round.
+
+    A hash deals a group's sets into PIVOTS classes, and each class's pivot is the set that has most company in all its
+    groups: the original of a family of copies is in most of their groups.
+    """
+    company = large.groupBy("set_id").agg(F.sum("_sets").alias("_w"))
+    own = F.struct("n", F.col("_c").alias("c"), "rank").alias("own")
+    rows = _with_component(large, found).join(sizes, "set_id").join(company, "set_id").select("sig", "set_id", "_w", own)
+    dealt = F.pmod(F.xxhash64(F.lit(k), "set_id"), F.lit(PIVOTS))
+    best = lambda j: F.max(F.when(dealt == j, F.struct("_w", "set_id", "own")))
+    pivots = rows.groupBy("sig").agg(F.array(*map(best, range(PIVOTS))).alias("_p"), F.min("own.c").alias("_lo"), F.max("own.c").alias("_hi")).filter("_lo < _hi").select("sig", "_p")
+    pair = F.explode(F.filter("_p", lambda p: p.isNotNull() & _worth(p["own"], F.col("own"))))
+    pairs = rows.join(pivots, "sig").select("set_id", pair.alias("_q")).select("set_id", F.col("_q.set_id").alias("_b"))
+    return pairs.select(F.least("set_id", "_b").alias("a"), F.greatest("set_id", "_b").alias("b")).distinct()
+
+
 def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included), for every row.
+    """doc_id, set_id, n_shingles and component_id (smallest doc_id reachable by links, itself included), for every row.
 
     Rows with no words (null or empty text) have no features, link with nothing and are their own component. Rows of
     equal features are linked. Rows with a null doc_id take part; a component's id is its smallest id that isn't null.
+    Rows that repeat a doc_id are rows of their own, told apart by set_id, the identity of a row's features.
     """
     spark = docs.sparkSession
     texts = docs.select(common.text_or_empty().alias("text"))
-    with common.small_batches(spark, 1_024):
-        base = common.cut(docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(_classes, "doc_id long, set_id long, n long"))
-        bits = min(max_bits, max(MIN_BITS, common.pow2_at_least(base.count() * BITS_PER_DOC)))
-        bitmap = spark.sparkContext.broadcast(bloom.seen_twice(texts, _Hashes(), bits))
+    bits = min(max_bits, max(MIN_BITS, common.pow2_at_least(docs.count() * BITS_PER_DOC)))
     with common.scratch(spark) as path:
         with common.small_batches(spark, 1_024):
-            rows = common.written(texts.mapInArrow(_suspected_rows(bitmap), _ROW_SCHEMA), f"{path}/rows")
-        sigs = rows.filter("sig is not null").select("set_id", "sig", "slack")
-        sizes = rows.filter("features is not null").select("set_id", "n").distinct()
-        sigs = sigs.repartition("sig")  # one exchange for the groups and for what is joined with them
+            first = common.written(docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(_first_pass(bits), _FIRST), f"{path}/first")
+        base = first.filter("segment is null").select("doc_id", "set_id", "n")
+        bitmap = spark.sparkContext.broadcast(bloom.merged(first.filter("segment is not null").select("segment", "once", "twice"), bits))
+        with common.small_batches(spark, 1_024):
+            rows = common.written(texts.mapInArrow(_suspected_rows(bitmap), _ROWS), f"{path}/rows")
+        bitmap.unpersist()
+        sigs = rows.filter("sig is not null").select("set_id", "sig").repartition("sig")  # one exchange for the groups and for what is joined with them
+        sets = rows.filter("features is not null")
+        cells = common.written(sets.groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("n", "band", "slack", "cells"))), f"{path}/cells")
+        sizes = cells.select("set_id", "n")
         shared = sigs.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("a < _q").select("sig", "a", "_sets")
         members = common.written(sigs.join(shared, "sig"), f"{path}/members")
         often = members.filter(F.col("_sets") > common_sets)
-        lost = often.groupBy("set_id", F.col("sig").bitwiseAND(F.lit(63)).alias("_band")).agg(F.count_distinct("sig").alias("_lost"), F.first("slack").alias("slack"))
-        weak = lost.filter(F.col("slack") - F.col("_lost") < 1).select("set_id").distinct()
+        lost = often.groupBy("set_id", F.col("sig").bitwiseAND(F.lit(63)).cast("int").alias("_band")).agg(F.count_distinct("sig").alias("_lost"))
+        weak = lost.join(cells.select("set_id", "band", "slack"), "set_id").filter(F.get("slack", F.col("_band") - F.col("band")) - F.col("_lost") < 1).select("set_id").distinct()
         with common.small_batches(spark):
             rare = common.written(_rare_features(rows, weak), f"{path}/rare")
-        first = rare.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("a < _q").select("sig", "a", "_sets")
+        groups = rare.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("a < _q").select("sig", "a", "_sets")
         members = members.filter(F.col("_sets") <= common_sets).select("sig", "a", "_sets", "set_id", F.lit(None).cast("int").alias("rank"))
-        members = members.unionByName(rare.join(first, "sig").select("sig", "a", "_sets", "set_id", "rank"))
+        members = members.unionByName(rare.join(groups, "sig").select("sig", "a", "_sets", "set_id", "rank"))
         star = common.cut(members.filter("a < set_id").select("a", F.col("set_id").alias("b")).distinct())
-        links = _verified(star, rows, f"{path}/star")
-        found = common.cut(components(links))
+        found = components(_verified(star, rows, cells, f"{path}/star"))
+        # groups of two are done; in large ones, sets are compared with a few pivots for some rounds before all that are
+        # still in different components are compared with each other
+        wide = members.filter("_sets > 2")
+        for k in range(ROUNDS):
+            pairs = common.written(_pivot_pairs(wide.filter(F.col("_sets") > 2 * PIVOTS), found, sizes, k), f"{path}/pivots{k}")
+            links = _verified(pairs, rows, cells, f"{path}/round{k}")
+            if links.isEmpty():
+                break
+            found = extended(found, links, f"{path}/found{k}")
         of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"_c{x}"))
         apart = star.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
-        # groups of two are done; larger ones with a set apart from the first are compared across components
-        wide = members.filter("_sets > 2")
         split = wide.join(apart.select("a", F.col("b").alias("set_id")), ["a", "set_id"], "left_semi").select("sig").distinct()
-        open_rows = wide.filter("a < set_id").join(split, "sig", "left_semi").join(found, F.col("set_id") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "set_id")).join(sizes, "set_id")
-        x, y = (open_rows.select("sig", F.col("set_id").alias(s), F.col("_c").alias(f"_c{s}"), F.col("n").alias(f"_n{s}"), F.col("rank").alias(f"_r{s}")) for s in "ab")
-        fits = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * PERCENT
-        small, low = F.when(F.col("_na") <= F.col("_nb"), F.col("_ra")).otherwise(F.col("_rb")), F.least("_na", "_nb")
-        still = 1 + F.least(F.col("_na") - F.col("_ra"), F.col("_nb") - F.col("_rb"))  # features that may be shared from here on
-        able = F.col("_ra").isNull() | ((small <= low - _shared_least(low + low) + 1) & (still >= _shared_least(F.col("_na") + F.col("_nb"))))
-        across = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & F.col("_ra").isNull().eqNullSafe(F.col("_rb").isNull()) & fits & able).select("a", "b").distinct()
-        links = common.cut(links.union(_verified(across, rows, f"{path}/across")))
-        found = components(links)
-    bitmap.unpersist()
-    named = base.join(found, F.col("set_id") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "set_id")).drop("node", "component")
-    named = common.cut(named)
-    smallest = named.filter("n > 0").groupBy("_c").agg(F.min("doc_id").alias("_id"))
-    out = named.filter("n > 0").join(smallest, "_c").select("doc_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
-    return out.unionByName(named.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        open_rows = _with_component(wide.filter("a < set_id").join(split, "sig", "left_semi"), found).join(sizes, "set_id")
+        x, y = (open_rows.select("sig", F.col("set_id").alias(s), F.struct("n", F.col("_c").alias("c"), "rank").alias(f"_{s}")) for s in "ab")
+        same_kind = F.col("_a.rank").isNull().eqNullSafe(F.col("_b.rank").isNull())
+        across = x.join(y, "sig").filter((F.col("a") < F.col("b")) & same_kind & _worth(F.col("_a"), F.col("_b"))).select("a", "b").distinct()
+        found = extended(found, _verified(common.written(across, f"{path}/pairs"), rows, cells, f"{path}/across"), f"{path}/found")
+        # ids by sets first: a component is then joined by its sets, not by its rows
+        of_sets = _with_component(base.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("_id")), found)
+        smallest = of_sets.join(of_sets.groupBy("_c").agg(F.min("_id").alias("component_id")), "_c").select("set_id", "component_id")
+        named = base.filter("n > 0").join(smallest, "set_id").select("doc_id", "set_id", F.col("n").alias("n_shingles"), "component_id")
+        alone = base.filter("n = 0").select("doc_id", "set_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return common.cut(named.unionByName(alone))
+
+
+def _identified(batches):
+    """The rows with the identity of each text's set after them."""
+    for batch in batches:
+        ids = np.concatenate([np.zeros(0, np.uint64), *(identity for _, _, _, _, identity in feature_sets(batch.column(batch.num_columns - 1)))])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids.view(np.int64))], names=[*batch.schema.names[:-1], "_set"])
+
+
+def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns, doc_id among them, of one row of each component: that of the smallest doc_id.
+
+    Of rows that repeat this id within the component, the least of all columns stays, so that reruns agree. Rows
+    without words stay, all of them; an empty table gives an empty result.
+    """
+    found = cluster(docs).withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = common.cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_all"), F.max("_kept").alias("_kept")).filter("_kept"))
+    own = F.col("doc_id").eqNullSafe(F.col("_id"))
+    several = ids.filter("_all > 1")
+    one = docs.select(*columns).join(ids.filter("_all = 1").select("_id"), own, "left_semi")
+    if several.isEmpty():
+        return one
+    rows = docs.select(*columns, common.text_or_empty().alias("_set")).join(several.select("_id"), own, "left_semi")
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in columns)
+    with common.small_batches(docs.sparkSession, 1_024):
+        rows = common.cut(rows.mapInArrow(_identified, f"{schema}, _set long"))
+    kept = found.filter("_kept").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_s"), F.col("component_id").alias("_c"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    rows = rows.join(kept, own & (F.col("_set") == F.col("_s")))
+    first = rows.filter("not _empty").groupBy("_id", "_c").agg(F.min(F.struct(*columns)).alias("_r")).select("_r.*")
+    return one.unionByName(first).unionByName(rows.filter("_empty").select(*columns))

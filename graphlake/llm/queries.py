@@ -53,7 +53,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.cluster(common.table(spark, sf_dir, "documents"))
+    return ngram_join.cluster(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
