@@ -28,9 +28,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component that has its smallest doc_id; documents without words stay."""
-    first = ngram_join.cluster(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each component: the one with its smallest doc_id, and one of the rows that repeat this id.
+
+    Documents without words (null or empty text) stay, all of them.
+    """
+    return ngram_join.one_of_each(docs, COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
