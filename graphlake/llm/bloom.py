@@ -37,6 +37,12 @@ def _decode(data: bytes) -> np.ndarray:
     return np.packbits(mask, bitorder="little")
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorts `x` in place, which is several times faster here than by hashing."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
+
+
 PARTS_SCHEMA = "segment long, once binary, twice binary"
 
 
@@ -52,8 +58,8 @@ def parts(seen: list[np.ndarray], bits: int):
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
     counts = np.diff(np.append(first, len(hashes)))
     hashes = hashes[first]
-    once, twice = (np.unique(np.concatenate(places_of(x, bits))) for x in (hashes, hashes[counts > 1]))
-    for segment in np.unique(once // np.uint64(SEGMENT_BITS)):
+    once, twice = (_distinct(np.concatenate(places_of(x, bits))) for x in (hashes, hashes[counts > 1]))
+    for segment in _distinct(once // np.uint64(SEGMENT_BITS)):
         lo = segment * np.uint64(SEGMENT_BITS)
         row = []
         for places in (once, twice):

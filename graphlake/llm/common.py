@@ -81,3 +81,27 @@ def small_batches(spark: SparkSession, rows: int = 256):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+#: Elements of an array that `fold` takes in one inner step.
+FOLDED = 256
+
+
+def fold(items, state, empty, step):
+    """Column: what `step` puts out over an array of structs, in order, as one array.
+
+    state: column of the first state; empty: an empty array of the output's type; step(state, item) gives a struct of
+    the next `state` and the array `out` of what the item adds. An array that grows by one element a step is copied
+    each time; here only those of a block are, so that time doesn't grow with the square of the array's size.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLDED).cast("int")), lambda b: F.slice(items, b * FOLDED + 1, F.lit(FOLDED)))
+
+    def inner(acc, x):
+        return F.transform(F.array(step(acc["state"], x)), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out")))[0]
+
+    def outer(acc, block):
+        done = F.aggregate(block, F.struct(acc["state"].alias("state"), empty.alias("out")), inner)
+        return F.transform(F.array(done), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+
+    none = F.slice(F.array(empty), F.lit(1), F.lit(0))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, F.struct(state.alias("state"), none.alias("out")), outer, lambda acc: acc["out"]))).otherwise(empty)

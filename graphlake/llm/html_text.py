@@ -1,12 +1,15 @@
-"""Main text of web pages: page structure first, a host's suffix array for what structure leaves open.
+"""Main text of web pages: a host's suffix array tells boilerplate, page structure tells where the article is.
 
 A page is read into blocks of text. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments go, as do scripts and styles. If the page marks its article, the text is what is left inside of it. If not,
-the token streams of the host's pages are concatenated and the suffixes of the whole are sorted: substrings of at
-least RUN tokens found on MIN_PAGES distinct pages are boilerplate; covered tokens go, and the unique runs stay.
-
-Hosts of many pages are cut into shards of a bounded number, each with its own array. Stretches of RUN tokens are then
-counted over all shards of a host, so what a shard saw on too few pages still meets the others of its kind.
+comments are its chrome; scripts and styles are no text. The token streams of what stands outside of marked articles are
+concatenated for each host and their suffixes sorted: substrings of at least RUN tokens found on MIN_PAGES distinct
+pages are boilerplate. Pages are then covered with these substrings. Where a page marks no article, covered tokens and
+chrome go, and the unique runs stay. Where it does, its article's blocks stay as they are, but for those that are
+covered wholly with substrings of the host's chrome: menus or notices inside of the article that no markup tells of.
+Should no block be left, all stay.
+
+Hosts of many pages are cut into shards of a bounded number, each with its own array; what a shard counts is summed over
+all shards of a host, so what a shard saw on too few pages still meets the others of its kind.
 """
 
 from __future__ import annotations
@@ -22,10 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom, common
+
 RUN, MIN_PAGES, SHARD_PAGES = 8, 3, 256
+#: Pages parsed at once; hosts whose numbers of pages are broadcast at most; bits of the filter of repeated stretches.
+SLICE, BROADCAST_HOSTS = 512, 100_000
+BITS_PER_WINDOW, MIN_BITS, MAX_BITS = 32, 1 << 20, 1 << 31
 #: Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg math textarea select object canvas audio video title".split())
+RAW = set("script style noscript template iframe textarea select object canvas audio video title".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -33,9 +41,9 @@ BLOCK = set(
 DROP = set("nav aside footer form menu dialog button head".split())
 MAIN_ROLES, DROP_ROLES = {"main", "article"}, set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar note form".split())
 DROP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|newsletter\w*|subscri\w*|signup|popup\w*|modal\w*|overlay|"
-    r"comment\w*|disqus\w*|respond|replies|reply|sidebar\w*|side|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|breadcrumb\w*|pagination|pager|menu\w*|nav|navbar\w*|navigation|topbar|"
-    r"footer\w*|masthead|site-?header|page-?header|skip\w*|login|toolbar|tags|byline-?links)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|newsletter\w*|subscri\w*|signup|popup\w*|modal\w*|"
+    r"comment\w*|disqus\w*|respond|replies|reply|sidebar\w*|widget\w*|breadcrumb\w*|pagination|pager|menu\w*|nav|navbar\w*|navigation|topbar|"
+    r"footer\w*|masthead|site-?header|page-?header|login|toolbar)(?:$|[\s_-])",
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
@@ -144,9 +152,14 @@ def stream(found: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
 
 
 def main_text(found: list[tuple[str, str]], covered: np.ndarray | None = None) -> str:
-    """The article's blocks, or those outside of dropped parts without their covered tokens."""
+    """The page's text; covered: which of `article_stream`'s tokens (of a marked article), or else of `stream`'s, are boilerplate."""
     if any(role == "main" for role, _ in found):
-        return "\n".join(text for role, text in found if role == "main")
+        texts = [text for role, text in found if role == "main"]
+        if covered is not None:
+            ends = np.cumsum([text.count(" ") + 1 for text in texts])
+            kept = [text for text, part in zip(texts, np.split(covered, ends[:-1]), strict=True) if not part.all()]
+            texts = kept or texts
+        return "\n".join(texts)
     tokens, of = stream(found)
     rows: dict[int, list[str]] = {}
     for k, (token, i) in enumerate(zip(tokens, of, strict=True)):
@@ -155,39 +168,106 @@ def main_text(found: list[tuple[str, str]], covered: np.ndarray | None = None) -
     return "\n".join(" ".join(x) for x in rows.values())
 
 
-def covered_tokens(streams: list[np.ndarray], run: int = RUN, min_pages: int = MIN_PAGES, pages: list | None = None) -> list[np.ndarray]:
-    """For each stream which tokens lie in substrings of `run` tokens or more that `min_pages` distinct pages hold.
+def article_stream(found: list[tuple[str, str]]) -> list[str]:
+    """Tokens of the marked article."""
+    return [token for role, text in found if role == "main" for token in text.split(" ")]
+
+
+def suffix_array(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The concatenation's suffixes in order, what each has in common with the one before it, its stream, its place there.
 
-    The suffixes of the concatenation are sorted by prefix doubling, up to `run` tokens: suffixes that share so many
-    are neighbours, and longer repeats are unions of these.
+    Suffixes end with their stream. Ranks by 1, 2, 4, ... tokens sort them by prefix doubling until all differ; common
+    prefixes are then measured by the same ranks, the longest step first.
     """
-    lengths = np.array([len(s) for s in streams], np.int64)
-    if not lengths.sum():
-        return [np.zeros(n, dtype=bool) for n in lengths]
-    names = np.unique(np.asarray(pages if pages is not None else np.arange(len(streams))), return_inverse=True)[1]
+    lengths = np.array([len(x) for x in streams], np.int64)
+    n = int(lengths.sum())
+    if not n:
+        return (np.zeros(0, np.int64),) * 4
     whole = np.concatenate(streams)
-    page, end = np.repeat(names, lengths), np.repeat(np.cumsum(lengths), lengths)
-    rank, n = np.unique(whole, return_inverse=True)[1].astype(np.int64) + 1, len(whole)
+    of = np.repeat(np.arange(len(streams)), lengths)
+    end = np.cumsum(lengths)[of]
     place, depth = np.arange(n), 1
-    while depth < run:
-        step = min(depth, run - depth)
-        there = place + step
-        later = np.where(there < end, rank[np.minimum(there, n - 1)], 0)  # nothing after a stream's end
-        rank = np.unique(rank * (rank.max() + 1) + later, return_inverse=True)[1].astype(np.int64) + 1
-        depth += step
-    fits = place + run <= end
-    order = np.lexsort((page, rank))
-    order = order[fits[order]]
-    out = np.zeros(n + 1, np.int64)
-    if len(order):
-        r, p = rank[order], page[order]
-        first = np.concatenate([[True], r[1:] != r[:-1]])
-        fresh = first | np.concatenate([[True], p[1:] != p[:-1]])
-        group = np.cumsum(first) - 1
-        hit = place[order][np.bincount(group, fresh)[group] >= min_pages]
-        np.add.at(out, hit, 1)
-        np.add.at(out, hit + run, -1)
-    return np.split(np.cumsum(out[:-1]) > 0, np.cumsum(lengths)[:-1])
+    ranks = [np.unique(whole, return_inverse=True)[1].astype(np.int64) + 1]
+    while depth < lengths.max() and ranks[-1].max() < n:
+        there = place + depth
+        later = np.where(there < end, ranks[-1][np.minimum(there, n - 1)], 0)  # nothing after a stream's end
+        ranks.append(np.unique(ranks[-1] * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1)
+        depth *= 2
+    order = np.lexsort((place, ranks[-1]))
+    a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(n, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):  # equal ranks by 2**k tokens: these are in common
+        while True:
+            inside = (a + (1 << k) <= end[order[:-1]]) & (b + (1 << k) <= end[order[1:]])
+            same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+            if not same.any():
+                break
+            step = same.astype(np.int64) << k
+            a, b = a + step, b + step
+            common[1:] += step
+            if k < len(ranks) - 1:
+                break  # at most once, but for the longest step
+    begins = np.cumsum(lengths) - lengths
+    return order, common, of[order], order - begins[of[order]]
+
+
+def repeats(streams: list[np.ndarray], run: int = RUN, pages: np.ndarray | None = None, marks: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each substring of `run` tokens: the stream and place of one of them, and on how many distinct pages it stands.
+
+    pages: each stream's page. Last, the same count over stretches all of whose tokens are marked in `marks`.
+    Neighbours in the suffix array with as much in common are one substring.
+    """
+    order, common, of, at = suffix_array(streams)
+    lengths = np.array([len(x) for x in streams], np.int64)
+    fits = at + run <= lengths[of] if len(order) else np.zeros(0, dtype=bool)
+    group = np.cumsum(~(common >= run))[fits] if len(order) else np.zeros(0, np.int64)
+    of, at = of[fits], at[fits]
+    if not len(of):
+        return (np.zeros(0, np.int64),) * 4
+    names = np.unique(pages, return_inverse=True)[1] if pages is not None else np.arange(len(streams))
+    group = np.unique(group, return_inverse=True)[1]
+    first = np.unique(group, return_index=True)[1]
+
+    def counted(chosen: np.ndarray) -> np.ndarray:
+        pairs = np.unique(np.stack([group[chosen], names[of[chosen]]]), axis=1)
+        return np.bincount(pairs[0], minlength=len(first))
+
+    every = np.ones(len(of), dtype=bool)
+    if marks is None:
+        marked = ~every
+    else:
+        sums = [np.concatenate([[0], np.cumsum(m)]) for m in marks]
+        marked = np.array([sums[s][p + run] - sums[s][p] == run for s, p in zip(of.tolist(), at.tolist(), strict=True)], dtype=bool)
+    return of[first], at[first], counted(every), counted(marked)
+
+
+def covered_tokens(streams: list[np.ndarray], run: int = RUN, min_pages: int = MIN_PAGES, pages: list | None = None) -> list[np.ndarray]:
+    """For each stream which tokens lie in substrings of `run` tokens or more that `min_pages` distinct pages hold."""
+    at, place, n, _ = repeats(streams, run, None if pages is None else np.asarray(pages))
+    known = {windows(streams[s][p : p + run], run)[0] for s, p, k in zip(at.tolist(), place.tolist(), n.tolist(), strict=True) if k >= min_pages}
+    return [cover(x, np.isin(windows(x, run), list(known)), run) for x in streams]
+
+
+def cover(tokens: np.ndarray, hits: np.ndarray, run: int) -> np.ndarray:
+    """Which tokens lie in one of the stretches of `run` tokens that are hit."""
+    edges = np.zeros(len(tokens) + 1, np.int64)
+    at = np.flatnonzero(hits)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + run, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def windows(tokens: np.ndarray, run: int) -> np.ndarray:
+    """A hash of each stretch of `run` tokens."""
+    if len(tokens) < run:
+        return np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(tokens.view(np.uint64), run)
+    odd = np.random.default_rng(5).integers(1, 1 << 62, run, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mixed = (views * odd).sum(axis=1, dtype=np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _hashes(tokens: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens)).view(np.int64)
 
 
 def _key(url: str | None, page: str | None) -> bytes:
@@ -198,128 +278,137 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", url or "", flags=re.I).split("/")[0].split("?")[0].split("#")[0].lower()
 
 
+_STREAM = "host string, key binary, tokens binary, chrome binary"
+
+
 def _streams(batches):
+    """Rows _STREAM of what stands outside of marked articles; chrome: a byte for each token."""
+    names = [f.split()[0] for f in _STREAM.split(", ")]
     for big in batches:
-        for lo in range(0, big.num_rows, 512):
-            batch = big.slice(lo, 512)
+        for lo in range(0, big.num_rows, SLICE):
+            batch = big.slice(lo, SLICE)
             rows = []
             for url, page in zip(*(batch.column(n).to_pylist() for n in ("_url", "_html")), strict=True):
                 found = blocks(page)
-                tokens, _ = stream(found)
-                if tokens:
-                    hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64).view(np.int64)
-                    rows.append((host_of(url), _key(url, page), not any(r == "main" for r, _ in found), 0, len(tokens), hashes.tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STREAM_TYPES, strict=True)], names=_STREAM_NAMES)
+                tokens, of = stream(found)
+                if len(tokens) >= RUN:
+                    marked = any(role == "main" for role, _ in found)
+                    rows.append((host_of(url), _key(url, page), _hashes(tokens).tobytes(), (np.ones(len(of), np.uint8) if marked else (np.array(of) < 0).astype(np.uint8)).tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            types = [pa.string(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-_STREAM_NAMES = ["host", "key", "open", "start", "n", "tokens"]
-_STREAM_TYPES = [pa.string(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
-_STREAM_SCHEMA = "host string, key binary, open boolean, start int, n int, tokens binary"
+def boilerplate(streams: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
+    """host, window, chrome: stretches of `run` tokens that a host repeats, and whether it repeats them in its chrome."""
+    hosts = streams.groupBy(F.col("host").alias("_h")).agg(F.ceil(F.count("*") / shard_pages).alias("_shards"))
+    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    dealt = streams.join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_h")).withColumn("_shard", F.pmod(F.xxhash64("key"), F.col("_shards"))).drop("_h")
 
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [np.frombuffer(t, np.int64) for t in pdf["tokens"]]
+        pages = np.unique(pdf["key"].map(bytes).to_numpy(), return_inverse=True)[1]
+        s, p, n, chrome = repeats(found, run, pages, [np.frombuffer(t, np.uint8) for t in pdf["chrome"]])
+        if int(pdf["_shards"].iloc[0]) == 1:  # no other shard adds to these counts
+            kept = n >= min_pages
+            s, p, n, chrome = s[kept], p[kept], n[kept], chrome[kept]
+        hashes = [windows(found[i][j : j + run], run)[0] for i, j in zip(s.tolist(), p.tolist(), strict=True)]
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]] * len(hashes), "window": np.array(hashes, np.int64), "pages": n, "chrome": chrome})
+
+    counted = dealt.groupBy("host", "_shard").applyInPandas(within, "host string, window long, pages long, chrome long")
+    # a page is in one shard, so the shards' pages add up
+    total = counted.groupBy("host", "window").agg(F.sum("pages").alias("_pages"), F.sum("chrome").alias("_chrome"))
+    return total.filter(F.col("_pages") >= min_pages).select("host", "window", (F.col("_chrome") >= min_pages).alias("chrome"))
 
-def _cover(pdf: pd.DataFrame, run: int, min_pages: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    streams = [np.frombuffer(t, np.int64) for t in pdf["tokens"]]
-    pages = np.unique(pdf["key"].map(bytes).to_numpy(), return_inverse=True)[1]
-    return list(zip(streams, covered_tokens(streams, run, min_pages, pages), strict=True))
 
+def _place(host: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(host))
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
+def _of_host(hosts: list[str], found: np.ndarray) -> np.ndarray:
+    """Filter hashes of windows of hosts."""
+    return found.view(np.uint64) ^ np.array([_place(h) for h in hosts], np.uint64)
 
-def repeated_runs(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """key (of a page without a marked article), start, n: stretches of its stream that its host repeats."""
-    rows = pages.select(F.col("url").alias("_url"), F.col("html").alias("_html")).mapInArrow(_streams, _STREAM_SCHEMA)
-    hosts = rows.groupBy(F.col("host").alias("_h")).agg(F.ceil(F.count("*") / shard_pages).alias("_shards"))
-    dealt = rows.join(hosts, F.col("host") == F.col("_h")).withColumn("_shard", F.pmod(F.xxhash64("key"), F.col("_shards"))).drop("_h")
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, windows, owners = [], [], []
-        alone = int(pdf["_shards"].iloc[0]) == 1
-        host = pdf["host"].iloc[0]
-        for k, (r, (tokens, mask)) in enumerate(zip(pdf.itertuples(index=False), _cover(pdf, run, min_pages), strict=True)):
-            if r.open:
-                out += [(host, r.key, a, b - a, None, None) for a, b in _runs(mask)]
-            if not alone and len(tokens) >= run:
-                mixed = _windows(tokens, run)
-                windows.append(mixed), owners.append(np.full(len(mixed), k))
-                if r.open:
-                    whole = np.lib.stride_tricks.sliding_window_view(mask, run).all(axis=1)
-                    out += [(host, r.key, int(i), run, int(mixed[i]), None) for i in np.flatnonzero(~whole)]
-        if windows:
-            pages = np.unique(pdf["key"].map(bytes).to_numpy(), return_inverse=True)[1]
-            pairs = np.unique(np.stack([np.concatenate(windows), pages[np.concatenate(owners)]]), axis=1)
-            found, counts = np.unique(pairs[0], return_counts=True)
-            out += [(host, None, None, None, w, n) for w, n in zip(found.tolist(), counts.tolist(), strict=True)]
-        kinds = {"host": object, "key": object, "start": "Int32", "n": "Int32", "window": "Int64", "pages": "Int64"}  # with nulls, and exact
-        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        return pd.DataFrame({n: pd.array(list(c), dtype=t) if t is not object else pd.Series(list(c), dtype=object) for (n, t), c in zip(kinds.items(), columns, strict=True)})
-
-    first = dealt.groupBy("host", "_shard").applyInPandas(within, "host string, key binary, start int, n int, window long, pages long")
-    # a page is in one shard, so the shards' pages add up
-    totals = first.filter(F.col("pages").isNotNull()).groupBy("host", "window").agg(F.sum("pages").alias("_pages")).filter(F.col("_pages") >= min_pages)
-    second = first.filter(F.col("key").isNotNull() & F.col("window").isNotNull()).join(totals, ["host", "window"]).select("key", "start", "n")
-    return first.filter(F.col("window").isNull()).select("key", "start", "n").unionByName(second)
+def _batch_hashes(batch: pa.RecordBatch):
+    # twice each, as the filter lets through what is seen twice
+    yield np.repeat(_of_host(batch.column("host").to_pylist(), batch.column("window").to_numpy()), 2)
 
 
-def _windows(tokens: np.ndarray, run: int) -> np.ndarray:
-    """A hash of each stretch of `run` tokens."""
-    views = np.lib.stride_tricks.sliding_window_view(tokens.view(np.uint64), run)
-    odd = 2 * np.arange(run, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    mixed = (views * odd).sum(axis=1, dtype=np.uint64)
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+_ROW_NAMES = ["_text", "_html", "_host", "_key", "_marked", "_at"]
+_ROW = "_text string, _html string, _host string, _key binary, _marked boolean, _at array<struct<start:int,window:bigint>>"
 
 
-def _texts(names: list[str], marked: bool):
-    """Pages with a marked article, or the others with what their host repeats."""
+def _decided(names: list[str], bitmap_of, run: int):
+    """The columns in `names` and _ROW: the text of pages without a suspected stretch; html and the stretches of others."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("window", pa.int64())]))
 
-    def run(batches):
+    def run_all(batches):
         for big in batches:
-            for lo in range(0, big.num_rows, 512):
-                batch = big.slice(lo, 512)
-                at, texts, keys = [], [], []
-                runs = batch.column("_runs").to_pylist() if not marked else [None] * batch.num_rows
-                for i, (url, page, spans) in enumerate(zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist(), runs, strict=True)):
+            for lo in range(0, big.num_rows, SLICE):
+                batch = big.slice(lo, SLICE)
+                rows = []
+                for url, page in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist(), strict=True):
                     found = blocks(page)
-                    if marked != any(r == "main" for r, _ in found):
-                        continue
-                    covered = None
-                    if spans:
-                        covered = np.zeros(len(stream(found)[0]), dtype=bool)
-                        for s in spans:
-                            covered[s["start"] : s["start"] + s["n"]] = True
-                    at.append(i), texts.append(main_text(found, covered)), keys.append(_key(url, page))
-                own = batch.select(names).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], names=[*names, "text"])
-
-    return run
-
-
-def _unmarked(names: list[str]):
-    def run(batches):
+                    marked = any(role == "main" for role, _ in found)
+                    hashes = windows(_hashes(article_stream(found) if marked else stream(found)[0]), run)
+                    host = host_of(url)
+                    at = np.flatnonzero(bloom.suspected(hashes.view(np.uint64) ^ _place(host), bitmap_of.value))
+                    if len(at):
+                        rows.append((None, page, host, _key(url, page), marked, [{"start": int(i), "window": int(hashes[i])} for i in at]))
+                    else:
+                        rows.append((main_text(found), None, None, None, None, None))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                types = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_(), kind]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*names, *_ROW_NAMES])
+
+    return run_all
+
+
+def _covered(names: list[str], run: int):
+    """The columns in `names` and the text of pages with their confirmed stretches."""
+
+    def run_all(batches):
         for big in batches:
-            for lo in range(0, big.num_rows, 512):
-                batch = big.slice(lo, 512)
-                pages, urls = batch.column("_html").to_pylist(), batch.column("_url").to_pylist()
-                at = [i for i, p in enumerate(pages) if not any(r == "main" for r, _ in blocks(p))]
-                own = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([_key(urls[i], pages[i]) for i in at], pa.binary())], names=[*own.schema.names, "_page"])
+            for lo in range(0, big.num_rows, SLICE):
+                batch = big.slice(lo, SLICE)
+                texts = []
+                for page, starts in zip(batch.column("_html").to_pylist(), batch.column("_starts").to_pylist(), strict=True):
+                    found = blocks(page)
+                    marked = any(role == "main" for role, _ in found)
+                    tokens = np.zeros(len(article_stream(found) if marked else stream(found)[0]), np.int64)
+                    hits = np.zeros(max(0, len(tokens) - run + 1), dtype=bool)
+                    hits[starts or []] = True
+                    texts.append(main_text(found, cover(tokens, hits, run)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "_text"])
 
-    return run
+    return run_all
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), run: int = RUN, min_pages: int = MIN_PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """The columns in `keep` and `text`, for every row. Null html is empty and has no text.
+    """The columns in `keep` and `text`, for every row.
 
-    Rows of equal url and html are one page to the host's array and have the same text.
+    Null or empty html has no text and gives an empty one. Rows of equal url and html are one page to the host's array
+    and have the same text; a null url is a host of its own. Very long pages are read whole. An empty table gives an
+    empty result.
     """
-    names = list(keep)
-    src = pages.select(*names, F.col("url").alias("_url"), F.col("html").alias("_html"))
-    schema = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in names)
-    done = src.mapInArrow(_texts(names, True), f"{schema}, text string")
-    runs = repeated_runs(pages, run, min_pages, shard_pages).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    rest = src.mapInArrow(_unmarked(names), f"{schema}, _url string, _html string, _page binary")
-    rest = rest.join(runs, F.col("_page") == F.col("key"), "left").drop("key", "_page").mapInArrow(_texts(names, False), f"{schema}, text string")
-    return done.unionByName(rest)
+    spark = pages.sparkSession
+    own = [f"_k{i}" for i in range(len(keep))]
+    src = pages.select(*(F.col(c).alias(k) for c, k in zip(keep, own, strict=True)), F.col("url").alias("_url"), F.col("html").alias("_html"))
+    schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in own)
+    with common.scratch(spark) as path:
+        streams = common.written(src.select("_url", "_html").mapInArrow(_streams, _STREAM), f"{path}/streams")
+        known = common.written(boilerplate(streams, run, min_pages, shard_pages), f"{path}/known")
+        bits = min(MAX_BITS, max(MIN_BITS, common.pow2_at_least(known.count() * BITS_PER_WINDOW)))
+        bitmap = spark.sparkContext.broadcast(bloom.seen_twice(known.select("host", "window"), _batch_hashes, bits))
+        decided = common.written(src.mapInArrow(_decided(own, bitmap, run), f"{schema}{', ' if own else ''}{_ROW}"), f"{path}/decided")
+        bitmap.unpersist()
+        # suspected stretches are confirmed by the table of those that the host repeats
+        open_ones = decided.filter("_html is not null")
+        each = open_ones.select("_key", "_host", "_marked", F.explode("_at").alias("_w")).distinct().select("_key", "_host", "_marked", "_w.start", "_w.window")
+        sure = each.join(known.withColumnRenamed("host", "_host"), ["_host", "window"])
+        starts = sure.filter("chrome or not _marked").groupBy(F.col("_key").alias("_p")).agg(F.collect_list("start").alias("_starts"))
+        rest = open_ones.select(*own, "_html", "_key").join(starts, F.col("_key") == F.col("_p"), "left").select(*own, "_html", "_starts")
+        rest = rest.mapInArrow(_covered(own, run), f"{schema}{', ' if own else ''}_text string")
+        out = decided.filter("_html is null").select(*own, "_text").unionByName(rest)
+        return common.cut(out.select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), F.col("_text").alias("text")))

@@ -1,9 +1,12 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-The protected entities are the personal data that fixed patterns find. How much a term tells about an entity is
-estimated from co-occurrence over the corpus: the pointwise mutual information of the two against the entity's own
-information content. Where the share that a term discloses reaches a threshold, the term is generalised, and beyond a
-higher one removed, in the texts that hold the entity.
+Fixed patterns find the protected entities: single values, and the classes of all values of a kind. How much a term
+tells about an entity is estimated from co-occurrence over the corpus: the pointwise mutual information of the two
+against the entity's own information content, where the share of the term's texts that hold the entity is taken at the
+lower end of its confidence interval, so that chance meetings of rare words tell little. Where the share that a term
+discloses reaches a threshold, the term is generalised, and beyond a higher one removed: terms about a value in the
+texts that hold it, terms about a class wherever they stand. Words of letters and digits rarely occur twice, so they
+stand for their shape.
 """
 
 from __future__ import annotations
@@ -26,26 +29,28 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 WORDS = r"[^\p{L}\p{N}]+"
 #: Distinct texts in which a term and an entity must meet; shares of an entity's information that call for action.
-MIN_TEXTS, GENERALISE, REMOVE = 5, 0.9, 0.98
-#: So many candidate terms are broadcast at most; more are joined by shuffle.
+MIN_TEXTS, GENERALISE, REMOVE = 5, 0.85, 0.98
+#: Standard deviations between an observed frequency and the lower end of its confidence interval.
+CONFIDENCE = 2.0
+#: So many terms or texts are broadcast at most; more are joined by shuffle.
 BROADCAST_TERMS = 50_000
+#: Words of letters and digits, longer than this, are terms by the power of two that their length is within.
+SHAPED = 8
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def _spans(text: Column, pattern: Column, kind: str) -> Column:
     """All matches with their places in code points, from the matches and the pieces between them."""
     found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast(_SPAN)
-    at = lambda acc, x: acc["pos"] + F.length(x["gap"])
-    zipped = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("hit")))
+    zipped = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("hit")))
 
-    def step(acc, x):
-        start = at(acc, x)
+    def step(at, x):
+        start = at + x["gap"]
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("pos"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+        return F.struct(end.alias("state"), F.when(x["hit"].isNull(), F.array().cast(_SPAN)).otherwise(F.array(span)).alias("out"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.transform(F.array(zipped), lambda z: common.fold(z, F.lit(0), F.array().cast(_SPAN), step))[0]
 
 
 def _luhn(digits: Column) -> Column:
@@ -85,26 +90,60 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, rows: int, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term, share (of the entity's information), action for terms that disclose at least `generalise`.
+def terms_of(text: Column) -> Column:
+    """Distinct lower-cased words; a longer word of letters and digits is `#` and the power of two its length is within."""
+    mixed = lambda w: (F.length(w) > SHAPED) & w.rlike(r"\p{L}") & w.rlike(r"\p{N}")
+    shape = lambda w: F.concat(F.lit("#"), F.ceil(F.log2(F.length(w).cast("double")) - 1e-9).cast("string"))
+    words = F.filter(F.split(F.lower(text), WORDS), lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.when(mixed(w), shape(w)).otherwise(w)))
 
-    `found`: rows with `base` spans, their `_key` and `_text`; `docs`: the corpus that term counts are taken over.
+
+def _without_base(text: Column) -> Column:
+    """The text without what the patterns match: parts of an entity tell nothing new of it."""
+    for pattern in PATTERNS.values():
+        text = F.regexp_replace(text, pattern, " ")
+    return text
+
+
+def _lower_end(hits: Column, of: Column, z: float = CONFIDENCE) -> Column:
+    """Lower end of the confidence interval of a frequency (Wilson's)."""
+    n, p = of.cast("double"), hits / of
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _met(found: DataFrame, min_texts: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, _c: rows that hold it, _key, _rows: of this text), and (value, entity) of the values among the entities.
+
+    Values that the same texts hold tell the same and are one entity, under the least of them, so a long list of
+    addresses that is found again and again is one entity too. Classes are named by their kind and a colon.
     """
-    def terms_of(text):
-        return F.array_distinct(F.filter(F.split(F.lower(text), WORDS), lambda w: w != ""))
+    each = lambda names: found.select("_key", F.explode(names).alias("value")).groupBy("value", "_key").agg(F.count("*").alias("_rows"))
+    values = each(F.array_distinct(F.transform("base", lambda s: s["value"])))
+    known = values.groupBy("value").agg(F.sum("_rows").alias("_c"), F.count("*").alias("_texts"), F.bit_xor(F.xxhash64("_key")).alias("_sig"), F.bit_xor(F.xxhash64(F.lit(1), "_key")).alias("_sig2"))
+    known = known.filter(F.col("_texts") >= min_texts)
+    one = known.groupBy("_sig", "_sig2", "_c", "_texts").agg(F.min("value").alias("entity"))
+    named = known.join(one, ["_sig", "_sig2", "_c", "_texts"]).select("value", "entity")
+    values = values.join(known.join(one, ["_sig", "_sig2", "_c", "_texts"]).filter("value = entity").select("value", "_c"), "value")
+    classes = each(F.array_union(F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":")))), F.array(F.lit("any:"))))
+    classes = classes.join(classes.groupBy("value").agg(F.sum("_rows").alias("_c")), "value")
+    return values.select("value", "_c", "_key", "_rows").unionByName(classes.select("value", "_c", "_key", "_rows")).withColumnRenamed("value", "entity"), named
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, rows: int, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share, action) of terms that disclose at least `generalise` of an entity's information, and the
+    values (value, entity) that stand behind entities; classes are named by their kind and a colon.
 
-    held = found.select("_key", "_text", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity"))
-    entities = held.groupBy("entity").agg(F.count("*").alias("_c"), F.approx_count_distinct("_key", 0.02).alias("_texts")).filter(F.col("_c") >= min_texts)
+    `found`: rows with `base` spans, their `_key` and `_text`; `docs`: the corpus that term counts are taken over.
+    """
+    met, named = _met(found, min_texts)
     # a group of copies is one text: the rows of each are counted before terms are listed
-    texts = held.join(entities.filter(F.col("_texts") >= max(1, min_texts - 1)), "entity").groupBy("entity", "_c", "_key").agg(F.count("*").alias("_rows"), F.min("_text").alias("_text"))
-    both = texts.select("entity", "_c", "_rows", F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("entity", "_c", "term").agg(F.sum("_rows").alias("_ct"), F.count("*").alias("_n"))
+    texts = found.groupBy("_key").agg(F.min("_text").alias("_text")).select("_key", terms_of(_without_base(F.col("_text"))).alias("_terms"))
+    both = met.join(texts, "_key").select("entity", "_c", "_rows", F.explode("_terms").alias("term")).groupBy("entity", "_c", "term").agg(F.sum("_rows").alias("_ct"), F.count("*").alias("_n"))
     n = F.lit(float(max(rows, 1)))
     information = -F.log2(F.col("_c") / n)
-    # a term is in as many rows of the corpus as in those found at least: most can't reach the threshold already
-    least = found.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("_least"))
-    most = F.log2(F.col("_ct") * n / (F.col("_c").cast("double") * F.col("_least")))
-    both = both.filter(F.col("_n") >= min_texts).join(least, "term").filter((information > 0) & (most >= generalise * information - 1e-9)).drop("_least")
-    both = common.cut(both)
+    share = lambda t: F.when(information > 0, 1 + F.log2(_lower_end(F.col("_ct"), t)) / information).otherwise(F.lit(0.0))
+    # a term is in as many rows of the corpus as meet the entity at least: few meetings can't reach the threshold
+    both = common.cut(both.filter((F.col("_n") >= min_texts) & (share(F.col("_ct")) >= generalise)))
     wanted = both.select("term").distinct()
     small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     words = docs.select(F.explode(terms_of(common.text_or_empty())).alias("term"))
@@ -112,10 +151,27 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, rows: int, min_texts: in
         counts = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_t"))
     else:
         counts = words.groupBy("term").agg(F.count("*").alias("_t")).join(wanted, "term", "left_semi")
-    mutual = F.log2(F.col("_ct") * n / (F.col("_c").cast("double") * F.col("_t")))
-    share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
-    out = both.join(counts, "term").select("entity", "term", share.alias("share"))
-    return out.filter(F.col("share") >= generalise).withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise"))
+    # a term may be in a text apart from what the patterns match, and within it too: it counts once
+    out = both.join(counts, "term").select("entity", "term", share(F.greatest("_t", "_ct")).alias("share"))
+    return out.filter(F.col("share") >= generalise).withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise")), named
+
+
+def _listed(held_by: DataFrame) -> DataFrame:
+    """_k, generalise, remove: the terms of each text by their action."""
+    return held_by.groupBy(F.col("_key").alias("_k")).agg(*(F.array_sort(F.collect_set(F.when(F.col("action") == a, F.col("term")))).alias(a) for a in ("generalise", "remove")))
+
+
+def _extra(text: Column, base: Column) -> Column:
+    """Spans of the terms in `generalise` and `remove`, apart from those in `base`."""
+    extra = []
+    removed = F.coalesce("remove", F.array().cast("array<string>"))
+    power = lambda t: F.substring(t, 2, 3).cast("int")
+    shape = lambda t: F.concat(F.lit(r"(?=\p{N}*+\p{L})(?=\p{L}*+\p{N})[\p{L}\p{N}]{"), (F.pow(F.lit(2), power(t) - 1) + 1).cast("int").cast("string"), F.lit(","), F.pow(F.lit(2), power(t)).cast("int").cast("string"), F.lit("}+"))
+    for action, listed in (("generalise", F.array_except(F.coalesce("generalise", F.array().cast("array<string>")), removed)), ("remove", removed)):
+        either = F.array_join(F.transform(listed, lambda t: F.when(t.startswith("#"), shape(t)).otherwise(t)), "|")
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{N}])"))
+        extra.append(F.when(F.size(listed) > 0, _spans(text, pattern, action)).otherwise(F.array().cast(_SPAN)))
+    return F.filter(F.concat(*extra), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
 def find(docs: DataFrame, keep: tuple[str, ...] = (), min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -124,37 +180,51 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), min_texts: int = MIN_TEXTS
     Null text is empty. Spans of the method never overlap those of the patterns. Rows that repeat an id keep their own
     spans: all is decided by text. An empty table gives an empty result.
     """
-    text = common.text_or_empty()
-    spans = docs.select("doc_id", *keep, text.alias("_text")).withColumn("base", base_spans(F.col("_text")))
-    held = F.size("base") > 0
-    spans = common.cut(spans.select("doc_id", *keep, "base", F.when(held, F.sha2("_text", 256)).alias("_key"), F.when(held, F.col("_text")).alias("_text")))
-    found, clean = spans.filter(F.col("_key").isNotNull()), spans.filter(F.col("_key").isNull())
-    terms = disclosing_terms(found, docs, docs.count(), min_texts, generalise, remove)
+    carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")  # names inside can't clash
+    src = docs.select("doc_id", carried.alias("_keep"), common.text_or_empty().alias("_text")).withColumn("_key", F.sha2("_text", 256))
+    spans = src.withColumn("base", base_spans(F.col("_text")))
+    spans = common.cut(spans.withColumn("_text", F.when(F.size("base") > 0, F.col("_text"))))
+    found, clean = spans.filter(F.col("_text").isNotNull()), spans.filter(F.col("_text").isNull())
+    terms, named = disclosing_terms(found, docs, docs.count(), min_texts, generalise, remove)
+    terms = common.cut(terms)
+    of_class = common.cut(terms.filter(F.col("entity").endswith(":")).groupBy("term").agg(F.max("action").alias("action")))  # 'remove' is the larger
+    # which texts hold a term about a class: a pass over the words of all of them
+    words = src.select("_key", F.explode(terms_of(F.col("_text"))).alias("term"))
+    small = of_class.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hits = words.join(F.broadcast(of_class) if small else of_class, "term").select("_key", "term", "action").distinct()
     once = found.groupBy("_key").agg(F.first("base").alias("base"), F.first("_text").alias("_text"))
-    held_by = once.select("_key", "_text", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).join(terms, "entity")
-    held_by = held_by.filter(F.array_contains(F.split(F.lower("_text"), WORDS), F.col("term")))
-    per_text = held_by.groupBy(F.col("_key").alias("_k")).agg(*(F.array_sort(F.collect_set(F.when(F.col("action") == a, F.col("term")))).alias(a) for a in ("generalise", "remove")))
-    rows = found.join(per_text, F.col("_key") == F.col("_k"), "left")
-    extra = []
-    removed = F.coalesce("remove", F.array().cast("array<string>"))
-    for action, listed in (("generalise", F.array_except(F.coalesce("generalise", F.array().cast("array<string>")), removed)), ("remove", removed)):
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(listed, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        extra.append(F.when(F.size(listed) > 0, _spans(F.col("_text"), pattern, action)).otherwise(F.array().cast(_SPAN)))
-    apart = F.filter(F.concat(*extra), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.select("doc_id", *keep, "base", apart.alias("extra"))
-    return rows.unionByName(clean.select("doc_id", *keep, "base", F.array().cast(_SPAN).alias("extra")))
+    by_value = once.select("_key", "_text", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value")).join(named, "value").join(terms, "entity")
+    by_value = by_value.filter(F.array_contains(terms_of(F.col("_text")), F.col("term"))).select("_key", "term", "action")
+    per_text = common.cut(_listed(hits.unionByName(by_value)))
+    own = F.col("_key") == F.col("_k")
+    within = lambda df: df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    rows = found.join(F.broadcast(per_text) if within(per_text) else per_text, own, "left")
+    rows = rows.select("doc_id", "_keep", "base", _extra(F.col("_text"), F.col("base")).alias("extra"))
+    # texts without personal data that hold a term about it are read again; the others are done
+    outside = common.cut(per_text.join(once.select("_key"), own, "left_anti"))
+    listed = F.broadcast(outside) if within(outside) else outside
+    none = F.array().cast(_SPAN)
+    again = again.select("doc_id", "_keep", none.alias("base"), _extra(F.col("_text"), none).alias("extra"))
+    others = clean.join(listed, own, "left_anti").select("doc_id", "_keep", "base", none.alias("extra"))
+    out = rows.unionByName(again).unionByName(others)
+    return out.select("doc_id", *(F.col("_keep")[c].alias(c) for c in keep), "base", "extra")
 
 
 def sanitise(text: Column, base: Column, extra: Column) -> Column:
     """The text with its spans replaced: personal data by its kind, generalised terms by what they are, others by nothing."""
     spans = F.array_sort(F.concat(base, extra), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
-    shape = lambda v: F.when(v.rlike("^[0-9]+$"), "[NUMBER]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    shape = lambda v: F.when(v.rlike("^[0-9]+$"), "[NUMBER]").when(v.rlike("[0-9]"), "[CODE]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    new = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", shape(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+    def rebuilt(x):
+        def step(at, s):
+            skip = s["start"] < at
+            more = F.array(F.array_join(F.slice(x["chars"], at + 1, s["start"] - at), ""), new(s))
+            return F.struct(F.when(skip, F.greatest(at, s["end"])).otherwise(s["end"]).alias("state"), F.when(skip, F.array().cast("array<string>")).otherwise(more).alias("out"))
 
-    def step(acc, s):
-        new = F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", shape(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        more = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), new)
-        skip = s["start"] < acc["pos"]
-        return F.struct(F.when(skip, F.greatest(acc["pos"], s["end"])).otherwise(s["end"]).alias("pos"), F.when(skip, acc["out"]).otherwise(more).alias("out"))
+        last = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        parts = common.fold(x["spans"], F.lit(0), F.array().cast("array<string>"), step)
+        return F.concat(F.array_join(parts, ""), F.array_join(F.slice(x["chars"], last + 1, F.size(x["chars"])), ""))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    whole = F.transform(F.array(F.struct(F.split(text, "").alias("chars"), spans.alias("spans"))), rebuilt)[0]
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
