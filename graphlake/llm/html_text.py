@@ -313,7 +313,7 @@ def boilerplate(streams: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES,
             kept = n >= min_pages
             s, p, n, chrome = s[kept], p[kept], n[kept], chrome[kept]
         hashes = [windows(found[i][j : j + run], run)[0] for i, j in zip(s.tolist(), p.tolist(), strict=True)]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]] * len(hashes), "window": np.array(hashes, np.int64), "pages": n, "chrome": chrome})
+        return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(hashes), dtype=object), "window": np.array(hashes, np.int64), "pages": n, "chrome": chrome})
 
     counted = dealt.groupBy("host", "_shard").applyInPandas(within, "host string, window long, pages long, chrome long")
     # a page is in one shard, so the shards' pages add up

@@ -262,11 +262,13 @@ def _pivot_pairs(large: DataFrame, found: DataFrame, sizes: DataFrame, k: int) -
 
 
 def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, set_id, n_shingles and component_id (smallest doc_id reachable by links, itself included), for every row.
+    """doc_id, set_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and component_set
+    (the same of set_id), for every row.
 
     Rows with no words (null or empty text) have no features, link with nothing and are their own component. Rows of
     equal features are linked. Rows with a null doc_id take part; a component's id is its smallest id that isn't null.
-    Rows that repeat a doc_id are rows of their own, told apart by set_id, the identity of a row's features.
+    Rows that repeat a doc_id are rows of their own, told apart by set_id, the identity of a row's features; if they are
+    in several components, these have one component_id, and component_set tells them apart.
     """
     spark = docs.sparkSession
     texts = docs.select(common.text_or_empty().alias("text"))
@@ -314,9 +316,9 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
         found = extended(found, _verified(common.written(across, f"{path}/pairs"), rows, cells, f"{path}/across"), f"{path}/found")
         # ids by sets first: a component is then joined by its sets, not by its rows
         of_sets = _with_component(base.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("_id")), found)
-        smallest = of_sets.join(of_sets.groupBy("_c").agg(F.min("_id").alias("component_id")), "_c").select("set_id", "component_id")
-        named = base.filter("n > 0").join(smallest, "set_id").select("doc_id", "set_id", F.col("n").alias("n_shingles"), "component_id")
-        alone = base.filter("n = 0").select("doc_id", "set_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        smallest = of_sets.join(of_sets.groupBy("_c").agg(F.min("_id").alias("component_id")), "_c").select("set_id", "component_id", F.col("_c").alias("component_set"))
+        named = base.filter("n > 0").join(smallest, "set_id").select("doc_id", "set_id", F.col("n").alias("n_shingles"), "component_id", "component_set")
+        alone = base.filter("n = 0").select("doc_id", "set_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component_set"))
         return common.cut(named.unionByName(alone))
 
 
@@ -344,7 +346,7 @@ def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in columns)
     with common.small_batches(docs.sparkSession, 1_024):
         rows = common.cut(rows.mapInArrow(_identified, f"{schema}, _set long"))
-    kept = found.filter("_kept").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_s"), F.col("component_id").alias("_c"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    kept = found.filter("_kept").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_s"), F.col("component_set").alias("_c"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
     rows = rows.join(kept, own & (F.col("_set") == F.col("_s")))
     first = rows.filter("not _empty").groupBy("_id", "_c").agg(F.min(F.struct(*columns)).alias("_r")).select("_r.*")
     return one.unionByName(first).unionByName(rows.filter("_empty").select(*columns))

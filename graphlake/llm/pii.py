@@ -204,6 +204,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), min_texts: int = MIN_TEXTS
     outside = common.cut(per_text.join(once.select("_key"), own, "left_anti"))
     listed = F.broadcast(outside) if within(outside) else outside
     none = F.array().cast(_SPAN)
+    again = src.join(listed, own)
     again = again.select("doc_id", "_keep", none.alias("base"), _extra(F.col("_text"), none).alias("extra"))
     others = clean.join(listed, own, "left_anti").select("doc_id", "_keep", "base", none.alias("extra"))
     out = rows.unionByName(again).unionByName(others)

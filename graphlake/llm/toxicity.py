@@ -240,15 +240,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), th
     repeat an id are rows of their own, and an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in keep) + ", score double, predicted int"
+    own = [f"_k{i}" for i in range(len(keep))]  # so that no name in `keep` clashes
+    src = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, own, strict=True)), F.col("text").alias("_text"))
+    schema = ", ".join([*(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in own), "score double", "predicted int"])
 
     def run(batches):
         for batch in batches:
             s = sent.value.score([x or "" for x in batch.column("_text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in own), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*own, "score", "predicted"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), "score", "predicted")
 
 
 def _fitted(batches):
