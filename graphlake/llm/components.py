@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the smallest of itself and its neighbours in an order that is dealt anew by a hash, and nodes
     that took the same become one, so that paths of any length shrink by a share each round: rounds grow with the
     logarithm of the nodes, and end when no link is left. Only nodes with links take part. Rounds are written tables, not
-    checkpoints: these keep their partitionings, of which each join would double the number.
+    checkpoints: these keep what is known of their columns, to which each join adds as much again.
     """
     with common.scratch(links.sparkSession) as path:
         both = common.written(_both_ways(links), f"{path}/links")
