@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ from . import names
 from .operators import index
 from .plans.graph import Graph, GraphWriter
 from .plans.info import Layout
+from .session import shared_folder
 from .sources.fs import Files
 
 PLACES, CONTAINS, FOLLOWS = ("customer", "places", "orders"), ("orders", "contains", "part"), ("customer", "follows", "customer")
@@ -75,8 +75,7 @@ def follow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @contextlib.contextmanager
 def workspace(spark: SparkSession) -> Iterator[str]:
     """A folder for a stored graph in the session's shared checkpoint folder, removed at the end."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root}/graph-{uuid.uuid4().hex}/"
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}/"
     try:
         yield path
     finally:

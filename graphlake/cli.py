@@ -18,6 +18,11 @@ COUNT_ORDER = (Layout.BY_DEST, Layout.BY_SOURCE, Layout.LOOSE_BY_DEST, Layout.LO
 
 
 def _read(path: str) -> str:
+    """A text of any store: names with a scheme are read through Spark's file systems."""
+    if "://" in path:
+        from .sources.fs import Files
+
+        return Files(_spark()).read_text(path)
     with open(path, encoding="utf-8") as f:
         return f.read()
 
@@ -77,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             from .sources.importer import import_graph, load_config
 
-            graph = import_graph(_spark(), load_config(None, args.config))
+            graph = import_graph(_spark(), load_config(_spark() if "://" in args.config else None, args.config))
             print(f"imported {graph.info.name}: {len(graph.info.vertices)} vertex types, {len(graph.info.edges)} edge types")
     except (GraphError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)

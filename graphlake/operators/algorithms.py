@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import names
-from ..session import cut
+from ..session import cut, cut_dealt
 
 V, S, D = names.VERTEX, names.SRC, names.DST
 #: Rounds of a loop between two cuts of the lineage.
@@ -17,6 +17,11 @@ def _ids(edges: DataFrame, vertices: int) -> DataFrame:
     return edges.sparkSession.range(vertices).withColumnRenamed("id", V)
 
 
+def _dealt(edges: DataFrame, end: str) -> DataFrame:
+    """Edges dealt by one end to the session's number of partitions, which a checkpoint keeps; joins on it don't move them again."""
+    return edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), end)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(S, D).union(edges.select(F.col(D).alias(S), F.col(S).alias(D)))
 
@@ -26,7 +31,7 @@ def pagerank(edges: DataFrame, vertices: int, rounds: int = 10, damping: float =
 
     Parallel edges count each. Messages are summed before the join with the vertices.
     """
-    pairs = cut(edges.groupBy(S, D).agg(F.count("*").cast("double").alias("_w")))
+    pairs = cut_dealt(_dealt(edges, S).groupBy(S, D).agg(F.count("*").cast("double").alias("_w")))  # dealt by S once for all rounds
     out = pairs.groupBy(F.col(S).alias(V)).agg(F.sum("_w").alias("_out"))
     ranks = cut(_ids(edges, vertices).join(out, V, "left").withColumn("rank", F.lit(1.0 / vertices if vertices else 0.0)))
     for k in range(rounds):
@@ -47,7 +52,7 @@ def _search(edges: DataFrame, vertices: int, root: int, pull: bool = False) -> D
     spark = edges.sparkSession
     if not 0 <= root < vertices:
         return spark.createDataFrame([], f"{V} long, distance int, father long")
-    links = cut(edges.select(S, D).filter(F.col(S) != F.col(D)).distinct())
+    links = cut_dealt(_dealt(edges.select(S, D).filter(F.col(S) != F.col(D)), D if pull else S).distinct())  # dealt once for all levels
     reached = spark.createDataFrame([(root, 0, root)], f"{V} long, distance int, father long")
     frontier, level = reached, 0
     while True:
@@ -84,7 +89,7 @@ def weak_components(edges: DataFrame, vertices: int) -> DataFrame:
 
     A vertex takes the smallest label around it and then that label's own label, so long chains halve each round.
     """
-    links = cut(both_ways(edges).filter(F.col(S) != F.col(D)).distinct())
+    links = cut_dealt(_dealt(both_ways(edges).filter(F.col(S) != F.col(D)), D).distinct())  # dealt once for all rounds
     labels = _ids(edges, vertices).withColumn("component", F.col(V))
     while True:
         near = links.join(labels.withColumnRenamed(V, D), D).groupBy(F.col(S).alias(V)).agg(F.min("component").alias("_near"))

@@ -39,9 +39,10 @@ def edge_index(edges: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 
 def _attach(edges: DataFrame, mapping: DataFrame, column: str, index: str, how: str = "inner") -> DataFrame:
-    known = mapping.select(F.col(names.PRIMARY).alias("_key"), F.col(names.VERTEX).alias(index))
-    joined = edges.join(known, F.col(column) == F.col("_key"), how)
-    return joined.select(index, *[c for c in edges.columns if c != column])
+    key = names.hidden("key")
+    known = mapping.select(F.col(names.PRIMARY).alias(key), F.col(names.VERTEX).alias(index))
+    joined = edges.join(known, F.col(f"`{column}`") == F.col(key), how)
+    return joined.select(index, *[f"`{c}`" for c in edges.columns if c != column])
 
 
 def source_index(edges: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
@@ -62,15 +63,17 @@ def both_indexes(edges: DataFrame, src_mapping: DataFrame, dst_mapping: DataFram
     if on_dangling == "error" and not dangling_edges(edges, src_mapping, dst_mapping, src, dst).isEmpty():
         raise MissingKeyError("edges lead to keys that no vertex has")
     with_dst = dest_index(edges, dst_mapping, dst)
-    rest = [c for c in edges.columns if c not in (src, dst)]
+    rest = [f"`{c}`" for c in edges.columns if c not in (src, dst)]
     return source_index(with_dst, src_mapping, src).select(names.SRC, names.DST, *rest)
 
 
 def dangling_edges(edges: DataFrame, src_mapping: DataFrame, dst_mapping: DataFrame, src: str, dst: str) -> DataFrame:
     """Edges of which an end is no vertex (null keys included)."""
-    has = lambda m, flag: m.select(F.col(names.PRIMARY).alias(f"_{flag}"), F.lit(True).alias(flag))
-    found = edges.join(has(src_mapping, "s"), F.col(src) == F.col("_s"), "left").join(has(dst_mapping, "d"), F.col(dst) == F.col("_d"), "left")
-    return found.filter(F.col("s").isNull() | F.col("d").isNull()).select(*edges.columns)
+    s, d = names.hidden("s"), names.hidden("d")
+    found = edges
+    for mapping, column, end in ((src_mapping, src, s), (dst_mapping, dst, d)):
+        found = found.join(mapping.select(F.col(names.PRIMARY).alias(end)), F.col(f"`{column}`") == F.col(end), "left")
+    return found.filter(F.col(s).isNull() | F.col(d).isNull()).select(*(f"`{c}`" for c in edges.columns))
 
 
 def require_unique(df: DataFrame, key: str) -> None:
@@ -106,7 +109,7 @@ def to_primary_keys(edges: DataFrame, src_mapping: DataFrame, dst_mapping: DataF
     def key(mapping: DataFrame, index: str, name: str) -> DataFrame:
         return mapping.select(F.col(names.VERTEX).alias(index), F.col(names.PRIMARY).alias(name))
 
-    rest = [c for c in edges.columns if c not in (names.SRC, names.DST)]
+    rest = [f"`{c}`" for c in edges.columns if c not in (names.SRC, names.DST)]
     return edges.join(key(src_mapping, names.SRC, src), names.SRC).join(key(dst_mapping, names.DST, dst), names.DST).select(src, dst, *rest)
 
 
@@ -117,9 +120,10 @@ def merge_columns(left: DataFrame, right: DataFrame, key: str | None = None) ->
     if left.count() != right.count():
         raise InvalidError("sources to merge by place have unlike numbers of rows")
     schema = left.schema.fields + right.schema.fields
-    numbered = [df.withColumn("_i", _place()) for df in (left, right)]
-    sides = [number_rows(df, [F.col("_i")], "_row").drop("_i") for df in numbered]
-    return sides[0].join(sides[1], "_row").select(*(f"`{f.name}`" for f in schema))
+    at, place = names.hidden("order"), names.hidden("number")
+    numbered = [df.withColumn(at, _place()) for df in (left, right)]
+    sides = [number_rows(df, [F.col(at)], place).drop(at) for df in numbered]
+    return sides[0].join(sides[1], place).select(*(f"`{f.name}`" for f in schema))
 
 
 def _place() -> Column:

@@ -21,8 +21,8 @@ def chunks(n: int, size: int) -> int:
     return -(-n // size)
 
 
-def with_vertex_chunk(vertices: DataFrame, size: int) -> DataFrame:
-    return vertices.withColumn(CHUNK, scalars.chunk_of(F.col(names.VERTEX), size))
+def with_vertex_chunk(vertices: DataFrame, size: int, name: str = CHUNK) -> DataFrame:
+    return vertices.withColumn(name, scalars.chunk_of(F.col(names.VERTEX), size))
 
 
 def vertex_chunk_sizes(vertices: DataFrame, size: int) -> DataFrame:
@@ -34,18 +34,19 @@ def ends(layout: Layout) -> tuple[str, str]:
     return (names.SRC, names.DST) if layout.by_source else (names.DST, names.SRC)
 
 
-def arrange(edges: DataFrame, layout: Layout, part_size: int, chunk_size: int, ties: list[str] | None = None) -> DataFrame:
-    """Adds part, position in the part and chunk.
+def arrange(edges: DataFrame, layout: Layout, part_size: int, chunk_size: int, ties: list[str] | None = None, added: tuple[str, str, str] = (PART, POSITION, CHUNK)) -> DataFrame:
+    """Adds part, position in the part and chunk, under the names `added`.
 
     Parts go by the aligned end. Ordered layouts stand in the order of (aligned end, other end, ties); the others in
     that of the ties, or of the aligned end if there are none, which keeps them reproducible. No task holds a whole
     part, so hubs don't matter.
     """
     main, other = ends(layout)
-    own = edges.withColumn(PART, scalars.chunk_of(F.col(main), part_size))
+    part, position, chunk = added
+    own = edges.withColumn(part, scalars.chunk_of(F.col(main), part_size))
     by = [main, other, *(ties or [])] if layout.ordered or not ties else ties
-    placed = number_within(own, [F.col(PART)], [F.col(c) for c in by], POSITION)
-    return placed.withColumn(CHUNK, scalars.chunk_of(F.col(POSITION), chunk_size))
+    placed = number_within(own, [F.col(part)], [F.col(f"`{c}`") for c in by], position)
+    return placed.withColumn(chunk, scalars.chunk_of(F.col(position), chunk_size))
 
 
 def degrees(edges: DataFrame, end: str = names.SRC) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import names
 from ..session import cut
 
 #: Rows that a task of a ranking takes at least, and the most tasks used.
@@ -21,12 +22,13 @@ def number_rows(df: DataFrame, order: list[Column], name: str, tasks: int | None
     """
     tasks = tasks or _tasks(df)
     low = (1 << 33) - 1
-    placed = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = cut(placed).withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit(low)))
-    sizes = placed.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
-    starts = sizes.select("_part", before.alias("_before"))
-    return placed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_at", "_part", "_row", "_before")
+    at, part, row, size, start = map(names.hidden, ("at", "in", "row", "size", "start"))
+    placed = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = cut(placed).withColumn(part, F.shiftright(at, 33)).withColumn(row, F.col(at).bitwiseAND(F.lit(low)))
+    sizes = placed.groupBy(part).agg((F.max(row) + 1).alias(size))
+    before = F.coalesce(F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    starts = sizes.select(part, before.alias(start))
+    return placed.join(F.broadcast(starts), part).withColumn(name, (F.col(start) + F.col(row)).cast("long")).drop(at, part, row, start)
 
 
 def _tasks(df: DataFrame) -> int:
@@ -44,9 +46,9 @@ def number_within(df: DataFrame, group: list[Column], order: list[Column], name:
 
     A group's first place is a minimum over its rows, joined back; there are as many as groups.
     """
-    named = df.withColumns({f"_g{i}": c for i, c in enumerate(group)})
-    keys = [f"_g{i}" for i in range(len(group))]
-    ranked = number_rows(named, [*(F.col(k) for k in keys), *order], "_place")  # checkpointed, so both uses agree
-    first = ranked.groupBy(*(F.col(k).alias(f"_f{k}") for k in keys)).agg(F.min("_place").alias("_first"))
-    same = [F.col(k).eqNullSafe(F.col(f"_f{k}")) for k in keys]
-    return ranked.join(first, same).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first", *keys, *(f"_f{k}" for k in keys))
+    keys, place, least = [names.hidden(f"g{i}") for i in range(len(group))], names.hidden("place"), names.hidden("first")
+    named = df.withColumns(dict(zip(keys, group, strict=True)))
+    ranked = number_rows(named, [*(F.col(k) for k in keys), *order], place)  # checkpointed, so both uses agree
+    first = ranked.groupBy(*(F.col(k).alias(f"{k}f") for k in keys)).agg(F.min(place).alias(least))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}f")) for k in keys]
+    return ranked.join(first, same).withColumn(name, F.col(place) - F.col(least)).drop(place, least, *keys, *(f"{k}f" for k in keys))

@@ -13,12 +13,11 @@ from .. import names
 from ..errors import InvalidError, MissingKeyError
 from ..functions.expressions import Expression
 from ..operators import index, labels
-from ..operators import layout as lay
 from ..sources.fs import Files
 from ..sources.reader import EdgeReader, VertexReader
 from ..sources.writer import EdgeWriter, VertexWriter
 from . import yaml_io
-from .info import AdjList, EdgeInfo, GraphInfo, Layout, PropertyGroup, ValidateLevel, VertexInfo, infer_edge, infer_vertex
+from .info import AdjList, GraphInfo, Layout, PropertyGroup, ValidateLevel, infer_edge, infer_vertex
 
 Triple = tuple[str, str, str]
 
@@ -340,5 +339,3 @@ def relayout(info: GraphInfo, prefix: str, file_type: str | None = None, vertex_
         edges.append(replace(e, chunk_size=edge_chunk or e.chunk_size, src_chunk_size=vertex_chunk or e.src_chunk_size, dst_chunk_size=vertex_chunk or e.dst_chunk_size, adj_lists=adj, groups=groups(e.groups)))
     return replace(info, prefix=prefix, vertices=vertices, edges=tuple(edges))
 
-
-__all__ = ["Edge", "EdgeInfo", "Edges", "Graph", "GraphWriter", "Vertex", "VertexInfo", "Vertices", "load_info", "relayout", "save_info", "transform", "lay"]

@@ -411,7 +411,8 @@ class GraphInfo:
 
 def infer_vertex(kind: str, schema: T.StructType, primary: str | None = None, chunk_size: int = names.VERTEX_CHUNK_SIZE, file_type: str = names.FILE_TYPE, labels: Iterable[str] = ()) -> VertexInfo:
     """A vertex type of one group from a table's columns; the primary key is the first unless named."""
-    fields = [f for f in schema.fields if names.own_name(f.name) == f.name and f.name != names.LABELS and not f.name.startswith(names.PREFIX)]
+    reserved = names.renames(schema.names, [names.VERTEX])
+    fields = [f for f in schema.fields if f.name not in reserved and f.name != names.LABELS and not f.name.startswith(names.PREFIX)]
     if not fields:
         raise InvalidError("the table has no property")
     primary = primary or fields[0].name
@@ -423,6 +424,7 @@ def infer_vertex(kind: str, schema: T.StructType, primary: str | None = None, ch
 
 def infer_edge(key: tuple[str, str, str], schema: T.StructType, ends: tuple[str, str], sizes: tuple[int, int, int], file_type: str = names.FILE_TYPE, directed: bool = True, layouts: Iterable[Layout] = (Layout.BY_SOURCE, Layout.BY_DEST)) -> EdgeInfo:
     """An edge type from a table's columns without its two ends; sizes: edge, source and destination chunks."""
-    props = tuple(Property(f.name, GType.from_spark(f.dataType)) for f in schema.fields if f.name not in ends and names.own_name(f.name) == f.name and not f.name.startswith(names.PREFIX))
+    reserved = names.renames(schema.names, [names.SRC, names.DST])
+    props = tuple(Property(f.name, GType.from_spark(f.dataType)) for f in schema.fields if f.name not in ends and f.name not in reserved and not f.name.startswith(names.PREFIX))
     groups = (PropertyGroup(props, file_type),) if props else ()
     return EdgeInfo(*key, *sizes, directed, tuple(AdjList(x, file_type) for x in layouts), groups, f"edge/{names.SEPARATOR.join(key)}/")

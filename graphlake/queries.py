@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog as c
-from . import names
+from . import names, stored_queries
 from .functions import scalars
 from .functions.expressions import Property as P
 from .operators import algorithms as algo
@@ -282,16 +281,12 @@ _PREDICATES = {
     "not": (~(P("c_nationkey") == 7), "NOT c_nationkey = 7"), "and": ((P("c_acctbal") > 0.0) & (P("c_nationkey") < 10), "c_acctbal > 0 AND c_nationkey < 10"),
     "or": ((P("c_acctbal") < 0.0) | (P("c_mktsegment") == "MACHINERY"), "c_acctbal < 0 OR c_mktsegment = 'MACHINERY'"),
 }
-for _name, (_tree, _where) in _PREDICATES.items():
-    query(f"filter_{_name}", f"SELECT id, c_custkey FROM {CID} WHERE {_where}")(lambda spark, d, t=_tree: _ids(index.vertex_index(c.table(spark, d, "customer"), "c_custkey")).filter(t.column()).select("id", "c_custkey"))
+for _name, (_tree, _where) in _PREDICATES.items():  # over a stored table, whose scan takes the filter
+    query(f"filter_{_name}", f"SELECT id, c_custkey FROM {CID} WHERE {_where}")(_stored(lambda g, t=_tree: _ids(g.vertices("customer").with_property(t).table(["c_custkey"])), with_edges=False))
 
 query("project_filter", f"SELECT id, c_name FROM {CID} WHERE c_acctbal > 1000 AND c_nationkey <> 3")(
     _stored(lambda g: _ids(g.vertices("customer").with_property(P("c_acctbal") > 1000.0).with_property(P("c_nationkey") != 3).table(["c_name"])), with_edges=False)
 )
-query("null_property", "SELECT count(*) AS missing FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey WHERE s_name IS NULL")(
-    lambda spark, d: c.table(spark, d, "orders").join(c.table(spark, d, "supplier"), F.col("s_suppkey") == F.col("o_custkey"), "left").filter(F.col("s_name").isNull()).agg(F.count("*").alias("missing"))
-)
-
 
 #: Labels of documents: quality and toxic, as stated by the labels table; a document may have both or none.
 _DOC = "(SELECT doc_id, coalesce(max(quality), 0) = 1 AS good, coalesce(max(toxic), 0) = 1 AS toxic, lang = 'en' AS english FROM documents LEFT JOIN labels USING (doc_id) GROUP BY doc_id, lang)"
@@ -327,7 +322,6 @@ query("label_none_in_common", f"SELECT id FROM {CID} WHERE c_mktsegment = 'BUILD
 
 # ---- access
 
-query("vertex_find", _VERTICES + " WHERE id = 42")(_stored(lambda g: _ids(g.vertices("customer").table().filter(F.col(V) == 42)), with_edges=False))
 query("out_neighbors", f"SELECT dst FROM {PLACE} WHERE src = 17")(_stored(lambda g: _ids(g.edges(c.PLACES, Layout.BY_SOURCE).out_edges(17, []).select(D))))
 query("in_neighbors", f"SELECT src FROM {PLACE} WHERE dst = 17")(_stored(lambda g: _ids(g.edges(c.PLACES, Layout.BY_DEST).in_edges(17, []).select(S))))
 query("in_neighbors_scan", f"SELECT src FROM {PLACE} WHERE dst = 18")(_stored(lambda g: _ids(g.edges(c.PLACES, Layout.BY_SOURCE).in_edges(18, []).select(S))))
@@ -490,4 +484,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("flagship", f"SELECT v.id, c_custkey, count(p.dst) AS degree FROM {CID} v LEFT JOIN {PLACE} p ON p.src = v.id WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2")(flagship)
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "replace"]
+stored_queries.register(query, {"CID": CID, "PLACE": PLACE, "BFS": _BFS, "WCC": _WCC, "FATHER": _FATHER}, _ids)

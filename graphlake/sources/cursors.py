@@ -10,7 +10,7 @@ from ..errors import IndexRangeError, InvalidError
 from ..functions.expressions import Expression, check_members
 from ..operators import layout as lay
 from ..plans.info import PropertyGroup
-from .reader import EdgeReader, VertexReader
+from .reader import KEYS, EdgeReader, VertexReader
 
 
 class VertexCursor:
@@ -135,7 +135,7 @@ class EdgeCursor:
         """Rows from the sought place to the end of its chunk."""
         r = self.reader
         rows = r.adj_rows(self.part, self.chunk_number) if self.group is None else r.group_rows(self.group, self.part, self.chunk_number)
-        rows = rows.filter(F.col("row") >= self.place % r.info.chunk_size)
+        rows = rows.filter(F.col(KEYS[2]) >= self.place % r.info.chunk_size)
         if self.where is not None:
             rows = rows.filter(self.where.column())
         known = self.columns or ([names.SRC, names.DST] if self.group is None else self.group.names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
@@ -49,6 +50,28 @@ class Files:
         if not fs.rename(p, q):
             raise StorageError(f"can't rename {source} to {target}")
 
+    def glob(self, pattern: str) -> list[str]:
+        """Paths that match, in one listing; none where nothing does."""
+        p, fs = self._at(pattern)
+        return [str(s.getPath().toString()) for s in fs.globStatus(p) or []]
+
+    def replace(self, source: str, target: str) -> None:
+        """A folder takes the place of another, which goes last; if there is no source, the target only goes."""
+        q, fs = self._at(target.rstrip("/"))
+        old = self._at(f"{target.rstrip('/')}-old-{uuid.uuid4().hex}")[0]
+        had = bool(fs.exists(q))
+        if had and not fs.rename(q, old):
+            raise StorageError(f"can't move {target} away")
+        if self.exists(source):
+            p = self._at(source)[0]
+            fs.mkdirs(q.getParent())
+            if not fs.rename(p, q):
+                if had:
+                    fs.rename(old, q)
+                raise StorageError(f"can't rename {source} to {target}")
+        if had:
+            fs.delete(old, True)
+
     def copy(self, source: str, target: str) -> None:
         p, fs = self._at(source)
         q, other = self._at(target)

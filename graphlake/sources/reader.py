@@ -20,35 +20,37 @@ from ..plans.info import EdgeInfo, Layout, PropertyGroup, VertexInfo
 from .fs import Files
 
 #: Keys of a row of an edge file: its part, its chunk and its place in the file.
-KEYS = [lay.PART, lay.CHUNK, "row"]
+KEYS = [names.hidden(k) for k in ("part", "chunk", "row")]
+_FILE, _INDEX, _BLOCK = (names.hidden(k) for k in ("file", "index", "block"))
 
 
 class _Source:
     def __init__(self, spark: SparkSession, prefix: str):
         self.spark, self.prefix, self.files = spark, prefix if prefix.endswith("/") else prefix + "/", Files(spark)
 
-    def _load(self, paths: str | list[str], file_type: str, indexes: list[str], fields: list[T.StructField], meta: list[str] | None = None) -> DataFrame:
-        """Files of one kind as index columns (long) and declared fields; `meta`: columns of _metadata to keep."""
+    def _load(self, paths: str | list[str], file_type: str, indexes: list[str], fields: list[T.StructField], meta: dict[str, str] | None = None) -> DataFrame:
+        """Files of one kind as index columns (long) and declared fields; `meta`: columns of _metadata to keep, and their names."""
         reader = self.spark.read.format(file_type).option("recursiveFileLookup", True)
         paths = [paths] if isinstance(paths, str) else paths
         schema = T.StructType([*(T.StructField(i, T.LongType()) for i in indexes), *fields])
         if file_type == "csv":
             df = reader.option("header", True).schema(schema).load(paths)  # names by place
         elif file_type == "json":
-            df = reader.schema(self._json_schema(paths, schema)).load(paths)
+            df = reader.schema(self._json_schema(paths, schema, indexes)).load(paths)
         else:
             df = reader.load(paths)
-        kept = [f"_metadata.{m}" for m in meta or []]
-        back = {c: names.own_name(c) for c in df.columns if c not in [f.name for f in fields]}
+        kept = [F.col(f"_metadata.{m}").alias(own) for m, own in (meta or {}).items()]
+        declared = {f.name for f in fields}
+        back = names.renames([c for c in df.columns if c not in declared], indexes)
         found = {own: c for c, own in back.items()} | {f.name: f.name for f in fields}
         if missing := [f.name for f in schema.fields if found.get(f.name) not in df.columns]:
             raise StorageError(f"{paths} have no columns {missing}")
         return df.select(*(F.col(f"`{found[f.name]}`").cast(f.dataType).alias(f.name) for f in schema.fields), *kept)
 
-    def _json_schema(self, paths: list[str], schema: T.StructType) -> T.StructType:
+    def _json_schema(self, paths: list[str], schema: T.StructType, indexes: list[str]) -> T.StructType:
         """The schema under the names that the first row uses."""
         first = self.spark.read.option("recursiveFileLookup", True).text(paths).filter("value <> ''").first()
-        used = {names.own_name(k): k for k in json.loads(first[0])} if first else {}
+        used = {own: k for k, own in names.renames(list(json.loads(first[0])), indexes).items()} if first else {}
         return T.StructType([T.StructField(used.get(f.name, f.name), f.dataType) for f in schema.fields])
 
 
@@ -113,12 +115,12 @@ class VertexReader(_Source):
         fields = [T.StructField(x, T.BooleanType()) for x in self.info.labels]
         path = self.prefix + self.info.labels_path(chunk)
         stored = self.spark.read.option("recursiveFileLookup", True).parquet(path)
-        if any(names.own_name(c) == names.VERTEX for c in stored.columns):
+        if names.renames(stored.columns, [names.VERTEX]):
             return self._load(path, "parquet", [names.VERTEX], fields)
         # archives without the id in label files: by place
-        rows = self._load(path, "parquet", [], fields, ["file_path", "row_index"])
-        number = F.regexp_extract("file_path", r"chunk(\d+)$", 1).cast("long")
-        return rows.select((number * self.info.chunk_size + F.col("row_index")).alias(names.VERTEX), *[f"`{x}`" for x in self.info.labels])
+        rows = self._load(path, "parquet", [], fields, {"file_path": _FILE, "row_index": _INDEX})
+        number = F.regexp_extract(_FILE, r"chunk(\d+)$", 1).cast("long")
+        return rows.select((number * self.info.chunk_size + F.col(_INDEX)).alias(names.VERTEX), *[f"`{x}`" for x in self.info.labels])
 
     def labels(self) -> DataFrame:
         flags = self.label_flags()
@@ -172,24 +174,24 @@ class EdgeReader(_Source):
         """Offsets of a part with their places; only ordered layouts have them."""
         path = self.prefix + self.info.offset_path(self.layout, self._part(part))
         rows = self._numbered(path, self.adj.file_type, [names.OFFSET], [])
-        return rows.select(F.col("row").alias("place"), names.OFFSET)
+        return rows.select(F.col(KEYS[2]).alias("place"), names.OFFSET)
 
     def all_offsets(self) -> DataFrame:
         path = self.prefix + self.info.offset_path(self.layout)
         rows = self._numbered(path, self.adj.file_type, [names.OFFSET], [])
-        return rows.select(F.col(lay.CHUNK).alias(lay.PART), F.col("row").alias("place"), names.OFFSET)
+        return rows.select(F.col(KEYS[1]).alias(lay.PART), F.col(KEYS[2]).alias("place"), names.OFFSET)
 
     def _numbered(self, path: str | list[str], file_type: str, indexes: list[str], fields: list[T.StructField]) -> DataFrame:
         """Rows with part, chunk and place in their file. Parquet knows places; other formats are numbered by block and row."""
         if file_type == "parquet":
-            rows = self._load(path, file_type, indexes, fields, ["file_path", "row_index"]).withColumnRenamed("row_index", "row")
+            rows = self._load(path, file_type, indexes, fields, {"file_path": _FILE, "row_index": KEYS[2]})
         else:
-            rows = self._load(path, file_type, indexes, fields, ["file_path", "file_block_start"]).withColumn("_m", F.monotonically_increasing_id())
-            order = Window.partitionBy("file_path").orderBy("file_block_start", "_m")  # one chunk file
-            rows = rows.withColumn("row", (F.row_number().over(order) - 1).cast("long")).drop("file_block_start", "_m")
-        part = F.regexp_extract("file_path", r"part(\d+)/chunk\d+$", 1)
-        rows = rows.withColumn(lay.PART, F.when(part != "", part.cast("long"))).withColumn(lay.CHUNK, F.regexp_extract("file_path", r"chunk(\d+)$", 1).cast("long"))
-        return rows.drop("file_path")
+            rows = self._load(path, file_type, indexes, fields, {"file_path": _FILE, "file_block_start": _BLOCK}).withColumn(_INDEX, F.monotonically_increasing_id())
+            order = Window.partitionBy(_FILE).orderBy(_BLOCK, _INDEX)  # one chunk file
+            rows = rows.withColumn(KEYS[2], (F.row_number().over(order) - 1).cast("long")).drop(_BLOCK, _INDEX)
+        part = F.regexp_extract(_FILE, r"part(\d+)/chunk\d+$", 1)
+        rows = rows.withColumn(KEYS[0], F.when(part != "", part.cast("long"))).withColumn(KEYS[1], F.regexp_extract(_FILE, r"chunk(\d+)$", 1).cast("long"))
+        return rows.drop(_FILE)
 
     def _empty(self, fields: list[T.StructField]) -> DataFrame:
         longs = [T.StructField(k, T.LongType()) for k in (*KEYS,)]
@@ -232,8 +234,8 @@ class EdgeReader(_Source):
         if starts is None:
             rows = number_rows(rows, [F.col(k) for k in KEYS], names.EDGE)
         else:
-            chunk = F.element_at(F.array(*(F.lit(s).cast("long") for s in starts)), (F.col(lay.PART) + 1).cast("int"))
-            rows = rows.withColumn(names.EDGE, chunk + F.col(lay.CHUNK) * self.info.chunk_size + F.col("row"))
+            chunk = F.element_at(F.array(*(F.lit(s).cast("long") for s in starts)), (F.col(KEYS[0]) + 1).cast("int"))
+            rows = rows.withColumn(names.EDGE, chunk + F.col(KEYS[1]) * self.info.chunk_size + F.col(KEYS[2]))
         return rows.select(names.EDGE, *(f"`{c}`" for c in columns))
 
     def _starts(self, most: int = 2_000) -> list[int] | None:

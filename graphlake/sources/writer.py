@@ -21,6 +21,8 @@ from .fs import Files
 #: Writer options by file type; users' options go on top.
 OPTIONS: dict[str, dict[str, Any]] = {"parquet": {"compression": "zstd"}, "orc": {"compression": "zstd"}, "csv": {"header": True}, "json": {}}
 _RENAMES = 16
+#: Helper columns of stored rows.
+PART, CHUNK, POSITION = map(names.hidden, ("part", "chunk", "position"))
 
 
 class _Sink:
@@ -30,30 +32,29 @@ class _Sink:
         self.files = Files(spark)
 
     def _chunks(self, df: DataFrame, keys: list[str], order: list[str], file_type: str, target: str, name) -> None:
-        """One file for each value of the keys, rows in order, moved to `name(values)` below the target, which is replaced."""
+        """One file for each value of the keys, rows in order, as `name(values)` below the target, which is replaced.
+
+        Files get their names beside the target, which the whole folder then takes the place of, so that a failure
+        before leaves the old table. Keys and helper columns of the order aren't stored.
+        """
         spare = f"{self.prefix}tmp-{uuid.uuid4().hex}"
         try:
             rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-            rows = rows.withColumnsRenamed({k: f"by_{k}" for k in keys}).drop(*[c for c in order if c in (lay.POSITION, "place")])
-            names.to_prefix(rows, self.column_prefix).write.partitionBy(*(f"by_{k}" for k in keys)).format(file_type).options(**self.options[file_type]).option("maxRecordsPerFile", 0).save(spare)
-            self.files.delete(target)
-            moves = []
-            for folder, values in self._folders(spare, keys):
-                parts = [f for f in self.files.list(folder) if f.startswith("part-")]
-                if len(parts) != 1:
-                    raise InvalidError(f"a chunk came in {len(parts)} files")
-                moves.append((f"{folder}/{parts[0]}", f"{target}{name(*values)}"))
+            rows = rows.drop(*[c for c in order if c.startswith(names.HIDDEN)])
+            names.to_prefix(rows, self.column_prefix).write.partitionBy(*keys).format(file_type).options(**self.options[file_type]).option("maxRecordsPerFile", 0).save(spare)
+            moves: dict[str, str] = {}
+            for path in self.files.glob("/".join([spare, *(f"{k}=*" for k in keys), "part-*"])):
+                values = [int(x.split("=")[1]) for x in path.split("/")[-1 - len(keys) : -1]]
+                to = f"{spare}/staged/{name(*values)}"
+                if to in moves:
+                    raise InvalidError(f"chunk {values} came in several files")
+                moves[to] = path
             with ThreadPoolExecutor(_RENAMES) as pool:
-                list(pool.map(lambda m: self.files.move(*m), moves))
+                list(pool.map(lambda m: self.files.move(m[1], m[0]), moves.items()))
+            self.files.replace(f"{spare}/staged", target)
         finally:
             self.files.delete(spare)
 
-    def _folders(self, root: str, keys: list[str]) -> list[tuple[str, list[int]]]:
-        found: list[tuple[str, list[int]]] = [(root, [])]
-        for key in keys:
-            found = [(f"{folder}/{x}", [*values, int(x.split("=")[1])]) for folder, values in found for x in self.files.list(folder) if x.startswith(f"by_{key}=")]
-        return found
-
 
 class VertexWriter(_Sink):
     """Writes one vertex type. `vertices` has the id column, or gets ids in the order of its primary key."""
@@ -64,7 +65,8 @@ class VertexWriter(_Sink):
 
         info.validate()
         self.info = info
-        vertices = names.to_own(vertices)
+        vertices = names.to_own(vertices, [names.VERTEX])
+        names.refuse_hidden(vertices.columns)
         self.vertices = vertices if names.VERTEX in vertices.columns else vertex_index(vertices, info.primary_key)
         validate_vertices(self.vertices, info, self.level)
         self.count = self.vertices.count() if count is None else count
@@ -76,14 +78,14 @@ class VertexWriter(_Sink):
         if group not in self.info.groups:
             raise MissingKeyError("the type has no such property group")
         columns = [F.col(f"`{p.name}`").cast(p.field.dataType).alias(p.name) for p in group.properties]
-        rows = lay.with_vertex_chunk(self.vertices.select(names.VERTEX, *columns), self.info.chunk_size)
-        self._chunks(rows, [lay.CHUNK], [names.VERTEX], group.file_type, self.prefix + self.info.group_path(group), lambda c: f"chunk{c}")
+        rows = lay.with_vertex_chunk(self.vertices.select(names.VERTEX, *columns), self.info.chunk_size, CHUNK)
+        self._chunks(rows, [CHUNK], [names.VERTEX], group.file_type, self.prefix + self.info.group_path(group), lambda c: f"chunk{c}")
 
     def write_labels(self) -> None:
         if not self.info.labels:
             raise InvalidError(f"{self.info.type} declares no labels")
-        rows = lay.with_vertex_chunk(label_ops.to_flags(self.vertices, list(self.info.labels)), self.info.chunk_size)
-        self._chunks(rows, [lay.CHUNK], [names.VERTEX], "parquet", self.prefix + self.info.labels_path(), lambda c: f"chunk{c}")
+        rows = lay.with_vertex_chunk(label_ops.to_flags(self.vertices, list(self.info.labels)), self.info.chunk_size, CHUNK)
+        self._chunks(rows, [CHUNK], [names.VERTEX], "parquet", self.prefix + self.info.labels_path(), lambda c: f"chunk{c}")
 
     def write(self) -> None:
         """All groups, the count, and labels where the type declares them and the table has them."""
@@ -102,7 +104,8 @@ class EdgeWriter(_Sink):
         info.validate()
         self.info, self.layout, self.vertices = info, layout, vertices
         self.adj = info.adj_list(layout)
-        edges = names.to_own(edges)
+        edges = names.to_own(edges, [names.SRC, names.DST])
+        names.refuse_hidden(edges.columns)
         if missing := [c for c in (names.SRC, names.DST) if c not in edges.columns]:
             raise MissingKeyError(f"edges have no {missing}")
         validate_edges(edges, info, self.level)
@@ -110,24 +113,23 @@ class EdgeWriter(_Sink):
         self.part_size = info.part_size(layout)
         ties = [p.name for g in info.groups for p in g.properties]
         self.edges = edges.select(names.SRC, names.DST, *typed)
-        self.arranged = lay.arrange(self.edges, layout, self.part_size, info.chunk_size, ties).persist()
-
-    def close(self) -> None:
-        self.arranged.unpersist()
+        self.arranged = lay.arrange(self.edges, layout, self.part_size, info.chunk_size, ties, (PART, POSITION, CHUNK))
 
     def write_counts(self) -> None:
         """The aligned end's vertex count and the edges of each part; there are as many files as parts."""
         self.files.write_count(self.prefix + self.info.vertex_count_path(self.layout), self.vertices)
-        for row in lay.edges_per_part(self.edges, self.layout, self.part_size, self.vertices).toLocalIterator():
-            self.files.write_count(self.prefix + self.info.edge_count_path(self.layout, row[lay.PART]), row["edges"])
+        counted = lay.edges_per_part(self.edges, self.layout, self.part_size, self.vertices).toLocalIterator()
+        with ThreadPoolExecutor(_RENAMES) as pool:
+            list(pool.map(lambda row: self.files.write_count(self.prefix + self.info.edge_count_path(self.layout, row[lay.PART]), row["edges"]), counted))
 
     def write_offsets(self) -> None:
-        rows = lay.offsets(self.edges, self.layout, self.part_size, self.vertices)
-        self._chunks(rows, [lay.PART], ["place"], self.adj.file_type, self.prefix + self.info.offset_path(self.layout), lambda p: f"chunk{p}")
+        place = names.hidden("place")
+        rows = lay.offsets(self.edges, self.layout, self.part_size, self.vertices).withColumnsRenamed({lay.PART: PART, "place": place})
+        self._chunks(rows, [PART], [place], self.adj.file_type, self.prefix + self.info.offset_path(self.layout), lambda p: f"chunk{p}")
 
     def write_adj_list(self) -> None:
-        rows = self.arranged.select(names.SRC, names.DST, lay.PART, lay.CHUNK, lay.POSITION)
-        self._chunks(rows, [lay.PART, lay.CHUNK], [lay.POSITION], self.adj.file_type, self.prefix + self.info.adj_path(self.layout), lambda p, c: f"part{p}/chunk{c}")
+        rows = self.arranged.select(names.SRC, names.DST, PART, CHUNK, POSITION)
+        self._chunks(rows, [PART, CHUNK], [POSITION], self.adj.file_type, self.prefix + self.info.adj_path(self.layout), lambda p, c: f"part{p}/chunk{c}")
         self.write_counts()
         if self.layout.ordered:
             self.write_offsets()
@@ -135,16 +137,13 @@ class EdgeWriter(_Sink):
     def write_group(self, group: PropertyGroup) -> None:
         if group not in self.info.groups:
             raise MissingKeyError("the type has no such property group")
-        rows = self.arranged.select(*(f"`{n}`" for n in group.names), lay.PART, lay.CHUNK, lay.POSITION)
-        self._chunks(rows, [lay.PART, lay.CHUNK], [lay.POSITION], group.file_type, self.prefix + self.info.group_path(group, self.layout), lambda p, c: f"part{p}/chunk{c}")
+        rows = self.arranged.select(*(f"`{n}`" for n in group.names), PART, CHUNK, POSITION)
+        self._chunks(rows, [PART, CHUNK], [POSITION], group.file_type, self.prefix + self.info.group_path(group, self.layout), lambda p, c: f"part{p}/chunk{c}")
 
     def write(self) -> None:
-        try:
-            self.write_adj_list()
-            for group in self.info.groups:
-                self.write_group(group)
-        finally:
-            self.close()
+        self.write_adj_list()
+        for group in self.info.groups:
+            self.write_group(group)
 
 
 def _schema(df: DataFrame, info, level: ValidateLevel) -> None:

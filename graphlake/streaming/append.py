@@ -6,6 +6,8 @@ the last, short chunk is written again. Windowed counts with a watermark are giv
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,33 +25,42 @@ from ..sources.writer import VertexWriter
 def append_batch(spark: SparkSession, prefix: str, info: VertexInfo, rows: DataFrame, key: str, batch: int | None = None) -> int:
     """Appends rows in the order of their key after those stored; returns the new number of vertices.
 
-    The count file is written last. With `batch`, a marker beside it makes a repeated batch a no-op.
+    With `batch`, a marker names the batch and the number of vertices after it; it is renamed into place before the
+    count file is written. A batch that is repeated is either done already, or overwrites what its first try left
+    beyond the vertices that are counted.
     """
     files, root = Files(spark), prefix if prefix.endswith("/") else prefix + "/"
     marker, counted = f"{root}{info.prefix}last_batch", f"{root}{info.count_path()}"
     have = files.read_count(counted) if files.exists(counted) else 0
-    if batch is not None and files.exists(marker) and files.read_count(marker) >= batch:
-        return have
+    if batch is not None and files.exists(marker):
+        last, after = map(int, files.read_text(marker).split())
+        if after != have:  # the last try ended between the two files
+            files.write_count(counted, after)
+            have = after
+        if last >= batch:
+            return have
     whole = have - have % info.chunk_size
     new = number_rows(rows, [F.col(key)], names.VERTEX).withColumn(names.VERTEX, F.col(names.VERTEX) + have)
     if have > whole:
-        tail = VertexReader(spark, root, info).select(info.property_names).filter(F.col(names.VERTEX) >= whole)
+        tail = VertexReader(spark, root, info).select(info.property_names).filter((F.col(names.VERTEX) >= whole) & (F.col(names.VERTEX) < have))
         new = tail.unionByName(new.select(names.VERTEX, *info.property_names))
     new = cut(new)
     added = new.count()
     if not added:
         return have
     for group in info.groups:
-        spare = f"{root}tmp-append/"
+        spare = f"{root}tmp-append-{uuid.uuid4().hex}/"
         writer = VertexWriter(spare, info, new, count=added)
         writer.write_group(group)
         folder = f"{spare}{info.group_path(group)}"
         for name in files.list(folder):
             files.move(f"{folder}{name}", f"{root}{info.group_path(group)}{name}")
         files.delete(spare)
-    files.write_count(counted, whole + added)
     if batch is not None:
-        files.write_count(marker, batch)
+        spare = f"{root}tmp-marker-{uuid.uuid4().hex}"
+        files.write_text(spare, f"{batch} {whole + added}")
+        files.move(spare, marker)
+    files.write_count(counted, whole + added)
     return whole + added
 
 

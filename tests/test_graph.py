@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphlake import names
 from graphlake.cli import main as cli
-from graphlake.errors import IndexRangeError, InvalidError, MissingKeyError, TypeMismatchError
+from graphlake.errors import IndexRangeError, InvalidError, MissingKeyError, StorageError, TypeMismatchError
 from graphlake.functions.expressions import Property as P
 from graphlake.functions.expressions import lift
 from graphlake.functions.types import Cardinality, GType
@@ -15,6 +15,8 @@ from graphlake.sources.builders import EdgeBuilder, VertexBuilder
 from graphlake.sources.connectors import NEBULA_FORMAT, Connector, cypher_edges
 from graphlake.sources.cursors import EdgeCursor, OffsetCursor, VertexCursor
 from graphlake.sources.importer import import_edge_list, import_graph
+from graphlake.sources.reader import VertexReader
+from graphlake.sources.writer import VertexWriter
 from graphlake.streaming.append import append_batch
 
 KEY = ("person", "knows", "person")
@@ -242,3 +244,40 @@ def test_append(spark, tmp_path):
     from graphlake.sources.reader import VertexReader
 
     assert [tuple(r) for r in VertexReader(spark, f"{tmp_path}/", info).all().orderBy(names.VERTEX).collect()] == [(i, i, f"t{i}") for i in range(7)]
+
+
+def test_reserved_names_need_their_index_columns(spark, tmp_path):
+    from graphlake import names
+
+    assert names.renames(["_xVertexIndex", "_xPrimary", "_isPrimary", "a"], [names.VERTEX]) == {"_xVertexIndex": names.VERTEX, "_xPrimary": names.PRIMARY}
+    assert names.renames(["_isPrimary", "_anOffset"], [names.VERTEX]) == {} and names.renames(["_xSrcIndex"], [names.SRC, names.DST]) == {}
+    df = spark.createDataFrame([(1, 7), (2, 8)], "id long, _isPrimary long")
+    g = GraphWriter(spark).put_vertices("v", df, "id")
+    out = g.write(g.infer("g", f"{tmp_path}/", 10, 10))
+    assert sorted((r["id"], r["_isPrimary"]) for r in out.vertices("v").table().collect()) == [(1, 7), (2, 8)]
+    with pytest.raises(InvalidError):
+        VertexWriter(f"{tmp_path}/x/", VertexInfo("v", 5, (PropertyGroup((Property("id", GType.parse("int64"), True),)),), prefix="v/"), df.withColumn(names.hidden("at"), df["id"]))
+
+
+def test_dangling_edges_with_any_column(spark):
+    from graphlake.operators import index
+
+    keys = spark.createDataFrame([(1, 0), (2, 1)], "k long, i long").toDF("_glPrimary", "_glVertexIndex")
+    edges = spark.createDataFrame([(1, 2, "a"), (1, 9, "b"), (None, 2, "c")], "s long, d long, _s string")
+    assert sorted(r["_s"] for r in index.dangling_edges(edges, keys, keys, "s", "d").collect()) == ["b", "c"]
+    assert [tuple(r) for r in index.both_indexes(edges, keys, keys, "s", "d").collect()] == [(0, 1, "a")]
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    info = VertexInfo("v", 2, (PropertyGroup((Property("id", GType.parse("int64"), True),)),), prefix="v/")
+    at = f"{tmp_path}/"
+    VertexWriter(at, info, spark.range(5)).write()
+    from graphlake.sources.fs import Files
+
+    monkeypatch.setattr(Files, "replace", lambda *a: (_ for _ in ()).throw(StorageError("no")))
+    with pytest.raises(StorageError):
+        VertexWriter(at, info, spark.range(9)).write_group(info.groups[0])
+    monkeypatch.undo()
+    assert VertexReader(spark, at, info).all().count() == 5
+    VertexWriter(at, info, spark.range(3)).write()
+    assert VertexReader(spark, at, info).all().count() == 3
