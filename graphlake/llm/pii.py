@@ -33,7 +33,7 @@ MIN_TEXTS, GENERALISE, REMOVE = 5, 0.85, 0.98
 #: Standard deviations between an observed frequency and the lower end of its confidence interval.
 CONFIDENCE = 2.0
 #: So many terms or texts are broadcast at most; more are joined by shuffle.
-BROADCAST_TERMS = 50_000
+BROADCAST_TERMS = 200_000
 #: Words of letters and digits, longer than this, are terms by the power of two that their length is within.
 SHAPED = 8
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
