@@ -30,7 +30,7 @@ from . import bloom, common
 RUN, MIN_PAGES, SHARD_PAGES = 8, 3, 256
 #: Pages parsed at once; hosts whose numbers of pages are broadcast at most; bits of the filter of repeated stretches.
 SLICE, BROADCAST_HOSTS = 512, 100_000
-BITS_PER_WINDOW, MIN_BITS, MAX_BITS = 32, 1 << 20, 1 << 31
+BITS_PER_WINDOW, MIN_BITS, MAX_BITS = 64, 1 << 20, 1 << 31
 #: Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe textarea select object canvas audio video title".split())
@@ -156,9 +156,7 @@ def main_text(found: list[tuple[str, str]], covered: np.ndarray | None = None) -
     if any(role == "main" for role, _ in found):
         texts = [text for role, text in found if role == "main"]
         if covered is not None:
-            ends = np.cumsum([text.count(" ") + 1 for text in texts])
-            kept = [text for text, part in zip(texts, np.split(covered, ends[:-1]), strict=True) if not part.all()]
-            texts = kept or texts
+            texts = [text for text, part in _block_parts(found, covered) if not part.all()] or texts
         return "\n".join(texts)
     tokens, of = stream(found)
     rows: dict[int, list[str]] = {}
@@ -168,6 +166,18 @@ def main_text(found: list[tuple[str, str]], covered: np.ndarray | None = None) -
     return "\n".join(" ".join(x) for x in rows.values())
 
 
+def _block_parts(found: list[tuple[str, str]], covered: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """The marked article's blocks, each with its tokens' part of `covered`."""
+    texts = [text for role, text in found if role == "main"]
+    ends = np.cumsum([text.count(" ") + 1 for text in texts])
+    return list(zip(texts, np.split(covered, ends[:-1]), strict=True))
+
+
+def all_kept(found: list[tuple[str, str]], covered: np.ndarray) -> bool:
+    """Whether no block of the marked article is covered wholly."""
+    return not any(part.all() for _, part in _block_parts(found, covered))
+
+
 def article_stream(found: list[tuple[str, str]]) -> list[str]:
     """Tokens of the marked article."""
     return [token for role, text in found if role == "main" for token in text.split(" ")]
@@ -256,6 +266,11 @@ def cover(tokens: np.ndarray, hits: np.ndarray, run: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
+def cover_of(found: list[tuple[str, str]], hits: np.ndarray, run: int) -> np.ndarray:
+    """As cover, for the tokens of a marked article."""
+    return cover(np.zeros(len(article_stream(found)), np.int8), hits, run)
+
+
 def windows(tokens: np.ndarray, run: int) -> np.ndarray:
     """A hash of each stretch of `run` tokens."""
     if len(tokens) < run:
@@ -353,8 +368,10 @@ def _decided(names: list[str], bitmap_of, run: int):
                     marked = any(role == "main" for role, _ in found)
                     hashes = windows(_hashes(article_stream(found) if marked else stream(found)[0]), run)
                     host = host_of(url)
-                    at = np.flatnonzero(bloom.suspected(hashes.view(np.uint64) ^ _place(host), bitmap_of.value))
-                    if len(at):
+                    hits = bloom.suspected(hashes.view(np.uint64) ^ _place(host), bitmap_of.value)
+                    at = np.flatnonzero(hits)
+                    # an article loses whole blocks only: what the filter lets through by chance seldom covers one
+                    if len(at) and not (marked and all_kept(found, cover_of(found, hits, run))):
                         rows.append((None, page, host, _key(url, page), marked, [{"start": int(i), "window": int(hashes[i])} for i in at]))
                     else:
                         rows.append((main_text(found), None, None, None, None, None))
