@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, ensure_checkpoint_dir, shared_folder
+
+__all__ = ["FOLDED", "SPACE", "WORD", "cut", "ensure_checkpoint_dir", "fold", "pow2_at_least", "scratch", "shared_folder", "ship", "small_batches", "table", "text_or_empty", "written"]
+
 #: White space and words as all contracts define them.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,21 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Honour spark.checkpoint.dir; only where nothing is set (tests on one machine), use a temporary folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder; Spark removes it once unused."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -57,8 +45,7 @@ def pow2_at_least(n: int) -> int:
 def scratch(spark: SparkSession):
     """A folder for written tables in the shared checkpoint folder, removed when the block ends."""
     ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{root}/scratch-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
     try:
         yield path
     finally:

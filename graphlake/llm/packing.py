@@ -149,10 +149,16 @@ def tokenize(docs: DataFrame, json_path: str, ranks_path: str | None = None, siz
     return src.mapInArrow(_tokenize(json_path, ranks_path, size, end, names, with_ids), schema)
 
 
+def about_pieces(docs: DataFrame, size: int = MAX_TOKENS) -> int:
+    """About how many pieces the documents make, from the lengths of their texts (three characters a token)."""
+    row = docs.agg(F.sum(1 + F.floor(F.coalesce(F.length("text"), F.lit(0)) / F.lit(3 * size))).alias("n")).first()
+    return int(row["n"] or 0)
+
+
 def pack(pieces: DataFrame, rows: int, size: int = MAX_TOKENS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (`rows`: about how many documents they come from).
+    """Adds sequence_id and offset to pieces (`rows`: about how many there are, which gives the number of shards).
 
-    Only lengths decide; equal rows are packed as rows of their own. The result doesn't depend on the order of input
+    Only lengths decide; equal rows are packed as rows of their own, and an empty table gives an empty result. The result doesn't depend on the order of input
     rows but for which of several pieces of one length goes where.
     """
     shards = max(1, -(-rows // shard_pieces))

@@ -49,7 +49,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     pieces = packing.tokenize(docs, *tokenizer_paths())
-    return packing.pack(pieces, docs.count())
+    return packing.pack(pieces, packing.about_pieces(docs))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +99,13 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 OP7_SQL = r"""
 WITH l AS (
-  SELECT doc_id, i, line, regexp_replace(translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '', '') AS key
-  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-k AS (SELECT key, max(doc_id) AS keep FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
-SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+  SELECT rid, doc_id, i, line, regexp_replace(translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '', '') AS key
+  FROM (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+k AS (SELECT key, max(coalesce(doc_id, -9223372036854775808)) AS keep FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM (SELECT l.doc_id, l.i, l.line, coalesce(l.doc_id < k.keep, false) AS gone FROM l LEFT JOIN k USING (key))
-GROUP BY doc_id
+FROM (SELECT l.rid, l.doc_id, l.i, l.line, coalesce(coalesce(l.doc_id, -9223372036854775808) < k.keep, false) AS gone FROM l LEFT JOIN k USING (key))
+GROUP BY rid
 """
 
 OP9_SQL = r"""

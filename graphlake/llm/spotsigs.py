@@ -128,7 +128,9 @@ def with_next(docs: DataFrame, columns: list[str], window_rows: int = WINDOW_ROW
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited text, both fingerprints and their likenesses, for every row.
 
-    The edited text has the last half of the code points replaced by the first as many of the next document.
+    The edited text has the last half of the code points replaced by the first as many of the next document. Null text
+    is empty, and its fingerprint too; two empty fingerprints are alike. Rows that repeat a doc_id are rows of their
+    own, in the order of a hash of their texts; a null id ranks lowest. An empty table gives an empty result.
     """
     own = docs.select("doc_id", common.text_or_empty().alias("_text")).withColumn("_sig", signatures(F.col("_text"))).withColumn("_tie", F.xxhash64("_text"))
     rows = with_next(own, ["_text", "_sig"])
