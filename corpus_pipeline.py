@@ -36,13 +36,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once per repetition that the mix takes of it."""
+    """Each document once per repetition that the mix takes of it, a partial one with its first words.
+
+    Documents without words (null or empty text) are not taken. A null source is one of its own; rows that repeat a
+    doc_id are rows of their own; an empty table gives an empty one.
+    """
     return mixing.repeat(mixing.mix(docs, keep=("text", "lang")), COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing.pack(packing.tokenize(docs, *tokenizer_paths()), docs.count())
+    """Pieces with their place in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null text is empty and a piece of one token. Repeated rows are packed as rows of their own; which of several pieces
+    of one length goes where is left open. An empty table gives an empty one.
+    """
+    return packing.pack(packing.tokenize(docs, *tokenizer_paths()), packing.about_pieces(docs))
 
 
 STAGES = [
