@@ -23,6 +23,7 @@ from .plans.graph import Graph, GraphWriter
 from .plans.info import AdjList, EdgeInfo, Layout, Property, PropertyGroup, VertexInfo
 from .session import cut
 from .sources.builders import VertexBuilder
+from .sources.connectors import Folder, export_database, import_database
 from .sources.cursors import EdgeCursor, OffsetCursor, VertexCursor
 from .sources.importer import import_delimited, import_graph
 from .sources.reader import EdgeReader, VertexReader
@@ -264,6 +265,23 @@ def register(query: Callable, sql: dict[str, str], ids: Callable[[DataFrame], Da
             g = import_delimited(spark, {"customer": (f"{path}customer", "c_custkey"), "orders": (f"{path}orders", "o_orderkey")}, {c.PLACES: f"{path}places"}, f"{path}g/", "shop", vertex_chunk=500, edge_chunk=2_000)
             return ids(cut(g.edge_reader(c.PLACES).edges(add_index=False, columns=[])))
 
+    @query("database_round_trip", f"SELECT o_custkey AS src, o_orderkey AS dst, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey")
+    def database_round_trip(spark, d):
+        """A graph imported from a database and exported to another, edges under the keys of their ends; folders stand in for both."""
+        with c.workspace(spark) as path:
+            c.table(spark, d, "customer").select("c_custkey", "c_name").write.parquet(f"{path}a/customer")
+            c.table(spark, d, "orders").select("o_orderkey").write.parquet(f"{path}a/orders")
+            c.places(spark, d).select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), "o_totalprice").write.parquet(f"{path}a/customer_places_orders")
+            g = import_database(Folder(spark, f"{path}a"), {
+                "graph": {"path": f"{path}g/", "name": "shop", "vertexChunkSize": 500, "edgeChunkSize": 2_000},
+                "schema": {
+                    "vertices": [{"label": "customer", "properties": ["c_custkey", "c_name"], "primary": "c_custkey"}, {"label": "orders", "properties": ["o_orderkey"], "primary": "o_orderkey"}],
+                    "edges": [{"srcLabel": "customer", "label": "places", "dstLabel": "orders", "srcProp": "c_custkey", "dstProp": "o_orderkey", "properties": ["o_totalprice"]}],
+                },
+            })
+            export_database(g, Folder(spark, f"{path}b"))
+            return cut(spark.read.parquet(f"{path}b/customer_places_orders"))
+
     # ---- analytics over stored layouts
 
     def follow_graph(spark: SparkSession, d: str, path: str) -> Graph:
