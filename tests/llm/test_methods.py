@@ -346,3 +346,19 @@ def test_stages_take_odd_tables(spark, tmp_path):
         assert sizes[name] is None or n == sizes[name], name
         assert name == "best_fit_packing" or out.columns == corpus_pipeline.COLUMNS
         assert stage(spark, df.limit(0), at).count() == 0, name
+
+
+def test_lines_of_repeated_ids_as_in_sql(spark, tmp_path):
+    """Rows that repeat a doc_id, or have none, count as documents of their own, in SQL as in the operator."""
+    import duckdb
+
+    from graphlake.llm import queries
+
+    line = "a line that is long enough to be a key of its own here"
+    rows = [(1, line), (1, line), (2, f"{line}\nother"), (2, f"x\n{line.upper()}"), (None, line), (None, f"{line}\n{line}"), (3, "other"), (4, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op7_line_dedup"])
+    got = queries.op7_line_dedup(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())) and sum(r["n_dropped"] for r in got) == 5
