@@ -30,7 +30,7 @@ WINDOW_ROWS, MAX_WINDOWS = 256, 4_096
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted distinct signatures (int). A text of words without a spot has the chain of all its words as its only one."""
+    """Sorted distinct signatures (64-bit hashes). A text of words without a spot has the chain of all its words as its only one."""
     words = F.split(F.lower(text), NOT_WORDS)
     anchor = lambda w: w.isin(ANCHORS)
 
@@ -42,10 +42,10 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
 
     def sign(state):
         at = lambda p, j: p - j - state["skip"]
-        listed = F.transform(state["s"], lambda p, j: F.when(at(p, j) + chain <= F.size(state["c"]), F.hash(F.element_at(state["w"], p + 1), F.slice(state["c"], at(p, j) + 1, F.lit(chain)))))
+        listed = F.transform(state["s"], lambda p, j: F.when(at(p, j) + chain <= F.size(state["c"]), F.xxhash64(F.element_at(state["w"], p + 1), F.slice(state["c"], at(p, j) + 1, F.lit(chain)))))
         whole = F.filter(state["w"], lambda w: w != "")
         own = F.array_sort(F.array_distinct(F.filter(listed, lambda x: x.isNotNull())))
-        return F.when(F.size(own) > 0, own).when(F.size(whole) > 0, F.array(F.hash(whole))).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(own) > 0, own).when(F.size(whole) > 0, F.array(F.xxhash64(whole))).otherwise(F.array().cast("array<bigint>"))
 
     # each step is bound once, as the only element of an array
     bound = F.transform(F.transform(F.array(F.struct(words.alias("w"))), of), sign)
@@ -60,7 +60,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(signature: Column) -> Column:
-    return F.array_join(F.transform(signature, lambda x: F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))), " ")
+    return F.array_join(F.transform(signature, lambda x: F.lower(F.hex(x))), " ")
 
 
 def length_partition(length: Column, threshold: float = THRESHOLD) -> Column:
