@@ -1,12 +1,10 @@
-"""Main text of web pages: a host's suffix array tells boilerplate, page structure tells where the article is.
+"""Main text of web pages: page structure tells where the article is, a host's suffix array what else is boilerplate.
 
 A page is read into blocks of text. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments are its chrome; scripts and styles are no text. The token streams of what stands outside of marked articles are
-concatenated for each host and their suffixes sorted: substrings of at least RUN tokens found on MIN_PAGES distinct
-pages are boilerplate. Pages are then covered with these substrings. Where a page marks no article, covered tokens and
-chrome go, and the unique runs stay. Where it does, its article's blocks stay as they are, but for those that are
-covered wholly with substrings of the host's chrome: menus or notices inside of the article that no markup tells of.
-Should no block be left, all stay.
+comments go, as do scripts and styles. If the page marks its article, the text is what is left inside of it. The token
+streams of all that stands outside of marked articles are concatenated for each host and their suffixes sorted:
+substrings of at least RUN tokens found on MIN_PAGES distinct pages are boilerplate. Where a page marks no article,
+covered tokens go, and the unique runs stay.
 
 Hosts of many pages are cut into shards of a bounded number, each with its own array; what a shard counts is summed over
 all shards of a host, so what a shard saw on too few pages still meets the others of its kind.
@@ -14,7 +12,6 @@ all shards of a host, so what a shard saw on too few pages still meets the other
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 
@@ -25,12 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom, common
+from . import common
 
 RUN, MIN_PAGES, SHARD_PAGES = 8, 3, 256
-#: Pages parsed at once; hosts whose numbers of pages are broadcast at most; bits of the filter of repeated stretches.
-SLICE, BROADCAST_HOSTS = 512, 100_000
-BITS_PER_WINDOW, MIN_BITS, MAX_BITS = 64, 1 << 20, 1 << 31
+#: Pages parsed at once; hosts, and pages that repeat what their host has, that are broadcast at most.
+SLICE, BROADCAST_ROWS = 512, 20_000
 #: Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe textarea select object canvas audio video title".split())
@@ -152,12 +148,9 @@ def stream(found: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
 
 
 def main_text(found: list[tuple[str, str]], covered: np.ndarray | None = None) -> str:
-    """The page's text; covered: which of `article_stream`'s tokens (of a marked article), or else of `stream`'s, are boilerplate."""
+    """The article's blocks, or those outside of dropped parts without their covered tokens."""
     if any(role == "main" for role, _ in found):
-        texts = [text for role, text in found if role == "main"]
-        if covered is not None:
-            texts = [text for text, part in _block_parts(found, covered) if not part.all()] or texts
-        return "\n".join(texts)
+        return "\n".join(text for role, text in found if role == "main")
     tokens, of = stream(found)
     rows: dict[int, list[str]] = {}
     for k, (token, i) in enumerate(zip(tokens, of, strict=True)):
@@ -166,23 +159,6 @@ def main_text(found: list[tuple[str, str]], covered: np.ndarray | None = None) -
     return "\n".join(" ".join(x) for x in rows.values())
 
 
-def _block_parts(found: list[tuple[str, str]], covered: np.ndarray) -> list[tuple[str, np.ndarray]]:
-    """The marked article's blocks, each with its tokens' part of `covered`."""
-    texts = [text for role, text in found if role == "main"]
-    ends = np.cumsum([text.count(" ") + 1 for text in texts])
-    return list(zip(texts, np.split(covered, ends[:-1]), strict=True))
-
-
-def all_kept(found: list[tuple[str, str]], covered: np.ndarray) -> bool:
-    """Whether no block of the marked article is covered wholly."""
-    return not any(part.all() for _, part in _block_parts(found, covered))
-
-
-def article_stream(found: list[tuple[str, str]]) -> list[str]:
-    """Tokens of the marked article."""
-    return [token for role, text in found if role == "main" for token in text.split(" ")]
-
-
 def suffix_array(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The concatenation's suffixes in order, what each has in common with the one before it, its stream, its place there.
 
@@ -220,39 +196,27 @@ def suffix_array(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     return order, common, of[order], order - begins[of[order]]
 
 
-def repeats(streams: list[np.ndarray], run: int = RUN, pages: np.ndarray | None = None, marks: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeats(streams: list[np.ndarray], run: int = RUN, pages: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each substring of `run` tokens: the stream and place of one of them, and on how many distinct pages it stands.
 
-    pages: each stream's page. Last, the same count over stretches all of whose tokens are marked in `marks`.
-    Neighbours in the suffix array with as much in common are one substring.
+    pages: each stream's page. Neighbours in the suffix array with as much in common are one substring.
     """
-    order, common, of, at = suffix_array(streams)
+    order, common_, of, at = suffix_array(streams)
     lengths = np.array([len(x) for x in streams], np.int64)
     fits = at + run <= lengths[of] if len(order) else np.zeros(0, dtype=bool)
-    group = np.cumsum(~(common >= run))[fits] if len(order) else np.zeros(0, np.int64)
+    if not fits.any():
+        return (np.zeros(0, np.int64),) * 3
+    group = np.cumsum(~(common_ >= run))[fits]
     of, at = of[fits], at[fits]
-    if not len(of):
-        return (np.zeros(0, np.int64),) * 4
     names = np.unique(pages, return_inverse=True)[1] if pages is not None else np.arange(len(streams))
-    group = np.unique(group, return_inverse=True)[1]
-    first = np.unique(group, return_index=True)[1]
-
-    def counted(chosen: np.ndarray) -> np.ndarray:
-        pairs = np.unique(np.stack([group[chosen], names[of[chosen]]]), axis=1)
-        return np.bincount(pairs[0], minlength=len(first))
-
-    every = np.ones(len(of), dtype=bool)
-    if marks is None:
-        marked = ~every
-    else:
-        sums = [np.concatenate([[0], np.cumsum(m)]) for m in marks]
-        marked = np.array([sums[s][p + run] - sums[s][p] == run for s, p in zip(of.tolist(), at.tolist(), strict=True)], dtype=bool)
-    return of[first], at[first], counted(every), counted(marked)
+    _, first, group = np.unique(group, return_index=True, return_inverse=True)
+    pairs = np.unique(np.stack([group, names[of]]), axis=1)
+    return of[first], at[first], np.bincount(pairs[0], minlength=len(first))
 
 
 def covered_tokens(streams: list[np.ndarray], run: int = RUN, min_pages: int = MIN_PAGES, pages: list | None = None) -> list[np.ndarray]:
     """For each stream which tokens lie in substrings of `run` tokens or more that `min_pages` distinct pages hold."""
-    at, place, n, _ = repeats(streams, run, None if pages is None else np.asarray(pages))
+    at, place, n = repeats(streams, run, None if pages is None else np.asarray(pages))
     known = {windows(streams[s][p : p + run], run)[0] for s, p, k in zip(at.tolist(), place.tolist(), n.tolist(), strict=True) if k >= min_pages}
     return [cover(x, np.isin(windows(x, run), list(known)), run) for x in streams]
 
@@ -266,11 +230,6 @@ def cover(tokens: np.ndarray, hits: np.ndarray, run: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def cover_of(found: list[tuple[str, str]], hits: np.ndarray, run: int) -> np.ndarray:
-    """As cover, for the tokens of a marked article."""
-    return cover(np.zeros(len(article_stream(found)), np.int8), hits, run)
-
-
 def windows(tokens: np.ndarray, run: int) -> np.ndarray:
     """A hash of each stretch of `run` tokens."""
     if len(tokens) < run:
@@ -285,105 +244,66 @@ def _hashes(tokens: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens)).view(np.int64)
 
 
-def _key(url: str | None, page: str | None) -> bytes:
-    return hashlib.blake2b(f"{url}\x00{page}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
 def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", url or "", flags=re.I).split("/")[0].split("?")[0].split("#")[0].lower()
 
 
-_STREAM = "host string, key binary, tokens binary, chrome binary"
+_STREAM = "host string, key string, open boolean, tokens binary"
 
 
 def _streams(batches):
-    """Rows _STREAM of what stands outside of marked articles; chrome: a byte for each token."""
+    """Rows _STREAM of what stands outside of marked articles; open: whether the page marks none."""
     names = [f.split()[0] for f in _STREAM.split(", ")]
     for big in batches:
         for lo in range(0, big.num_rows, SLICE):
             batch = big.slice(lo, SLICE)
             rows = []
-            for url, page in zip(*(batch.column(n).to_pylist() for n in ("_url", "_html")), strict=True):
+            for url, page, key in zip(*(batch.column(n).to_pylist() for n in ("_url", "_html", "_key")), strict=True):
                 found = blocks(page)
-                tokens, of = stream(found)
+                tokens, _ = stream(found)
                 if len(tokens) >= RUN:
-                    marked = any(role == "main" for role, _ in found)
-                    rows.append((host_of(url), _key(url, page), _hashes(tokens).tobytes(), (np.ones(len(of), np.uint8) if marked else (np.array(of) < 0).astype(np.uint8)).tobytes()))
+                    rows.append((host_of(url), key, not any(role == "main" for role, _ in found), _hashes(tokens).tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            types = [pa.string(), pa.binary(), pa.binary(), pa.binary()]
+            types = [pa.string(), pa.string(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
 def boilerplate(streams: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """host, window, chrome: stretches of `run` tokens that a host repeats, and whether it repeats them in its chrome."""
+    """host, window: stretches of `run` tokens that a host has on `min_pages` distinct pages."""
     hosts = streams.groupBy(F.col("host").alias("_h")).agg(F.ceil(F.count("*") / shard_pages).alias("_shards"))
-    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    few = hosts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     dealt = streams.join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_h")).withColumn("_shard", F.pmod(F.xxhash64("key"), F.col("_shards"))).drop("_h")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [np.frombuffer(t, np.int64) for t in pdf["tokens"]]
-        pages = np.unique(pdf["key"].map(bytes).to_numpy(), return_inverse=True)[1]
-        s, p, n, chrome = repeats(found, run, pages, [np.frombuffer(t, np.uint8) for t in pdf["chrome"]])
+        pages = np.unique(pdf["key"].to_numpy().astype(str), return_inverse=True)[1]
+        s, p, n = repeats(found, run, pages)
         if int(pdf["_shards"].iloc[0]) == 1:  # no other shard adds to these counts
             kept = n >= min_pages
-            s, p, n, chrome = s[kept], p[kept], n[kept], chrome[kept]
+            s, p, n = s[kept], p[kept], n[kept]
         hashes = [windows(found[i][j : j + run], run)[0] for i, j in zip(s.tolist(), p.tolist(), strict=True)]
-        return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(hashes), dtype=object), "window": np.array(hashes, np.int64), "pages": n, "chrome": chrome})
+        return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(hashes), dtype=object), "window": np.array(hashes, np.int64), "pages": n})
 
-    counted = dealt.groupBy("host", "_shard").applyInPandas(within, "host string, window long, pages long, chrome long")
+    counted = dealt.groupBy("host", "_shard").applyInPandas(within, "host string, window long, pages long")
     # a page is in one shard, so the shards' pages add up
-    total = counted.groupBy("host", "window").agg(F.sum("pages").alias("_pages"), F.sum("chrome").alias("_chrome"))
-    return total.filter(F.col("_pages") >= min_pages).select("host", "window", (F.col("_chrome") >= min_pages).alias("chrome"))
+    return counted.groupBy("host", "window").agg(F.sum("pages").alias("_pages")).filter(F.col("_pages") >= min_pages).select("host", "window")
 
 
-def _place(host: str) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(host))
-
-
-def _of_host(hosts: list[str], found: np.ndarray) -> np.ndarray:
-    """Filter hashes of windows of hosts."""
-    return found.view(np.uint64) ^ np.array([_place(h) for h in hosts], np.uint64)
-
-
-def _batch_hashes(batch: pa.RecordBatch):
-    # twice each, as the filter lets through what is seen twice
-    yield np.repeat(_of_host(batch.column("host").to_pylist(), batch.column("window").to_numpy()), 2)
-
-
-_ROW_NAMES = ["_text", "_html", "_host", "_key", "_marked", "_at"]
-_ROW = "_text string, _html string, _host string, _key binary, _marked boolean, _at array<struct<start:int,window:bigint>>"
-
-
-def _decided(names: list[str], bitmap_of, run: int):
-    """The columns in `names` and _ROW: the text of pages without a suspected stretch; html and the stretches of others."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("window", pa.int64())]))
+def _stretches(run: int):
+    """Rows (key, host, start, window) of a page's stretches of `run` tokens."""
 
     def run_all(batches):
-        for big in batches:
-            for lo in range(0, big.num_rows, SLICE):
-                batch = big.slice(lo, SLICE)
-                rows = []
-                for url, page in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist(), strict=True):
-                    found = blocks(page)
-                    marked = any(role == "main" for role, _ in found)
-                    hashes = windows(_hashes(article_stream(found) if marked else stream(found)[0]), run)
-                    host = host_of(url)
-                    hits = bloom.suspected(hashes.view(np.uint64) ^ _place(host), bitmap_of.value)
-                    at = np.flatnonzero(hits)
-                    # an article loses whole blocks only: what the filter lets through by chance seldom covers one
-                    if len(at) and not (marked and all_kept(found, cover_of(found, hits, run))):
-                        rows.append((None, page, host, _key(url, page), marked, [{"start": int(i), "window": int(hashes[i])} for i in at]))
-                    else:
-                        rows.append((main_text(found), None, None, None, None, None))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                types = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_(), kind]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*names, *_ROW_NAMES])
+        for batch in batches:
+            for host, key, tokens in zip(*(batch.column(n).to_pylist() for n in ("host", "key", "tokens")), strict=True):
+                found = windows(np.frombuffer(tokens, np.int64), run)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.string()), pa.array([host] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), pa.array(found)], names=["key", "host", "start", "window"])
 
     return run_all
 
 
-def _covered(names: list[str], run: int):
-    """The columns in `names` and the text of pages with their confirmed stretches."""
+def _texts(names: list[str], run: int):
+    """The columns in `names`, and the text of each page: of its article, or of what its host doesn't repeat."""
 
     def run_all(batches):
         for big in batches:
@@ -392,11 +312,13 @@ def _covered(names: list[str], run: int):
                 texts = []
                 for page, starts in zip(batch.column("_html").to_pylist(), batch.column("_starts").to_pylist(), strict=True):
                     found = blocks(page)
-                    marked = any(role == "main" for role, _ in found)
-                    tokens = np.zeros(len(article_stream(found) if marked else stream(found)[0]), np.int64)
-                    hits = np.zeros(max(0, len(tokens) - run + 1), dtype=bool)
-                    hits[starts or []] = True
-                    texts.append(main_text(found, cover(tokens, hits, run)))
+                    covered = None
+                    if starts:
+                        tokens = np.zeros(len(stream(found)[0]), np.int64)
+                        hits = np.zeros(len(tokens), dtype=bool)
+                        hits[starts] = True
+                        covered = cover(tokens, hits, run)
+                    texts.append(main_text(found, covered))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "_text"])
 
     return run_all
@@ -406,26 +328,19 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), run: i
     """The columns in `keep` and `text`, for every row.
 
     Null or empty html has no text and gives an empty one. Rows of equal url and html are one page to the host's array
-    and have the same text; a null url is a host of its own. Very long pages are read whole. An empty table gives an
-    empty result.
+    and have the same text; a null url is an empty one. Very long pages are read whole. An empty table gives an empty
+    result.
     """
-    spark = pages.sparkSession
-    own = [f"_k{i}" for i in range(len(keep))]
-    src = pages.select(*(F.col(c).alias(k) for c, k in zip(keep, own, strict=True)), F.col("url").alias("_url"), F.col("html").alias("_html"))
-    schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in own)
-    with common.scratch(spark) as path:
-        streams = common.written(src.select("_url", "_html").mapInArrow(_streams, _STREAM), f"{path}/streams")
-        known = common.written(boilerplate(streams, run, min_pages, shard_pages), f"{path}/known")
-        bits = min(MAX_BITS, max(MIN_BITS, common.pow2_at_least(known.count() * BITS_PER_WINDOW)))
-        bitmap = spark.sparkContext.broadcast(bloom.seen_twice(known.select("host", "window"), _batch_hashes, bits))
-        decided = common.written(src.mapInArrow(_decided(own, bitmap, run), f"{schema}{', ' if own else ''}{_ROW}"), f"{path}/decided")
-        bitmap.unpersist()
-        # suspected stretches are confirmed by the table of those that the host repeats
-        open_ones = decided.filter("_html is not null")
-        each = open_ones.select("_key", "_host", "_marked", F.explode("_at").alias("_w")).distinct().select("_key", "_host", "_marked", "_w.start", "_w.window")
-        sure = each.join(known.withColumnRenamed("host", "_host"), ["_host", "window"])
-        starts = sure.filter("chrome or not _marked").groupBy(F.col("_key").alias("_p")).agg(F.collect_list("start").alias("_starts"))
-        rest = open_ones.select(*own, "_html", "_key").join(starts, F.col("_key") == F.col("_p"), "left").select(*own, "_html", "_starts")
-        rest = rest.mapInArrow(_covered(own, run), f"{schema}{', ' if own else ''}_text string")
-        out = decided.filter("_html is null").select(*own, "_text").unionByName(rest)
-        return common.cut(out.select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), F.col("_text").alias("text")))
+    own = [f"_k{i}" for i in range(len(keep))]  # so that no name in `keep` clashes
+    key = F.sha2(F.concat_ws("\0", F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit(""))).cast("binary"), 256)
+    src = pages.select(*(F.col(c).alias(k) for c, k in zip(keep, own, strict=True)), F.col("url").alias("_url"), F.col("html").alias("_html"), key.alias("_key"))
+    schema = ", ".join([*(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in own), "_text string"])
+    with common.scratch(pages.sparkSession) as path:
+        streams = common.written(src.select("_url", "_html", "_key").mapInArrow(_streams, _STREAM), f"{path}/streams")
+        known = boilerplate(streams, run, min_pages, shard_pages)
+        each = streams.filter("open").dropDuplicates(["key"]).mapInArrow(_stretches(run), "key string, host string, start int, window long")
+        starts = common.cut(each.join(known, ["host", "window"]).groupBy(F.col("key").alias("_p")).agg(F.collect_list("start").alias("_starts")))
+    few = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = src.join(F.broadcast(starts) if few else starts, F.col("_key") == F.col("_p"), "left").select(*own, "_html", "_starts")
+    out = rows.mapInArrow(_texts(own, run), schema)
+    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), F.col("_text").alias("text"))

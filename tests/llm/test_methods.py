@@ -133,23 +133,16 @@ def test_suffix_array_against_plain():
             assert n == k
 
 
-def test_chrome_inside_of_articles(spark):
-    """What a host's pages have outside of their articles goes inside of them too; what only articles repeat stays."""
-    menu, passage = "Home News Sport Weather Travel Culture Music Film Theatre", "this very passage is quoted by all of the articles of the host"
-    rows = []
-    for i in range(30):
-        own = " ".join(words(15, i))
-        inner = f"<div>{menu}</div>" if i % 3 == 0 else ""
-        rows.append((i, f"http://h.org/{i}", page(f"<nav>{menu}</nav><article>{inner}<p>{own}</p><p>{passage}</p></article>")))
-    rows.append((90, "http://h.org/90", page(f"<nav>{menu}</nav><article><p>{menu}</p></article>")))  # nothing else: stays
-    rows.append((91, "http://other.org/91", page(f"<article><p>{menu}</p><p>x</p></article>")))
-    rows += [(92, None, None), (93, "http://h.org/93", ""), (92, None, None)]
+def test_articles_stay_whole(spark):
+    """What a host's pages have outside of their articles stays where a marked article has it too."""
+    menu = "Home News Sport Weather Travel Culture Music Film Theatre"
+    rows = [(i, f"http://h.org/{i}", page(f"<nav>{menu}</nav><article><div>{menu}</div><p>{' '.join(words(15, i))}</p></article>")) for i in range(12)]
+    rows += [(91, "http://h.org/91", page(f"<p>{menu}</p><p>x y</p>")), (92, None, None), (93, "http://h.org/93", ""), (92, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("c")).withColumn("_html", F.lit("c"))
     for shard in (256, 5):
         got = {r["page_id"]: r for r in html_text.extract(df, keep=("page_id", "key", "_html"), shard_pages=shard).collect()}
-        for i in range(30):
-            assert got[i]["text"] == f"{' '.join(words(15, i))}\n{passage}", (shard, i)
-        assert got[90]["text"] == menu and got[91]["text"] == f"{menu}\nx" and got[92]["text"] == got[93]["text"] == ""
+        assert all(got[i]["text"] == f"{menu}\n{' '.join(words(15, i))}" for i in range(12))
+        assert got[91]["text"] == "x y" and got[92]["text"] == got[93]["text"] == ""
         assert got[5]["key"] == got[5]["_html"] == "c"
 
 
@@ -165,30 +158,28 @@ def test_pages_against_plain(spark):
         rows.append((i, f"http://h{i % 3}.org/{i}", page(f"<article>{body}</article><footer>{rng.choice(pool)}</footer>" if i % 2 else body)))
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_pages=7).collect()}
     run, least = html_text.RUN, html_text.MIN_PAGES
-    seen, chrome = defaultdict(set), defaultdict(set)
+    seen = defaultdict(set)
     for i, url, html in rows:
-        tokens, of = html_text.stream(html_text.blocks(html))
+        tokens, _ = html_text.stream(html_text.blocks(html))
         for k in range(len(tokens) - run + 1):
             seen[url[:10], tuple(tokens[k : k + run])].add(i)
-            if i % 2 or max(of[k : k + run]) < 0:
-                chrome[url[:10], tuple(tokens[k : k + run])].add(i)
     for i, url, html in rows:
         found = html_text.blocks(html)
-        held = chrome if i % 2 else seen
-        listed = [t for r, text in found if r == ("main" if i % 2 else "body") for t in text.split(" ")]
+        if i % 2:
+            assert got[i] == "\n".join(text for role, text in found if role == "main"), i
+            continue
+        listed = html_text.stream(found)[0]
         covered = np.zeros(len(listed), bool)
         for k in range(len(listed) - run + 1):
-            if len(held[url[:10], tuple(listed[k : k + run])]) >= least:
+            if len(seen[url[:10], tuple(listed[k : k + run])]) >= least:
                 covered[k : k + run] = True
         want, at = [], 0
-        for role, text in found:
-            if role == ("main" if i % 2 else "body"):
-                own = text.split(" ")
-                part = covered[at : at + len(own)]
-                at += len(own)
-                left = ([] if part.all() else own) if i % 2 else [w for w, c in zip(own, part, strict=True) if not c]
-                want += [" ".join(left)] if left else []
-        assert got[i] == ("\n".join(want) or ("\n".join(text for role, text in found if role == "main"))), i
+        for _, text in found:
+            own = text.split(" ")
+            left = [w for w, c in zip(own, covered[at : at + len(own)], strict=True) if not c]
+            at += len(own)
+            want += [" ".join(left)] if left else []
+        assert got[i] == "\n".join(want), i
 
 
 # ---- search
