@@ -98,13 +98,6 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.when(mixed(w), shape(w)).otherwise(w)))
 
 
-def _without_base(text: Column) -> Column:
-    """The text without what the patterns match: parts of an entity tell nothing new of it."""
-    for pattern in PATTERNS.values():
-        text = F.regexp_replace(text, pattern, " ")
-    return text
-
-
 def _lower_end(hits: Column, of: Column, z: float = CONFIDENCE) -> Column:
     """Lower end of the confidence interval of a frequency (Wilson's)."""
     n, p = of.cast("double"), hits / of
@@ -137,7 +130,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, rows: int, min_texts: in
     """
     met, named = _met(found, min_texts)
     # a group of copies is one text: the rows of each are counted before terms are listed
-    texts = found.groupBy("_key").agg(F.min("_text").alias("_text")).select("_key", terms_of(_without_base(F.col("_text"))).alias("_terms"))
+    once = found.groupBy("_key").agg(F.first("_text").alias("_text"), F.first("base").alias("base"))
+    # parts of an entity tell nothing new of it: they are taken out first
+    texts = once.select("_key", terms_of(_replaced(F.col("_text"), F.col("base"), lambda s: F.lit(" "))).alias("_terms"))
     both = met.join(texts, "_key").select("entity", "_c", "_rows", F.explode("_terms").alias("term")).groupBy("entity", "_c", "term").agg(F.sum("_rows").alias("_ct"), F.count("*").alias("_n"))
     n = F.lit(float(max(rows, 1)))
     information = -F.log2(F.col("_c") / n)
@@ -211,11 +206,9 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), min_texts: int = MIN_TEXTS
     return out.select("doc_id", *(F.col("_keep")[c].alias(c) for c in keep), "base", "extra")
 
 
-def sanitise(text: Column, base: Column, extra: Column) -> Column:
-    """The text with its spans replaced: personal data by its kind, generalised terms by what they are, others by nothing."""
-    spans = F.array_sort(F.concat(base, extra), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
-    shape = lambda v: F.when(v.rlike("^[0-9]+$"), "[NUMBER]").when(v.rlike("[0-9]"), "[CODE]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    new = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", shape(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+def _replaced(text: Column, spans: Column, new) -> Column:
+    """The text with what stands in the spans replaced by new(span); of spans that overlap the one that begins first counts."""
+    listed = F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
 
     def rebuilt(x):
         def step(at, s):
@@ -227,5 +220,12 @@ def sanitise(text: Column, base: Column, extra: Column) -> Column:
         parts = common.fold(x["spans"], F.lit(0), F.array().cast("array<string>"), step)
         return F.concat(F.array_join(parts, ""), F.array_join(F.slice(x["chars"], last + 1, F.size(x["chars"])), ""))
 
-    whole = F.transform(F.array(F.struct(F.split(text, "").alias("chars"), spans.alias("spans"))), rebuilt)[0]
+    whole = F.transform(F.array(F.struct(F.split(text, "").alias("chars"), listed.alias("spans"))), rebuilt)[0]
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def sanitise(text: Column, base: Column, extra: Column) -> Column:
+    """The text with its spans replaced: personal data by its kind, generalised terms by what they are, others by nothing."""
+    shape = lambda v: F.when(v.rlike("^[0-9]+$"), "[NUMBER]").when(v.rlike("[0-9]"), "[CODE]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    new = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", shape(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    return _replaced(text, F.concat(base, extra), new)
