@@ -266,6 +266,25 @@ def classes_of(texts):
     return {frozenset(g) for g in by.values()}
 
 
+def test_passages_of_many_surroundings(spark, monkeypatch):
+    """Near passages around minima with more than UNLIKE surroundings are those that all pairs of a group give."""
+    rng = np.random.default_rng(5)
+    family, phrase, texts = words(75, 1_212), words(24, 3_434), []
+    for i in range(260):
+        own = words(40, 200_000 + i)
+        middle = list(family)
+        for k in rng.choice(75, 4, replace=False):
+            middle[k] = f"near{i}x{k}"
+        own[20:20] = middle if i < 160 else phrase
+        texts.append((i, " ".join(own)))
+    table = docs(spark, texts)
+    listed = lambda: sorted((r["doc_id"], r["class_id"], tuple(r["repeated"]), tuple(r["dropped"])) for r in passages.find(table).collect())
+    found = listed()
+    monkeypatch.setattr(passages, "UNLIKE", 10**9)
+    assert found == listed()
+    assert {c for i, c, *_ in found if i >= 160} == set(range(160, 260))  # the phrase is no passage
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_passages_recall(spark, seed):
     """Exact repeats of 50 words are found wholly in 1,000 texts with stock phrases and a family of near copies; near passages to 0.9 at least."""
