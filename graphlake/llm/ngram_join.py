@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom, common, textops
+from . import bloom, common, counts, textops
 from .components import components, extended
 
 WORDS = 5
@@ -210,25 +210,43 @@ def _shared_least(total):
     return F.ceil(total * PERCENT / (100 + PERCENT) - 1e-9)
 
 
-def _rare_features(rows: DataFrame, weak: DataFrame) -> DataFrame:
+def _rare_features(rows: DataFrame, weak: DataFrame, path: str) -> DataFrame:
     """(sig, set_id, rank) for sets whose signatures are too common to do without: their rarest features.
 
     Linked sets share the larger's size times PERCENT / 100 at least, so they share one of the larger's rarest
-    n - PERCENT n / 100 + 1 features; common ones come last and mostly fall away.
+    n - PERCENT n / 100 + 1 features; common ones come last and mostly fall away. Any one order of all features will do,
+    so they are ordered by counts in cells, and only the rarest ones leave a task.
     """
     held = rows.filter("features is not null").select("set_id", "n", "features").join(weak, "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("features").alias("features"))
-    each = held.mapInArrow(_unpacked, "set_id long, n long, sig long")
-    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("_df", "sig"))
-    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("_df")), "sig").withColumn("rank", rank)
-    return ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - 1e-9) + 1).select("sig", "set_id", "rank")
+    held = common.written(held, f"{path}_sets")
+    total = held.agg(F.sum("n")).first()[0] or 0
+    levels = rows.sparkSession.sparkContext.broadcast(counts.counted(held, lambda batch: _features(batch)[0], counts.cells_for(total)))
+    rare = common.written(held.mapInArrow(_rarest(levels), "sig long, set_id long, rank int"), path)
+    levels.unpersist()
+    return rare
 
 
-def _unpacked(batches):
-    for batch in batches:
-        ids, n = batch.column("set_id").to_numpy(), batch.column("n").to_numpy()
-        if len(ids):
-            features = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n)), pa.array(features)], names=["set_id", "n", "sig"])
+def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a batch's sets, and their sets' sizes by row."""
+    return np.frombuffer(b"".join(batch.column("features").to_pylist()), np.uint64), batch.column("n").to_numpy()
+
+
+def _rarest(levels_of):
+    """Each set's rarest features, with their ranks in the order of levels and features."""
+
+    def run(batches):
+        for batch in batches:
+            features, n = _features(batch)
+            if not len(features):
+                continue
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((features, counts.levels_of(features, levels_of.value), row))
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+            fine = rank <= n[row] + (-n * PERCENT // 100)[row] + 1
+            ids = batch.column("set_id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(features[order][fine].view(np.int64)), pa.array(ids[row[fine]]), pa.array(rank[fine].astype(np.int32))], names=["sig", "set_id", "rank"])
+
+    return run
 
 
 def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -291,7 +309,7 @@ def cluster(docs: DataFrame, common_sets: int = COMMON, max_bits: int = MAX_BITS
         lost = often.groupBy("set_id", F.col("sig").bitwiseAND(F.lit(63)).cast("int").alias("_band")).agg(F.count_distinct("sig").alias("_lost"))
         weak = lost.join(cells.select("set_id", "band", "slack"), "set_id").filter(F.get("slack", F.col("_band") - F.col("band")) - F.col("_lost") < 1).select("set_id").distinct()
         with common.small_batches(spark):
-            rare = common.written(_rare_features(rows, weak), f"{path}/rare")
+            rare = _rare_features(rows, weak, f"{path}/rare")
         groups = rare.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_q"), F.count("*").alias("_sets")).filter("a < _q").select("sig", "a", "_sets")
         members = members.filter(F.col("_sets") <= common_sets).select("sig", "a", "_sets", "set_id", F.lit(None).cast("int").alias("rank"))
         members = members.unionByName(rare.join(groups, "sig").select("sig", "a", "_sets", "set_id", "rank"))

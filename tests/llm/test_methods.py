@@ -266,6 +266,24 @@ def classes_of(texts):
     return {frozenset(g) for g in by.values()}
 
 
+def test_only_rarest_features_leave_a_task(spark, monkeypatch):
+    """Of 300 near copies, whose signatures are all common, each gives its rarest features only; they are one component."""
+    rng, base, texts, made = np.random.default_rng(3), words(100, 5_656), [], []
+    for i in range(300):
+        own = list(base)
+        own[int(rng.integers(0, 100))] = f"near{i}"
+        texts.append((i, " ".join(own)))
+
+    def written(df, path, plain=common.written):
+        if path.endswith("/rare"):
+            made.append((df.count(), "MapInArrow" in df._jdf.queryExecution().analyzed().getClass().getSimpleName()))
+        return plain(df, path)
+
+    monkeypatch.setattr(common, "written", written)
+    assert {r["component_id"] for r in ngram_join.cluster(docs(spark, texts)).collect()} == {0}
+    assert made[0][1] and 0 < made[0][0] <= 300 * 21  # of about 96 features, with none left to drop after the task
+
+
 def test_passages_of_many_surroundings(spark, monkeypatch):
     """Near passages around minima with more than UNLIKE surroundings are those that all pairs of a group give."""
     rng = np.random.default_rng(5)
