@@ -237,6 +237,24 @@ def test_signatures_lose_no_pair():
                 assert sum(s & 63 == band for s in same) >= slack[(row == r) & ((sig & np.uint64(63)) == np.uint64(band))].max()
 
 
+def test_components_of_few_links(spark):
+    """Few links are contracted in a few jobs, whatever their paths; rounds before that give the same."""
+    rng = np.random.default_rng(8)
+    ids = rng.permutation(10**6)[:600].tolist()
+    pairs = [*zip(ids[:300], ids[1:300]), *((ids[300 + 2 * k], ids[301 + 2 * k]) for k in range(100)), (ids[500], ids[500]), (ids[501], None)]  # noqa: B905
+    links = spark.createDataFrame(pairs, "a long, b long")
+    expected = dict.fromkeys(ids[:300], min(ids[:300])) | {x: min(ids[300 + k // 2 * 2], ids[301 + k // 2 * 2]) for k, x in enumerate(ids[300:500])}
+    sc, group = spark.sparkContext, "few links"
+    sc.setJobGroup(group, group)
+    few = components.components(links)
+    jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 10
+    for found in (few, components.components(links, few=0), components.components(links, few=50)):
+        assert {r["node"]: r["component"] for r in found.collect()} == expected
+    assert components.components(links.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (35, 2))] + [(i, i + 1) for i in range(100, 140)]
