@@ -390,3 +390,21 @@ def test_lines_of_repeated_ids_as_in_sql(spark, tmp_path):
     want = con.sql(queries.ORACLE_SQL["op7_line_dedup"])
     got = queries.op7_line_dedup(spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())) and sum(r["n_dropped"] for r in got) == 5
+
+
+def test_passages_of_families_meet_in_blocks(spark):
+    """Blocks give the pairs that the groups give, each once, though each pair shares many minima."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for text in range(60):
+        component = int(rng.integers(0, 12))
+        for key in rng.permutation(8)[:6].tolist():
+            near = np.unique(rng.integers(0, 3, 8) * 64 + np.arange(8)).tolist()
+            rows.append((key, 60, text, component, bool(rng.random() < 0.6), bool(rng.random() < 0.4), near, 0, 0))
+    rows += [(100 + text % 2, 3, text, text, True, True, list(range(8)), 0, 0) for text in range(200, 206)]
+    df = spark.createDataFrame(rows, passages._OPEN)
+    expected = sorted((r["a"], r["b"]) for r in passages._met_pairs(df).collect())
+    assert len(expected) > 100
+    for block in (7, 1_024):
+        assert sorted({(r["a"], r["b"]) for r in passages._block_pairs(df, block).collect()}) == expected
+    assert len(passages._block_pairs(df).filter("a >= 200").collect()) == sum(a >= 200 for a, _ in expected) == 6
