@@ -408,3 +408,70 @@ def test_passages_of_families_meet_in_blocks(spark):
     for block in (7, 1_024):
         assert sorted({(r["a"], r["b"]) for r in passages._block_pairs(df, block).collect()}) == expected
     assert len(passages._block_pairs(df).filter("a >= 200").collect()) == sum(a >= 200 for a, _ in expected) == 6
+
+
+def _near_shingles(rng, n, shared, repeat):
+    """Texts as shingles (0: hidden) with pieces of `shared` in them, changed, cut and moved."""
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            a, b = np.sort(rng.integers(0, len(shared) + 1, 2))
+            part = shared[a:b].copy()
+            hit = rng.random(len(part)) < rng.choice([0, 0.02, 0.1, 0.25])
+            part[hit] = rng.integers(0, 2, hit.sum()) * rng.integers(10**6, 10**9, hit.sum())
+            parts += [part, rng.integers(10**6, 10**9, rng.integers(0, 20)).astype(np.uint32)]
+        text = np.concatenate(parts)
+        if not repeat:
+            seen = np.unique(text, return_index=True)[1]
+            text[np.setdiff1d(np.arange(len(text)), seen)] = 0
+        out.append(text)
+    return out
+
+
+def test_passages_of_blocks_are_those_of_pairs():
+    """Aligned at once, texts have what pairs have; summed up, they keep the spans, what smaller texts have, and the links."""
+    rng = np.random.default_rng(3)
+    shared = rng.integers(1, 10**6, 220).astype(np.uint32)
+    xs, ys = ([t for repeat in (False, True) for t in _near_shingles(rng, 25, shared, repeat)] + [np.zeros(0, np.uint32), np.zeros(60, np.uint32)] for _ in range(2))
+    wanted = rng.random((len(xs), len(ys))) < 0.7
+    expected = sorted((p, q, *f) for p, q in zip(*(x.tolist() for x in np.nonzero(wanted)), strict=True) for f in passages.align(xs[p], ys[q]))
+    got = passages.align_all(xs, ys, wanted)
+    assert sorted(map(tuple, got.T.tolist())) == expected and len(expected) > 200 and len({p for p, *_ in expected if p < 25}) > 10
+
+    p, q, *spans = got
+    a, b = np.minimum(p, 1000 + q), np.maximum(p, 1000 + q)
+    pairs = [(int(t), int(o), int(s), int(s + n)) for x, y, u, v, w, z in zip(a, b, *spans, strict=True) for t, o, s, n in ((x, y, u, v), (y, x, w, z))]
+
+    def told(rows):
+        every, gone, to = defaultdict(set), defaultdict(set), {t: t for t, *_ in rows}
+        for t, o, s, e in rows:
+            every[t] |= set(range(2 * s, 2 * e + 1))
+            gone[t] |= set(range(2 * s, 2 * e + 1)) if o < t else set()
+        for _ in to:
+            for t, o, *_ in rows:
+                to[t] = to[o] = min(to[t], to[o])
+        return every, gone, to
+
+    summed = list(zip(*(c.tolist() for c in passages._summed_up(a, b, np.stack(spans))), strict=True))
+    assert told(summed) == told(pairs) and 4 * len(summed) < len(pairs)
+
+
+def test_passages_of_families_are_rows_of_texts(spark):
+    """Blocks of a family say what all its pairs say, in rows that grow with its texts."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(1, 2**32, 130).astype(np.uint32)
+    whole, rows = [], []
+    for text in range(150):
+        mine = base.copy()
+        for k in (36 + text % 14, 81 + text % 14):  # no unbroken passage, and unlike where the changes lie apart
+            mine[k : k + 5] = rng.integers(1, 2**32, 5)
+        whole.append((text, bytearray(mine.tobytes())))
+        rows.append((7, 150, text, text, True, True, list(range(8)), 0, 0))
+    whole, df = spark.createDataFrame(whole, "text_id long, shingles binary"), spark.createDataFrame(rows, passages._OPEN)
+    pairs = passages._sides(passages._block_pairs(df), whole, 50, 0.8)
+    told = lambda sides: [sorted(map(repr, x.collect())) for x in (passages._spans_of(sides), passages.components(passages._links(sides)))]
+    assert pairs.count() > 40 * 150
+    for block, most in ((64, 6 * 150), (1_024, 2 * 150)):
+        sides = passages._block_sides(df, whole, 50, 0.8, block)
+        assert told(sides) == told(pairs) and 150 <= sides.count() <= most
