@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html_text, line_dedup, mixing, ngram_join, packing, passages, pii, spotsigs, topk, toxicity
+from . import codebooks, common, hard_negatives, html_text, line_dedup, mixing, ngram_join, packing, passages, pii, quality, spotsigs, topk, toxicity
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -72,6 +72,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", words(F.col("repeated")).alias("n_repeated"), words(F.col("dropped")).alias("n_dropped"), listed(F.col("repeated")).alias("spans"), listed(F.col("dropped")).alias("dropped_spans"), "class_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    books = codebooks.train(vectors)
+    out = codebooks.with_label_error(codebooks.encode(vectors, books))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(common.table(spark, sf_dir, "embeddings").withColumn("label", moved), "vec_id % 50 = 0")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -120,5 +138,53 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op8_html_extraction": op8_html_extraction, "op9_exact_top_k": op9_exact_top_k, "op10_substring_dedup": op10_substring_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op5_ngram_join": op5_ngram_join, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup}
-ORACLE_SQL = {"op9_exact_top_k": OP9_SQL, "op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL}
+
+def _op11_sql(parts: int = codebooks.PARTS, entries: int = codebooks.ENTRIES, rounds: int = codebooks.ROUNDS, scale: int = codebooks.SCALE) -> str:
+    """All rounds one after the other: k<r> has the entries before round r, a<r> the parts' entries by them."""
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT rid, part, arg_min(entry, d * 1000 + entry) AS entry, min(d) AS d
+  FROM (SELECT x.rid, x.part, k.entry, (x.n + k.n - 2 * list_inner_product(x.v, k.v))::BIGINT AS d FROM x JOIN k{r} k USING (part)) GROUP BY rid, part)"""
+    moved = """
+k{s} AS MATERIALIZED (
+  SELECT part, entry, v, list_inner_product(v, v) AS n FROM (
+    SELECT k.part, k.entry, coalesce(m.v, k.v) AS v FROM k{r} k LEFT JOIN (
+      SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY pos) AS v
+      FROM (SELECT part, entry, pos, sum(c)::BIGINT AS s, count(*)::BIGINT AS n
+            FROM (SELECT x.part, a.entry, unnest(x.v)::BIGINT AS c, unnest(range(len(x.v))) AS pos FROM x JOIN a{r} a USING (rid, part)) GROUP BY part, entry, pos)
+      GROUP BY part, entry) m USING (part, entry)))"""
+    steps = "".join(f"{nearest.format(r=r)},{moved.format(r=r, s=r + 1)}," for r in range(rounds)) + nearest.format(r=rounds)
+    return f"""
+WITH u AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS rid, vec_id, label, e
+  FROM (SELECT vec_id, label, embedding, list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)) AS e FROM embeddings)
+  WHERE len(e) > 0 AND len(e) % {parts} = 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(e, lambda c: abs(c) > 1048576)) = 0),
+w AS (SELECT len(e) AS dim FROM u WHERE rid = 1),
+x AS MATERIALIZED (
+  SELECT rid, part, v, list_inner_product(v, v) AS n
+  FROM (SELECT rid, part, e[part * dim // {parts} + 1 : (part + 1) * dim // {parts}] AS v FROM u JOIN w ON len(e) = dim, (SELECT unnest(range({parts})) AS part))),
+k0 AS MATERIALIZED (SELECT part, rank - 1 AS entry, v, n FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY rid) AS rank FROM x WHERE rid <= {entries})),{steps},
+h AS (SELECT coalesce(sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)), sha256('')) AS codebooks_sha256 FROM (SELECT part, entry, unnest(v) AS c, unnest(range(len(v))) AS pos FROM k{rounds})),
+c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT u.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY u.label))::BIGINT AS label_error, h.codebooks_sha256 FROM c JOIN u USING (rid), h
+"""
+
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, e) = 1),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM a JOIN v ON len(v.e) = len(a.e) AND (a.label <> v.label OR a.vec_id <> v.vec_id)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS p FROM s WHERE same QUALIFY p <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.p ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op4_spotsigs": op4_spotsigs, "op8_html_extraction": op8_html_extraction, "op9_exact_top_k": op9_exact_top_k, "op10_substring_dedup": op10_substring_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op5_ngram_join": op5_ngram_join, "op6_source_mixing": op6_source_mixing, "op7_line_dedup": op7_line_dedup, "op11_vector_codes": op11_vector_codes, "op12_hard_negatives": op12_hard_negatives, "op13_quality": op13_quality}
+ORACLE_SQL = {"op9_exact_top_k": OP9_SQL, "op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_vector_codes": _op11_sql(), "op12_hard_negatives": OP12_SQL}
