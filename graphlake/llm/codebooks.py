@@ -87,10 +87,12 @@ def first_entries(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES
                     yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array(list(x), pa.list_(pa.int64()))], names=["vec_id", "v"])
 
     rows = vectors.select("vec_id", F.col("embedding").alias("_v")).mapInArrow(run, "vec_id long, v array<long>")
-    # bounded: as many rows as a codebook has entries
-    first = [r["v"] for r in rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).collect()]
+    smallest = lambda df: [r["v"] for r in df.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).collect()]  # noqa: E731  bounded: as many as a codebook has entries
+    first = smallest(rows)
     length = len(first[0]) if first else 0
-    matrix = np.array([v for v in first if len(v) == length], np.int64).reshape(-1, parts, length // parts if length else 0)
+    if any(len(v) != length for v in first):
+        first = smallest(rows.filter(F.size("v") == length))
+    matrix = np.array(first, np.int64).reshape(len(first), parts, length // parts)
     return Codebooks(np.ascontiguousarray(matrix.transpose(1, 0, 2)), scale)
 
 
