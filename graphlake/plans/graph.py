@@ -13,6 +13,7 @@ from .. import names
 from ..errors import InvalidError, MissingKeyError
 from ..functions.expressions import Expression
 from ..operators import index, labels
+from ..session import cut
 from ..sources.fs import Files
 from ..sources.reader import EdgeReader, VertexReader
 from ..sources.writer import EdgeWriter, VertexWriter
@@ -283,20 +284,18 @@ class GraphWriter:
             key = key or v.primary_key or df.columns[0]
             if level is ValidateLevel.STRONG:
                 index.require_unique(df, key)
-            indexed = df if names.VERTEX in df.columns else index.vertex_index(df, key)
-            indexed = indexed.persist()
+            # ids that are made here stand in a checkpoint; a table that brings its own is read once too
+            indexed = cut(df) if names.VERTEX in df.columns else index.vertex_index(df, key)
             writer = VertexWriter(info.prefix, v, indexed, **settings)
             writer.write()
             counts[v.type] = writer.count
-            mappings[v.type] = (index.mapping_of(indexed, key), indexed)
+            mappings[v.type] = index.mapping_of(indexed, key)
         for e in info.edges:
             df, src, dst = self.edges[e.key]
-            ids = df if names.SRC in df.columns else index.both_indexes(df, mappings[e.src_type][0], mappings[e.dst_type][0], src, dst, on_dangling)
+            ids = cut(df if names.SRC in df.columns else index.both_indexes(df, mappings[e.src_type], mappings[e.dst_type], src, dst, on_dangling))
             for adj in e.adj_lists:
                 aligned = e.src_type if adj.layout.by_source else e.dst_type
                 EdgeWriter(info.prefix, e, adj.layout, counts[aligned], ids, **settings).write()
-        for _, indexed in mappings.values():
-            indexed.unpersist()
         save_info(self.spark, info)
         return Graph(self.spark, info)
 

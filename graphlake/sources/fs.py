@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ class Files:
     def __init__(self, spark: SparkSession):
         self.spark, self.jvm = spark, spark._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self.jvm.org.apache.hadoop.fs.Path  # looked up once: each name on the way is a call
 
     def check(self, uri: str) -> str:
         """A path or URI of a known scheme, as it is."""
@@ -25,7 +27,7 @@ class Files:
         return uri
 
     def _at(self, path: str):
-        p = self.jvm.org.apache.hadoop.fs.Path(self.check(path))
+        p = self._path(self.check(path))
         return p, p.getFileSystem(self.conf)
 
     def exists(self, path: str) -> bool:
@@ -50,6 +52,21 @@ class Files:
         if not fs.rename(p, q):
             raise StorageError(f"can't rename {source} to {target}")
 
+    def rename_all(self, moves: list[tuple[str, str]], at_once: int = 16) -> None:
+        """Renames files to places where nothing is yet, some at a time."""
+        for parent in {to.rsplit("/", 1)[0] for _, to in moves}:
+            p, fs = self._at(parent)
+            fs.mkdirs(p)
+
+        fs = self._at(moves[0][0])[1] if moves else None
+
+        def rename(move: tuple[str, str]) -> None:
+            if not fs.rename(self._path(move[0]), self._path(move[1])):
+                raise StorageError(f"can't rename {move[0]} to {move[1]}")
+
+        with ThreadPoolExecutor(at_once) as pool:
+            list(pool.map(rename, moves))
+
     def glob(self, pattern: str) -> list[str]:
         """Paths that match, in one listing; none where nothing does."""
         p, fs = self._at(pattern)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +20,18 @@ from ..functions.types import Cardinality
 from ..operators import labels as label_ops
 from ..operators import layout as lay
 from ..plans.info import EdgeInfo, Layout, PropertyGroup, ValidateLevel, VertexInfo
+from ..session import cut
 from .fs import Files
 
 #: Writer options by file type; users' options go on top.
 OPTIONS: dict[str, dict[str, Any]] = {"parquet": {"compression": "zstd"}, "orc": {"compression": "zstd"}, "csv": {"header": True}, "json": {}}
 _RENAMES = 16
+#: Parts whose first chunks are broadcast: two numbers each.
+_BROADCAST_PARTS = 1_000_000
 #: Helper columns of stored rows.
-PART, CHUNK, POSITION = map(names.hidden, ("part", "chunk", "position"))
+PART, CHUNK, POSITION, NUMBER = map(names.hidden, ("part", "chunk", "position", "number"))
+#: Tasks, one for each chunk, that a write has at most.
+MOST_TASKS = 20_000
 
 
 class _Sink:
@@ -31,30 +40,36 @@ class _Sink:
         self.options = {k: OPTIONS[k] | (options or {}).get(k, {}) for k in OPTIONS}
         self.files = Files(spark)
 
-    def _chunks(self, df: DataFrame, keys: list[str], order: list[str], file_type: str, target: str, name) -> None:
-        """One file for each value of the keys, rows in order, as `name(values)` below the target, which is replaced.
+    def _chunks(self, rows: DataFrame, n: int, order: list[str], file_type: str, target: str, name: Callable[[int], str]) -> None:
+        """A file for each number below n that rows have in NUMBER, rows in order, as `name(number)` below the target, which is replaced.
 
-        Files get their names beside the target, which the whole folder then takes the place of, so that a failure
-        before leaves the old table. Keys and helper columns of the order aren't stored.
+        Each number is a task of its own, so Spark's file numbers are these; beyond MOST_TASKS tasks write several
+        files each, in folders. Files get their names beside the target, which the whole folder then takes the place
+        of, so that a failure before leaves the old table. NUMBER and helper columns of the order aren't stored.
         """
         spare = f"{self.prefix}tmp-{uuid.uuid4().hex}"
         try:
-            rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-            rows = rows.drop(*[c for c in order if c.startswith(names.HIDDEN)])
-            names.to_prefix(rows, self.column_prefix).write.partitionBy(*keys).format(file_type).options(**self.options[file_type]).option("maxRecordsPerFile", 0).save(spare)
-            moves: dict[str, str] = {}
-            for path in self.files.glob("/".join([spare, *(f"{k}=*" for k in keys), "part-*"])):
-                values = [int(x.split("=")[1]) for x in path.split("/")[-1 - len(keys) : -1]]
-                to = f"{spare}/staged/{name(*values)}"
-                if to in moves:
-                    raise InvalidError(f"chunk {values} came in several files")
-                moves[to] = path
-            with ThreadPoolExecutor(_RENAMES) as pool:
-                list(pool.map(lambda m: self.files.move(m[1], m[0]), moves.items()))
+            helpers = [c for c in order if c.startswith(names.HIDDEN)]
+            if n <= MOST_TASKS:
+                dealt = rows.repartitionById(max(n, 1), F.col(NUMBER).cast("int")).sortWithinPartitions(*order).drop(NUMBER, *helpers)
+                self._save(dealt, file_type, f"{spare}/new")
+                found = [(int(path.rsplit("/part-", 1)[1].split("-")[0]), path) for path in self.files.glob(f"{spare}/new/part-*")]
+            else:
+                dealt = rows.repartition(NUMBER).sortWithinPartitions(NUMBER, *order).drop(*helpers)
+                self._save(dealt, file_type, f"{spare}/new", NUMBER)
+                found = [(int(path.split("/")[-2].split("=")[1]), path) for path in self.files.glob(f"{spare}/new/{NUMBER}=*/part-*")]
+            moves = {f"{spare}/staged/{name(number)}": path for number, path in found if number < n}
+            if len(moves) < len([x for x, _ in found if x < n]):
+                raise InvalidError("a chunk came in several files")
+            self.files.rename_all([(path, to) for to, path in moves.items()])
             self.files.replace(f"{spare}/staged", target)
         finally:
             self.files.delete(spare)
 
+    def _save(self, rows: DataFrame, file_type: str, path: str, *by: str) -> None:
+        writer = names.to_prefix(rows, self.column_prefix).write.format(file_type).options(**self.options[file_type]).option("maxRecordsPerFile", 0)
+        (writer.partitionBy(*by) if by else writer).save(path)
+
 
 class VertexWriter(_Sink):
     """Writes one vertex type. `vertices` has the id column, or gets ids in the order of its primary key."""
@@ -70,6 +85,16 @@ class VertexWriter(_Sink):
         self.vertices = vertices if names.VERTEX in vertices.columns else vertex_index(vertices, info.primary_key)
         validate_vertices(self.vertices, info, self.level)
         self.count = self.vertices.count() if count is None else count
+        self._range: tuple[int, int] | None = None
+
+    def _chunked(self, rows: DataFrame, order: list[str], file_type: str, target: str) -> None:
+        """Rows by their chunk, of which the first needn't be 0."""
+        if self._range is None:
+            low, high = self.vertices.agg(F.min(names.VERTEX), F.max(names.VERTEX)).head()
+            self._range = (0, 0) if low is None else (low // self.info.chunk_size, high // self.info.chunk_size + 1)
+        first, end = self._range
+        rows = lay.with_vertex_chunk(rows, self.info.chunk_size, NUMBER).withColumn(NUMBER, F.col(NUMBER) - first)
+        self._chunks(rows, end - first, order, file_type, target, lambda c: f"chunk{first + c}")
 
     def write_count(self) -> None:
         self.files.write_count(self.prefix + self.info.count_path(), self.count)
@@ -78,14 +103,12 @@ class VertexWriter(_Sink):
         if group not in self.info.groups:
             raise MissingKeyError("the type has no such property group")
         columns = [F.col(f"`{p.name}`").cast(p.field.dataType).alias(p.name) for p in group.properties]
-        rows = lay.with_vertex_chunk(self.vertices.select(names.VERTEX, *columns), self.info.chunk_size, CHUNK)
-        self._chunks(rows, [CHUNK], [names.VERTEX], group.file_type, self.prefix + self.info.group_path(group), lambda c: f"chunk{c}")
+        self._chunked(self.vertices.select(names.VERTEX, *columns), [names.VERTEX], group.file_type, self.prefix + self.info.group_path(group))
 
     def write_labels(self) -> None:
         if not self.info.labels:
             raise InvalidError(f"{self.info.type} declares no labels")
-        rows = lay.with_vertex_chunk(label_ops.to_flags(self.vertices, list(self.info.labels)), self.info.chunk_size, CHUNK)
-        self._chunks(rows, [CHUNK], [names.VERTEX], "parquet", self.prefix + self.info.labels_path(), lambda c: f"chunk{c}")
+        self._chunked(label_ops.to_flags(self.vertices, list(self.info.labels)), [names.VERTEX], "parquet", self.prefix + self.info.labels_path())
 
     def write(self) -> None:
         """All groups, the count, and labels where the type declares them and the table has them."""
@@ -112,24 +135,43 @@ class EdgeWriter(_Sink):
         typed = [F.col(f"`{p.name}`").cast(p.field.dataType).alias(p.name) for g in info.groups for p in g.properties]
         self.part_size = info.part_size(layout)
         ties = [p.name for g in info.groups for p in g.properties]
-        self.edges = edges.select(names.SRC, names.DST, *typed)
-        self.arranged = lay.arrange(self.edges, layout, self.part_size, info.chunk_size, ties, (PART, POSITION, CHUNK))
+        # all files come from one arrangement, which is kept: the edges are read once
+        self.arranged = cut(lay.arrange(edges.select(names.SRC, names.DST, *typed), layout, self.part_size, info.chunk_size, ties, (PART, POSITION, CHUNK)))
+
+    @cached_property
+    def counts(self) -> list[int]:
+        """Edges of each part; one number per part comes to the driver, which names a file for each chunk of it."""
+        counted = lay.edges_per_part(self.arranged, self.layout, self.part_size, self.vertices)
+        out = [0] * lay.chunks(self.vertices, self.part_size)
+        for row in counted.toLocalIterator():
+            out[row[lay.PART]] = row["edges"]
+        return out
 
     def write_counts(self) -> None:
         """The aligned end's vertex count and the edges of each part; there are as many files as parts."""
         self.files.write_count(self.prefix + self.info.vertex_count_path(self.layout), self.vertices)
-        counted = lay.edges_per_part(self.edges, self.layout, self.part_size, self.vertices).toLocalIterator()
         with ThreadPoolExecutor(_RENAMES) as pool:
-            list(pool.map(lambda row: self.files.write_count(self.prefix + self.info.edge_count_path(self.layout, row[lay.PART]), row["edges"]), counted))
+            list(pool.map(lambda p: self.files.write_count(self.prefix + self.info.edge_count_path(self.layout, p[0]), p[1]), enumerate(self.counts)))
 
     def write_offsets(self) -> None:
         place = names.hidden("place")
-        rows = lay.offsets(self.edges, self.layout, self.part_size, self.vertices).withColumnsRenamed({lay.PART: PART, "place": place})
-        self._chunks(rows, [PART], [place], self.adj.file_type, self.prefix + self.info.offset_path(self.layout), lambda p: f"chunk{p}")
+        rows = lay.offsets(self.arranged, self.layout, self.part_size, self.vertices).withColumnsRenamed({lay.PART: NUMBER, "place": place})
+        self._chunks(rows, len(self.counts), [place], self.adj.file_type, self.prefix + self.info.offset_path(self.layout), lambda p: f"chunk{p}")
+
+    def _chunked(self, columns: list[str], file_type: str, target: str) -> None:
+        """Arranged rows by part and chunk; chunks of all parts are numbered in one row."""
+        ends = list(accumulate(lay.chunks(n, self.info.chunk_size) for n in self.counts))
+        starts = self.spark.createDataFrame(list(enumerate([0, *ends[:-1]])), f"{PART} long, {NUMBER} long")
+        rows = self.arranged.select(*(f"`{n}`" for n in columns), PART, CHUNK, POSITION).join(starts if len(ends) > _BROADCAST_PARTS else F.broadcast(starts), PART)
+
+        def name(number: int) -> str:
+            part = bisect_right(ends, number)
+            return f"part{part}/chunk{number - (ends[part - 1] if part else 0)}"
+
+        self._chunks(rows.withColumn(NUMBER, F.col(NUMBER) + F.col(CHUNK)).drop(PART, CHUNK), ends[-1] if ends else 0, [POSITION], file_type, target, name)
 
     def write_adj_list(self) -> None:
-        rows = self.arranged.select(names.SRC, names.DST, PART, CHUNK, POSITION)
-        self._chunks(rows, [PART, CHUNK], [POSITION], self.adj.file_type, self.prefix + self.info.adj_path(self.layout), lambda p, c: f"part{p}/chunk{c}")
+        self._chunked([names.SRC, names.DST], self.adj.file_type, self.prefix + self.info.adj_path(self.layout))
         self.write_counts()
         if self.layout.ordered:
             self.write_offsets()
@@ -137,8 +179,7 @@ class EdgeWriter(_Sink):
     def write_group(self, group: PropertyGroup) -> None:
         if group not in self.info.groups:
             raise MissingKeyError("the type has no such property group")
-        rows = self.arranged.select(*(f"`{n}`" for n in group.names), PART, CHUNK, POSITION)
-        self._chunks(rows, [PART, CHUNK], [POSITION], group.file_type, self.prefix + self.info.group_path(group, self.layout), lambda p, c: f"part{p}/chunk{c}")
+        self._chunked(group.names, group.file_type, self.prefix + self.info.group_path(group, self.layout))
 
     def write(self) -> None:
         self.write_adj_list()
