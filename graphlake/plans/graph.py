@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .. import names
 from ..errors import InvalidError, MissingKeyError
+from ..functions import scalars
 from ..functions.expressions import Expression
-from ..operators import index, labels
+from ..operators import expansion, index, labels
+from ..operators import layout as lay
+from ..operators.expansion import MOST_FILES, listed
 from ..session import cut
 from ..sources.fs import Files
 from ..sources.reader import EdgeReader, VertexReader
@@ -44,11 +47,16 @@ def save_info(spark: SparkSession, info: GraphInfo, folder: str | None = None) -
 
 @dataclass(frozen=True)
 class Vertices:
-    """Vertices of a type, maybe filtered; filters add up, and reach the scan of the columns that they need."""
+    """Vertices of a type, maybe filtered; filters add up, and reach the scan of the columns that they need.
+
+    Scans are of all chunks, or of `chunks`; where `known` is there, only its ids count.
+    """
 
     reader: VertexReader
     where: tuple[Expression, ...] = ()
     labels: tuple[str, ...] = ()
+    chunks: tuple[int, ...] | None = None
+    known: DataFrame | None = None
 
     def with_label(self, *wanted: str) -> Vertices:
         """Those that have all the labels."""
@@ -62,25 +70,38 @@ class Vertices:
             self.reader.info.group_of(name)
         return replace(self, where=(*self.where, where))
 
+    def narrow(self, most: int = MOST_FILES) -> Vertices:
+        """The same vertices, found now: what is asked of them from here on reads only the chunks that they are in.
+
+        Their ids are kept in a checkpoint, so the filters so far aren't evaluated again; the driver gets the numbers
+        of the chunks, `most` at most. Vertices in more chunks than that are scanned for in all.
+        """
+        ids = cut(self.ids())
+        found = listed(ids.select(scalars.chunk_of(F.col(names.VERTEX), self.reader.info.chunk_size)), most)
+        return Vertices(self.reader, chunks=None if found is None else tuple(c for (c,) in found), known=ids)
+
+    def _flags(self) -> DataFrame:
+        return labels.with_all(self.reader.label_flags(self.chunks), list(dict.fromkeys(self.labels)), list(self.reader.info.labels)).select(names.VERTEX)
+
+    def _known(self, df: DataFrame) -> DataFrame:
+        return df if self.known is None else df.join(self.known, names.VERTEX, "left_semi")
+
     def table(self, columns: list[str] | None = None) -> DataFrame:
         """id and columns (all unless named)."""
         wanted = self.reader.info.property_names if columns is None else columns
         condition = self.where[0] if self.where else None
         for more in self.where[1:]:
             condition = condition & more  # type: ignore[operator]
-        df = self.reader.select(wanted, condition)
-        if self.labels:
-            flags = labels.with_all(self.reader.label_flags(), list(dict.fromkeys(self.labels)), list(self.reader.info.labels))
-            df = df.join(flags.select(names.VERTEX), names.VERTEX, "left_semi")
-        return df
+        df = self._known(self.reader.select(wanted, condition, self.chunks))
+        return df.join(self._flags(), names.VERTEX, "left_semi") if self.labels else df
 
     def ids(self) -> DataFrame:
-        if self.labels and not self.where:
-            return labels.with_all(self.reader.label_flags(), list(dict.fromkeys(self.labels)), list(self.reader.info.labels)).select(names.VERTEX)
-        return self.table([])
+        if self.where or not (self.labels or self.known is not None):
+            return self.table([])
+        return self._known(self._flags()) if self.labels else self.known  # type: ignore[return-value]
 
     def count(self) -> int:
-        return self.reader.count() if not self.where and not self.labels else self.ids().count()
+        return self.reader.count() if not (self.where or self.labels or self.known is not None) else self.ids().count()
 
     def find(self, vertex: int) -> Vertex:
         """One vertex by its id; only its chunk of each group is read."""
@@ -180,6 +201,12 @@ class Edges:
     def in_edges(self, vertex: int, columns: list[str] | None = None) -> DataFrame:
         return self._near(vertex, names.DST, not self.reader.layout.by_source, columns)
 
+    def at(self, frontier: DataFrame | Vertices, columns: list[str] | None = None) -> DataFrame:
+        """Edges that have one of many vertices at the layout's end; only the chunks that hold them are read."""
+        ids = frontier.ids() if isinstance(frontier, Vertices) else frontier
+        rows = expansion.expand(self.reader, ids, columns)
+        return rows if self.parts is None else rows.filter(scalars.chunk_of(F.col(lay.ends(self.reader.layout)[0]), self.reader.part_size).between(self.parts.start, self.parts.stop - 1))
+
     def adjacency_range(self, vertex: int) -> tuple[int, int]:
         """Where a vertex's edges begin and end in its part."""
         part, place = divmod(vertex, self.reader.part_size)

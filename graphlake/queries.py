@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog as c
-from . import names, stored_queries
+from . import access_queries, names, stored_queries
 from .functions import scalars
 from .functions.expressions import Property as P
 from .operators import algorithms as algo
@@ -484,4 +484,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("flagship", f"SELECT v.id, c_custkey, count(p.dst) AS degree FROM {CID} v LEFT JOIN {PLACE} p ON p.src = v.id WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2")(flagship)
 
+access_queries.register(query, {"CID": CID, "PLACE": PLACE, "FOLLOW": FOLLOW, "LEVELS": _LEVELS}, _ids)
 stored_queries.register(query, {"CID": CID, "PLACE": PLACE, "BFS": _BFS, "WCC": _WCC, "FATHER": _FATHER}, _ids)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import accumulate
@@ -70,7 +71,7 @@ class VertexReader(_Source):
     def chunk_count(self) -> int:
         return lay.chunks(self.count(), self.info.chunk_size)
 
-    def _group(self, group: PropertyGroup, path: str, columns: list[str] | None) -> DataFrame:
+    def _group(self, group: PropertyGroup, path: str | list[str], columns: list[str] | None) -> DataFrame:
         if group not in self.info.groups:
             raise MissingKeyError("the type has no such property group")
         check_members(set(columns or []), group.names, (names.VERTEX,))
@@ -83,8 +84,13 @@ class VertexReader(_Source):
             raise IndexRangeError(f"no vertex chunk {number}")
         return self._group(group, self.prefix + self.info.chunk_path(group, number), None)
 
-    def group(self, group: PropertyGroup, columns: list[str] | None = None) -> DataFrame:
-        return self._group(group, self.prefix + self.info.group_path(group), columns)
+    def group(self, group: PropertyGroup, columns: list[str] | None = None, chunks: Sequence[int] | None = None) -> DataFrame:
+        """All of a group, or of some of its chunks; only their files are listed and read."""
+        if chunks is None:
+            return self._group(group, self.prefix + self.info.group_path(group), columns)
+        if not chunks:
+            return self._group(group, self.prefix + self.info.chunk_path(group, 0), columns).limit(0)
+        return self._group(group, [self.prefix + self.info.chunk_path(group, c) for c in chunks], columns)
 
     def groups(self, groups: list[PropertyGroup]) -> DataFrame:
         """Several groups side by side, joined on the id; none gives a table of ids without rows."""
@@ -95,26 +101,28 @@ class VertexReader(_Source):
     def all(self) -> DataFrame:
         return self.groups(list(self.info.groups))
 
-    def select(self, columns: list[str], where: Expression | None = None) -> DataFrame:
-        """id and the columns; only the groups that hold them or what `where` needs are read, each with its own columns."""
+    def select(self, columns: list[str], where: Expression | None = None, chunks: Sequence[int] | None = None) -> DataFrame:
+        """id and the columns, of all chunks or some; only the groups that hold them or what `where` needs are read, each with its own columns."""
         wanted = list(dict.fromkeys([*columns, *(sorted(where.properties()) if where is not None else [])]))
         wanted = [c for c in wanted if c != names.VERTEX]
         by_group = {g: [c for c in wanted if g.has(c)] for g in self.info.groups}
         for c in wanted:
             self.info.group_of(c)
-        parts = [self.group(g, own) for g, own in by_group.items() if own] or [self.group(self.info.groups[0], [])]
+        parts = [self.group(g, own, chunks) for g, own in by_group.items() if own] or [self.group(self.info.groups[0], [], chunks)]
         df = reduce(lambda a, b: a.join(b, names.VERTEX), parts)
         if where is not None:
             df = df.filter(where.column())
         return df.select(names.VERTEX, *[c for c in columns if c != names.VERTEX])
 
-    def label_flags(self, chunk: int | None = None) -> DataFrame:
-        """id and one boolean per label."""
+    def label_flags(self, chunk: int | Sequence[int] | None = None) -> DataFrame:
+        """id and one boolean per label, of all chunks, one, or some."""
         if not self.info.labels:
             raise InvalidError(f"{self.info.type} declares no labels")
+        if chunk is not None and not isinstance(chunk, int) and not chunk:
+            return self.label_flags(0).limit(0)
         fields = [T.StructField(x, T.BooleanType()) for x in self.info.labels]
-        path = self.prefix + self.info.labels_path(chunk)
-        stored = self.spark.read.option("recursiveFileLookup", True).parquet(path)
+        path = [self.prefix + self.info.labels_path(x) for x in ([chunk] if chunk is None or isinstance(chunk, int) else chunk)]
+        stored = self.spark.read.option("recursiveFileLookup", True).parquet(*path)
         if names.renames(stored.columns, [names.VERTEX]):
             return self._load(path, "parquet", [names.VERTEX], fields)
         # archives without the id in label files: by place
@@ -176,8 +184,9 @@ class EdgeReader(_Source):
         rows = self._numbered(path, self.adj.file_type, [names.OFFSET], [])
         return rows.select(F.col(KEYS[2]).alias("place"), names.OFFSET)
 
-    def all_offsets(self) -> DataFrame:
-        path = self.prefix + self.info.offset_path(self.layout)
+    def all_offsets(self, parts: Sequence[int] | None = None) -> DataFrame:
+        """(part, place, offset) of all parts, or of some, of which only the files are listed."""
+        path = self.prefix + self.info.offset_path(self.layout) if parts is None else [self.prefix + self.info.offset_path(self.layout, self._part(p)) for p in parts]
         rows = self._numbered(path, self.adj.file_type, [names.OFFSET], [])
         return rows.select(F.col(KEYS[1]).alias(lay.PART), F.col(KEYS[2]).alias("place"), names.OFFSET)
 
@@ -224,6 +233,21 @@ class EdgeReader(_Source):
             raise IndexRangeError(f"part {part} has no chunk {chunk}")
         return [at(part, chunk)] if n else []
 
+    def chunk_edges(self, chunks: Sequence[tuple[int, int]], columns: list[str] | None = None) -> DataFrame:
+        """Both ids and properties of some (part, chunk) pairs that are there; only their files are listed and read."""
+        wanted = self.info.property_names if columns is None else columns
+        kept = [(g, [c for c in g.names if c in wanted]) for g in self.info.groups]
+        for c in wanted:
+            self.info.group_of(c)
+        if not chunks:
+            return self._finish(self._empty([*self._ends(), *(p.field for g, own in kept for p in g.properties if p.name in own)]), [names.SRC, names.DST, *wanted], False)
+        rows = self._numbered([self.prefix + self.info.adj_path(self.layout, p, c) for p, c in chunks], self.adj.file_type, [names.SRC, names.DST], [])
+        for g, own in kept:
+            if own:
+                paths = [self.prefix + self.info.group_path(g, self.layout, p, c) for p, c in chunks]
+                rows = rows.join(self._numbered(paths, g.file_type, [], [p.field for p in g.properties]).select(*(f"`{c}`" for c in own), *KEYS), KEYS)
+        return self._finish(rows, [names.SRC, names.DST, *wanted], False)
+
     def _finish(self, rows: DataFrame, columns: list[str], add_index: bool) -> DataFrame:
         """The columns, with the edge's id in front if asked for: its place in the layout."""
         if not add_index:
