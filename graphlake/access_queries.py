@@ -1,4 +1,4 @@
-"""Registered queries over stored graphs that read little of them: expansion through offsets, pruned chains of filters."""
+"""Registered queries over stored graphs that read little of them: expansion through offsets, pruned chains of filters, bitmaps of labels."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import catalog as c
 from . import names
 from .functions.expressions import Property as P
-from .operators import expansion
+from .operators import expansion, labels
 from .plans.graph import Graph, GraphWriter
 from .plans.info import Layout
 from .session import cut
@@ -65,3 +65,30 @@ def register(query: Callable, sql: dict[str, str], ids: Callable[[DataFrame], Da
     over("filters_skip_chunks", f"SELECT id, c_name FROM {cid} WHERE c_custkey < 350 AND c_mktsegment = 'BUILDING' AND c_acctbal > 0", shop())(
         lambda g: g.vertices("customer").with_property(P("c_custkey") < 350).narrow().with_label("BUILDING").narrow().with_property(P("c_acctbal") > 0.0).table(["c_name"])
     )
+
+    # ---- bitmaps of labels
+
+    def marked(spark: SparkSession, d: str, path: str) -> Graph:
+        """Customers labelled by segment and, some, as rich or indebted; bitmaps beside the labels."""
+        more = F.array_compact(F.array(F.when(F.col("c_acctbal") > 5000, F.lit("RICH")), F.when(F.col("c_acctbal") < 0, F.lit("INDEBTED"))))
+        people = c.customers(spark, d).withColumn(names.LABELS, F.concat(F.col(f"`{names.LABELS}`"), more))
+        writer = GraphWriter(spark).put_vertices("customer", people, "c_custkey", (*c.SEGMENTS, "RICH", "INDEBTED", "NOBODY"))
+        return writer.write(writer.infer("marked", path, 500), label_bitmaps=True)
+
+    over("label_bitmap_and", f"SELECT id FROM {cid} WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000", marked)(lambda g: g.vertices("customer").with_label("BUILDING", "RICH").ids())
+    over("label_bitmap_or", f"SELECT id FROM {cid} WHERE c_mktsegment = 'MACHINERY' OR c_acctbal < 0", marked)(lambda g: g.vertices("customer").with_any_label("MACHINERY", "INDEBTED"))
+    held = "SELECT unnest([c_mktsegment, CASE WHEN c_acctbal > 5000 THEN 'RICH' WHEN c_acctbal < 0 THEN 'INDEBTED' END]) AS label FROM customer"
+    over("label_bitmap_count", f"SELECT label, count(*) FILTER (here) AS n FROM (SELECT label, true AS here FROM ({held}) WHERE label IS NOT NULL UNION ALL SELECT unnest([{', '.join(repr(x) for x in (*c.SEGMENTS, 'RICH', 'INDEBTED', 'NOBODY'))}]), false) GROUP BY 1", marked)(
+        lambda g: labels.bitmap_counts(g.vertex_reader("customer").label_bitmaps(), list(g.info.vertex("customer").labels))
+    )
+
+    # ---- encodings
+
+    @query("rt_edges_encoded", f"SELECT src, dst, o_totalprice, o_orderdate FROM {place}")
+    def rt_edges_encoded(spark, d):
+        """Ids as differences, read back from files as another session finds them by their metadata."""
+        with c.workspace(spark) as path:
+            writer = GraphWriter(spark).put_vertices("customer", c.customers(spark, d), "c_custkey", c.SEGMENTS).put_vertices("orders", c.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+            writer.put_edges(c.PLACES, c.places(spark, d), "o_custkey", "o_orderkey")
+            writer.write(writer.infer("encoded", path, 500, 2_000, layouts=(Layout.BY_SOURCE,)), encoded=True, options={"parquet": {"compression": "snappy"}})
+            return cut(ids(Graph.load(spark, f"{path}encoded.graph.yml").edge_reader(c.PLACES).edges(add_index=False)))

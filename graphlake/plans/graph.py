@@ -19,7 +19,7 @@ from ..operators.expansion import MOST_FILES, listed
 from ..session import cut
 from ..sources.fs import Files
 from ..sources.reader import EdgeReader, VertexReader
-from ..sources.writer import EdgeWriter, VertexWriter
+from ..sources.writer import EdgeWriter, VertexWriter, write_label_bitmaps
 from . import yaml_io
 from .info import AdjList, GraphInfo, Layout, PropertyGroup, ValidateLevel, infer_edge, infer_vertex
 
@@ -95,12 +95,31 @@ class Vertices:
         df = self._known(self.reader.select(wanted, condition, self.chunks))
         return df.join(self._flags(), names.VERTEX, "left_semi") if self.labels else df
 
+    def _bitmaps(self) -> DataFrame | None:
+        """Bitmaps of what is asked for, if labels alone decide and they are stored."""
+        if not self.labels or self.where or self.known is not None or not self.reader.has_label_bitmaps():
+            return None
+        return labels.bitmaps_with_all(self.reader.label_bitmaps(), list(self.labels), list(self.reader.info.labels))
+
+    def with_any_label(self, *wanted: str) -> DataFrame:
+        """Ids of the vertices that have any of the labels."""
+        known = list(self.reader.info.labels)
+        if self.reader.has_label_bitmaps():
+            found = labels.ids_of(labels.bitmaps_with_any(self.reader.label_bitmaps(), list(wanted), known))
+        else:
+            found = labels.with_any(self.reader.label_flags(self.chunks), list(wanted), known).select(names.VERTEX)
+        return found.join(self.ids(), names.VERTEX, "left_semi") if self.where or self.labels or self.known is not None else found
+
     def ids(self) -> DataFrame:
+        if (found := self._bitmaps()) is not None:
+            return labels.ids_of(found)
         if self.where or not (self.labels or self.known is not None):
             return self.table([])
         return self._known(self._flags()) if self.labels else self.known  # type: ignore[return-value]
 
     def count(self) -> int:
+        if (found := self._bitmaps()) is not None:
+            return labels.bitmap_total(found).head()[0]
         return self.reader.count() if not (self.where or self.labels or self.known is not None) else self.ids().count()
 
     def find(self, vertex: int) -> Vertex:
@@ -260,6 +279,12 @@ class Graph:
         for key, by_layout in edges.items():
             next(iter(by_layout.values())).createOrReplaceTempView(names.SEPARATOR.join(key))
 
+    def add_label_bitmaps(self, kind: str) -> Graph:
+        """Writes bitmaps of a type's stored labels; no other file changes."""
+        reader = self.vertex_reader(kind)
+        write_label_bitmaps(self.spark, self.info.prefix, reader.info, reader.label_flags())
+        return self
+
     def add_vertex_group(self, kind: str, group: PropertyGroup, values: DataFrame) -> Graph:
         """Writes a new property group (`values`: id and its columns) and its metadata; no other file changes."""
         old = self.info.vertex(kind)
@@ -299,12 +324,16 @@ class GraphWriter:
         )
         return GraphInfo(name, prefix, vertices, edges)
 
-    def write(self, info: GraphInfo, level: ValidateLevel = ValidateLevel.WEAK, on_dangling: str = "drop", options: dict[str, dict[str, Any]] | None = None, column_prefix: str = names.PREFIX) -> Graph:
-        """Writes data and metadata. Vertex ids stand in the order of the keys; edges are rewritten from keys to ids."""
+    def write(self, info: GraphInfo, level: ValidateLevel = ValidateLevel.WEAK, on_dangling: str = "drop", options: dict[str, dict[str, Any]] | None = None, column_prefix: str = names.PREFIX, label_bitmaps: bool = False, encoded: bool = False) -> Graph:
+        """Writes data and metadata. Vertex ids stand in the order of the keys; edges are rewritten from keys to ids.
+
+        label_bitmaps: bitmaps too where a type has labels. encoded: Parquet files with ids as differences and flags as
+        runs; any reader of Parquet decodes them.
+        """
         info.validate()
         if missing := [v.type for v in info.vertices if v.type not in self.vertices] + [e.key for e in info.edges if e.key not in self.edges]:
             raise MissingKeyError(f"no data for {missing}")
-        settings: dict[str, Any] = {"options": options, "column_prefix": column_prefix, "level": level}
+        settings: dict[str, Any] = {"options": options, "column_prefix": column_prefix, "level": level, "encoded": encoded}
         mappings, counts = {}, {}
         for v in info.vertices:
             df, key, _ = self.vertices[v.type]
@@ -315,6 +344,8 @@ class GraphWriter:
             indexed = cut(df) if names.VERTEX in df.columns else index.vertex_index(df, key)
             writer = VertexWriter(info.prefix, v, indexed, **settings)
             writer.write()
+            if label_bitmaps and v.labels and names.LABELS in indexed.columns:
+                writer.write_label_bitmaps()
             counts[v.type] = writer.count
             mappings[v.type] = index.mapping_of(indexed, key)
         for e in info.edges:

@@ -248,6 +248,10 @@ class VertexInfo(_Groups):
     def labels_path(self, chunk: int | None = None) -> str:
         return f"{self.prefix}labels/" + ("" if chunk is None else f"chunk{chunk}")
 
+    def label_bitmaps_path(self) -> str:
+        """Bitmaps of the labels, which a type may have beside them."""
+        return f"{self.prefix}label_bitmaps/"
+
 
 @dataclass(frozen=True)
 class EdgeInfo(_Groups):

@@ -130,6 +130,13 @@ class VertexReader(_Source):
         number = F.regexp_extract(_FILE, r"chunk(\d+)$", 1).cast("long")
         return rows.select((number * self.info.chunk_size + F.col(_INDEX)).alias(names.VERTEX), *[f"`{x}`" for x in self.info.labels])
 
+    def has_label_bitmaps(self) -> bool:
+        return bool(self.info.labels) and self.files.exists(self.prefix + self.info.label_bitmaps_path())
+
+    def label_bitmaps(self) -> DataFrame:
+        """(label, bucket, bitmap), where they are stored."""
+        return self.spark.read.schema("label string, bucket long, bitmap binary").parquet(self.prefix + self.info.label_bitmaps_path())
+
     def labels(self) -> DataFrame:
         flags = self.label_flags()
         return flags.select(names.VERTEX, label_list({x: F.col(f"`{x}`") for x in self.info.labels}).alias(names.LABELS))

@@ -34,9 +34,18 @@ PART, CHUNK, POSITION, NUMBER = map(names.hidden, ("part", "chunk", "position",
 MOST_TASKS = 20_000
 
 
+def parquet_encodings(rows: DataFrame) -> dict[str, Any]:
+    """Options by which whole numbers are stored as differences and booleans as runs; other columns keep dictionaries.
+
+    Ids and offsets ascend or nearly so, and a label holds for runs of vertices: both take a few bits a row.
+    """
+    plain = {f"parquet.enable.dictionary#{f.name}": "false" for f in rows.schema.fields if f.dataType.simpleString() in ("bigint", "int")}
+    return {"parquet.writer.version": "v2", **plain}
+
+
 class _Sink:
-    def __init__(self, spark: SparkSession, prefix: str, options: dict[str, dict[str, Any]] | None = None, column_prefix: str = names.PREFIX, level: ValidateLevel = ValidateLevel.WEAK):
-        self.spark, self.prefix, self.column_prefix, self.level = spark, prefix if prefix.endswith("/") else prefix + "/", column_prefix, level
+    def __init__(self, spark: SparkSession, prefix: str, options: dict[str, dict[str, Any]] | None = None, column_prefix: str = names.PREFIX, level: ValidateLevel = ValidateLevel.WEAK, encoded: bool = False):
+        self.spark, self.prefix, self.column_prefix, self.level, self.encoded = spark, prefix if prefix.endswith("/") else prefix + "/", column_prefix, level, encoded
         self.options = {k: OPTIONS[k] | (options or {}).get(k, {}) for k in OPTIONS}
         self.files = Files(spark)
 
@@ -67,7 +76,9 @@ class _Sink:
             self.files.delete(spare)
 
     def _save(self, rows: DataFrame, file_type: str, path: str, *by: str) -> None:
-        writer = names.to_prefix(rows, self.column_prefix).write.format(file_type).options(**self.options[file_type]).option("maxRecordsPerFile", 0)
+        stored = names.to_prefix(rows, self.column_prefix)
+        encodings = parquet_encodings(stored) if self.encoded and file_type == "parquet" else {}
+        writer = stored.write.format(file_type).options(**encodings | self.options[file_type]).option("maxRecordsPerFile", 0)
         (writer.partitionBy(*by) if by else writer).save(path)
 
 
@@ -108,8 +119,12 @@ class VertexWriter(_Sink):
     def write_labels(self) -> None:
         if not self.info.labels:
             raise InvalidError(f"{self.info.type} declares no labels")
+        self.files.delete(self.prefix + self.info.label_bitmaps_path())  # they are of the labels before
         self._chunked(label_ops.to_flags(self.vertices, list(self.info.labels)), [names.VERTEX], "parquet", self.prefix + self.info.labels_path())
 
+    def write_label_bitmaps(self) -> None:
+        write_label_bitmaps(self.spark, self.prefix, self.info, label_ops.to_flags(self.vertices, list(self.info.labels)))
+
     def write(self) -> None:
         """All groups, the count, and labels where the type declares them and the table has them."""
         self.write_count()
@@ -187,6 +202,18 @@ class EdgeWriter(_Sink):
             self.write_group(group)
 
 
+def write_label_bitmaps(spark: SparkSession, prefix: str, info: VertexInfo, flags: DataFrame) -> None:
+    """Bitmaps of boolean columns (a type's stored flags, say), swapped in as a folder; files hold a label's or a range of its buckets."""
+    files, root = Files(spark), prefix if prefix.endswith("/") else prefix + "/"
+    spare = f"{root}tmp-{uuid.uuid4().hex}"
+    try:
+        rows = label_ops.to_bitmaps(flags, list(info.labels)).repartitionByRange(label_ops.LABEL, label_ops.BUCKET).sortWithinPartitions(label_ops.LABEL, label_ops.BUCKET)
+        rows.write.option("compression", "zstd").parquet(spare)
+        files.replace(spare, root + info.label_bitmaps_path())
+    finally:
+        files.delete(spare)
+
+
 def _schema(df: DataFrame, info, level: ValidateLevel) -> None:
     for g in info.groups:
         for p in g.properties:

@@ -1,13 +1,18 @@
 """Reading little of a stored graph: files that expansions and chained filters read, against the whole tables."""
 
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from graphlake import names
+from graphlake.errors import MissingKeyError
 from graphlake.functions.expressions import Property as P
-from graphlake.operators import expansion
+from graphlake.operators import expansion, labels
 from graphlake.plans.graph import GraphWriter
 from graphlake.plans.info import Layout
+from graphlake.sources.writer import VertexWriter
 
 V, S, D = names.VERTEX, names.SRC, names.DST
 KEY = ("person", "knows", "person")
@@ -108,3 +113,61 @@ def test_chains_without_hits_or_with_many(stored):
     many = people.with_label("high").narrow(most=2)
     assert many.chunks is None and many.count() == 51 and many.with_property(P("id") < 12).table().count() == 3
     assert people.narrow().count() == N
+
+
+def test_bitmaps_as_flags(spark, tmp_path):
+    """Across ends of buckets, for labels that nobody or everybody has, with bitmaps or without."""
+    size = 40_000
+    rows = spark.range(size).select(F.col("id").alias("key"), F.array_compact(F.array(F.lit("all"), F.when(F.col("id") % 7 == 0, F.lit("a")), F.when(F.col("id") % 5 == 0, F.lit("b")), F.when(F.col("id") == 32_768, F.lit("one")))).alias(names.LABELS))
+    writer = GraphWriter(spark).put_vertices("v", rows, "key", ("all", "a", "b", "one", "none"))
+    g = writer.write(writer.infer("g", f"{tmp_path}/", 16_384))
+    cases = [("a",), ("a", "b"), ("a", "b", "all"), ("one", "all"), ("none",), ("none", "a"), ("b", "one"), ("a", "a")]
+    plain = [sorted(r[0] for r in g.vertices("v").with_label(*x).ids().collect()) for x in cases]
+    either = sorted(r[0] for r in g.vertices("v").with_any_label("one", "a", "none").collect())
+    assert not g.vertex_reader("v").has_label_bitmaps() and plain[1] == list(range(0, size, 35))
+    g.add_label_bitmaps("v")
+    assert [sorted(r[0] for r in g.vertices("v").with_label(*x).ids().collect()) for x in cases] == plain
+    assert [g.vertices("v").with_label(*x).count() for x in cases] == list(map(len, plain))
+    assert sorted(r[0] for r in g.vertices("v").with_any_label("one", "a", "none").collect()) == either
+    read = g.vertices("v").with_label("a", "b").ids().inputFiles()
+    assert read and all("/label_bitmaps/" in f for f in read)  # no rows of flags
+    assert "PushedFilters: [In(label" in g.vertices("v").with_label("a", "b").ids()._jdf.queryExecution().toString()
+    counts = {r["label"]: r["n"] for r in labels.bitmap_counts(g.vertex_reader("v").label_bitmaps(), list(g.info.vertex("v").labels)).collect()}
+    assert counts == {"all": size, "a": -(-size // 7), "b": size // 5, "one": 1, "none": 0}
+    assert g.vertices("v").with_label("a").with_property(P("key") < 20).count() == 3
+    assert g.vertices("v").with_label("a").narrow().with_label("b").count() == len(plain[1])
+    with pytest.raises(MissingKeyError):
+        g.vertices("v").with_any_label("what")
+    VertexWriter(g.info.prefix, g.info.vertex("v"), g.vertices("v").table().withColumn(names.LABELS, F.array(F.lit("b")))).write()
+    assert not g.vertex_reader("v").has_label_bitmaps() and g.vertices("v").with_label("b").count() == size
+
+
+def footers(path):
+    """Encodings of each column over all Parquet files below a folder, and the files' bytes."""
+    found, total = {}, 0
+    for at in sorted(Path(path).rglob("chunk*")):
+        if at.is_file() and not at.name.endswith(".crc"):
+            total += at.stat().st_size
+            meta = pq.ParquetFile(at).metadata
+            for k in range(meta.num_row_groups):
+                for j in range(meta.num_columns):
+                    column = meta.row_group(k).column(j)
+                    found.setdefault(column.path_in_schema, set()).update(column.encodings)
+    return found, total
+
+
+def test_encodings_in_the_footers(spark, tmp_path):
+    people = spark.range(3_000).select(F.col("id").alias("key"), F.when(F.col("id") < 900, F.array(F.lit("x"))).alias(names.LABELS))
+    pairs = spark.range(60_000).select(F.pmod(F.hash("id"), F.lit(3_000)).cast("long").alias("s"), F.pmod(F.hash(-F.col("id")), F.lit(3_000)).cast("long").alias("d"), (F.col("id") % 3).cast("string").alias("kind"))
+    sizes = {}
+    for encoded in (False, True):
+        at = f"{tmp_path}/{encoded}"
+        writer = GraphWriter(spark).put_vertices("v", people, "key", ("x",)).put_edges(("v", "e", "v"), pairs)
+        g = writer.write(writer.infer("g", f"{at}/", 1_000, 20_000, layouts=(Layout.BY_SOURCE,)), encoded=encoded, options={"parquet": {"compression": "none"}})
+        adj, sizes[encoded] = footers(f"{at}/edge/v_e_v/ordered_by_source/adj_list")
+        flags, props = footers(f"{at}/vertex/v/labels")[0], footers(f"{at}/edge/v_e_v/ordered_by_source/kind")[0]
+        assert all(("DELTA_BINARY_PACKED" in adj[x]) == encoded for x in (S, D))
+        assert ("PLAIN" in flags["x"]) == (not encoded) and props["kind"] & {"PLAIN_DICTIONARY", "RLE_DICTIONARY"}
+        assert g.edge_reader(("v", "e", "v")).edges(add_index=False).join(pairs.toDF(S, D, "kind"), [S, D, "kind"], "left_anti").count() == 0
+        assert g.edge_reader(("v", "e", "v")).edges().count() == 60_000 and g.vertices("v").with_label("x").count() == 900
+    assert sizes[True] < 0.65 * sizes[False]
