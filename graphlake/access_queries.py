@@ -1,4 +1,7 @@
-"""Registered queries over stored graphs that read little of them: expansion through offsets, pruned chains of filters, bitmaps of labels."""
+"""Registered queries over stored graphs that read little of them: expansion through offsets, pruned chains of filters, bitmaps of labels.
+
+And over ones that grow or are checked: appended edges.
+"""
 
 from __future__ import annotations
 
@@ -92,3 +95,24 @@ def register(query: Callable, sql: dict[str, str], ids: Callable[[DataFrame], Da
             writer.put_edges(c.PLACES, c.places(spark, d), "o_custkey", "o_orderkey")
             writer.write(writer.infer("encoded", path, 500, 2_000, layouts=(Layout.BY_SOURCE,)), encoded=True, options={"parquet": {"compression": "snappy"}})
             return cut(ids(Graph.load(spark, f"{path}encoded.graph.yml").edge_reader(c.PLACES).edges(add_index=False)))
+
+    # ---- edges that are appended
+
+    def grown(*layouts: Layout) -> Callable[[SparkSession, str, str], Graph]:
+        """The shop with the orders of later years appended in two batches, the second of them twice."""
+
+        def store(spark: SparkSession, d: str, path: str) -> Graph:
+            writer = GraphWriter(spark).put_vertices("customer", c.customers(spark, d), "c_custkey", c.SEGMENTS).put_vertices("orders", c.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+            bought = c.places(spark, d)
+            year = F.year("o_orderdate")
+            writer.put_edges(c.PLACES, bought.filter(year < 1996), "o_custkey", "o_orderkey")
+            g = writer.write(writer.infer("grown", path, 500, 1_000, layouts=layouts))
+            for batch, rows in ((1, bought.filter(year == 1996)), (2, bought.filter(year > 1996)), (2, bought.filter(year > 1996))):
+                g.append_edges(c.PLACES, rows, batch)
+            return g
+
+        return store
+
+    over("edges_append", f"SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge, src, dst, o_totalprice, o_orderdate FROM {place}", grown(Layout.BY_SOURCE))(lambda g: g.edge_reader(c.PLACES).edges())
+    places_of = "(SELECT part, place FROM (SELECT unnest(range(((SELECT count(*) FROM customer) + 499) // 500)) AS part), (SELECT unnest(range(501)) AS place))"
+    over("edges_append_offsets", f"SELECT q.part, q.place, count(p.src) AS \"offset\" FROM {places_of} q LEFT JOIN {place} p ON p.src // 500 = q.part AND p.src % 500 < q.place GROUP BY ALL", grown(Layout.BY_SOURCE))(lambda g: g.edge_reader(c.PLACES).all_offsets())

@@ -17,6 +17,7 @@ from ..operators import expansion, index, labels
 from ..operators import layout as lay
 from ..operators.expansion import MOST_FILES, listed
 from ..session import cut
+from ..sources.appender import EdgeAppender
 from ..sources.fs import Files
 from ..sources.reader import EdgeReader, VertexReader
 from ..sources.writer import EdgeWriter, VertexWriter, write_label_bitmaps
@@ -279,6 +280,23 @@ class Graph:
         for key, by_layout in edges.items():
             next(iter(by_layout.values())).createOrReplaceTempView(names.SEPARATOR.join(key))
 
+    def append_edges(self, key: Triple, edges: DataFrame, batch: int | None = None, on_dangling: str = "drop", **settings: Any) -> dict[Layout, int]:
+        """Merges edges into all layouts of a type; how many each has then.
+
+        The ends are ids, or else keys of the stored vertices in the first two columns. A batch that is repeated, also
+        after a failure between two layouts, goes into each layout once.
+        """
+        info = self.info.edge(*key)
+        if names.SRC not in edges.columns:
+            keyed = [self.info.vertex(kind) for kind in (info.src_type, info.dst_type)]
+            maps = [index.mapping_of(self.vertex_reader(v.type).select([v.primary_key]), v.primary_key) for v in keyed]
+            edges = index.both_indexes(edges, *maps, on_dangling=on_dangling)
+        ids, out = cut(edges), {}
+        for adj in info.adj_lists:
+            aligned = info.src_type if adj.layout.by_source else info.dst_type
+            out[adj.layout] = EdgeAppender(self.spark, self.info.prefix, info, adj.layout, **settings).append(ids, self.vertex_reader(aligned).count(), batch)
+        return out
+
     def add_label_bitmaps(self, kind: str) -> Graph:
         """Writes bitmaps of a type's stored labels; no other file changes."""
         reader = self.vertex_reader(kind)

@@ -39,6 +39,17 @@ class Files:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def below(self, path: str) -> list[str]:
+        """Paths of all files below a folder, relative to it; none where it isn't there. Hidden files don't count."""
+        p, fs = self._at(path.rstrip("/"))
+        if not fs.exists(p):
+            return []
+        root, found = str(fs.makeQualified(p).toString()), []
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            found.append(str(files.next().getPath().toString())[len(root) + 1 :])
+        return sorted(f for f in found if not f.rsplit("/", 1)[-1].startswith((".", "_")))
+
     def delete(self, path: str) -> None:
         p, fs = self._at(path)
         fs.delete(p, True)

@@ -240,20 +240,24 @@ class EdgeReader(_Source):
             raise IndexRangeError(f"part {part} has no chunk {chunk}")
         return [at(part, chunk)] if n else []
 
-    def chunk_edges(self, chunks: Sequence[tuple[int, int]], columns: list[str] | None = None) -> DataFrame:
-        """Both ids and properties of some (part, chunk) pairs that are there; only their files are listed and read."""
+    def chunk_edges(self, chunks: Sequence[tuple[int, int]], columns: list[str] | None = None, keyed: bool = False) -> DataFrame:
+        """Both ids and properties of some (part, chunk) pairs that are there; only their files are listed and read.
+
+        keyed: with the keys of the rows.
+        """
         wanted = self.info.property_names if columns is None else columns
         kept = [(g, [c for c in g.names if c in wanted]) for g in self.info.groups]
         for c in wanted:
             self.info.group_of(c)
         if not chunks:
-            return self._finish(self._empty([*self._ends(), *(p.field for g, own in kept for p in g.properties if p.name in own)]), [names.SRC, names.DST, *wanted], False)
+            rows = self._empty([*self._ends(), *(p.field for g, own in kept for p in g.properties if p.name in own)])
+            return self._finish(rows, [names.SRC, names.DST, *wanted, *(KEYS if keyed else [])], False)
         rows = self._numbered([self.prefix + self.info.adj_path(self.layout, p, c) for p, c in chunks], self.adj.file_type, [names.SRC, names.DST], [])
         for g, own in kept:
             if own:
                 paths = [self.prefix + self.info.group_path(g, self.layout, p, c) for p, c in chunks]
                 rows = rows.join(self._numbered(paths, g.file_type, [], [p.field for p in g.properties]).select(*(f"`{c}`" for c in own), *KEYS), KEYS)
-        return self._finish(rows, [names.SRC, names.DST, *wanted], False)
+        return self._finish(rows, [names.SRC, names.DST, *wanted, *(KEYS if keyed else [])], False)
 
     def _finish(self, rows: DataFrame, columns: list[str], add_index: bool) -> DataFrame:
         """The columns, with the edge's id in front if asked for: its place in the layout."""

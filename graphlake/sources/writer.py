@@ -75,6 +75,22 @@ class _Sink:
         finally:
             self.files.delete(spare)
 
+    def _part_chunks(self, rows: DataFrame, spans: list[tuple[int, int, int]], file_type: str, target: str) -> None:
+        """A file for each chunk of rows with PART, CHUNK and POSITION; spans: part, first chunk and end, in the order of parts.
+
+        Chunks of all parts are numbered in one row; a span of each part is all that the driver knows of them.
+        """
+        ends = list(accumulate(end - first for _, first, end in spans))
+        starts = [(p, before - first) for (p, first, _), before in zip(spans, [0, *ends], strict=False)]
+        known = self.spark.createDataFrame(starts, f"{PART} long, {NUMBER} long")
+        numbered = rows.join(known if len(spans) > _BROADCAST_PARTS else F.broadcast(known), PART).withColumn(NUMBER, F.col(NUMBER) + F.col(CHUNK))
+
+        def name(number: int) -> str:
+            at = bisect_right(ends, number)
+            return f"part{spans[at][0]}/chunk{number - starts[at][1]}"
+
+        self._chunks(numbered.drop(PART, CHUNK), ends[-1] if ends else 0, [POSITION], file_type, target, name)
+
     def _save(self, rows: DataFrame, file_type: str, path: str, *by: str) -> None:
         stored = names.to_prefix(rows, self.column_prefix)
         encodings = parquet_encodings(stored) if self.encoded and file_type == "parquet" else {}
@@ -174,16 +190,8 @@ class EdgeWriter(_Sink):
         self._chunks(rows, len(self.counts), [place], self.adj.file_type, self.prefix + self.info.offset_path(self.layout), lambda p: f"chunk{p}")
 
     def _chunked(self, columns: list[str], file_type: str, target: str) -> None:
-        """Arranged rows by part and chunk; chunks of all parts are numbered in one row."""
-        ends = list(accumulate(lay.chunks(n, self.info.chunk_size) for n in self.counts))
-        starts = self.spark.createDataFrame(list(enumerate([0, *ends[:-1]])), f"{PART} long, {NUMBER} long")
-        rows = self.arranged.select(*(f"`{n}`" for n in columns), PART, CHUNK, POSITION).join(starts if len(ends) > _BROADCAST_PARTS else F.broadcast(starts), PART)
-
-        def name(number: int) -> str:
-            part = bisect_right(ends, number)
-            return f"part{part}/chunk{number - (ends[part - 1] if part else 0)}"
-
-        self._chunks(rows.withColumn(NUMBER, F.col(NUMBER) + F.col(CHUNK)).drop(PART, CHUNK), ends[-1] if ends else 0, [POSITION], file_type, target, name)
+        spans = [(p, 0, lay.chunks(n, self.info.chunk_size)) for p, n in enumerate(self.counts)]
+        self._part_chunks(self.arranged.select(*(f"`{n}`" for n in columns), PART, CHUNK, POSITION), spans, file_type, target)
 
     def write_adj_list(self) -> None:
         self._chunked([names.SRC, names.DST], self.adj.file_type, self.prefix + self.info.adj_path(self.layout))
