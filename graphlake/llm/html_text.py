@@ -29,22 +29,22 @@ RUN, MIN_PAGES, SHARD_PAGES = 8, 3, 256
 SLICE, BROADCAST_ROWS = 512, 20_000
 #: Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea select object canvas audio video title".split())
+RAW = set("script style noscript template iframe textarea select title".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROP = set("nav aside footer form menu dialog button head".split())
-MAIN_ROLES, DROP_ROLES = {"main", "article"}, set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar note form".split())
+DROP = set("nav aside footer form menu dialog head".split())
+MAIN_ROLES, DROP_ROLES = {"main", "article"}, set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar note form".split())
 DROP_NAMES = re.compile(
     r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|newsletter\w*|subscri\w*|signup|popup\w*|modal\w*|"
-    r"comment\w*|disqus\w*|respond|replies|reply|sidebar\w*|widget\w*|breadcrumb\w*|pagination|pager|menu\w*|nav|navbar\w*|navigation|topbar|"
-    r"footer\w*|masthead|site-?header|page-?header|login|toolbar)(?:$|[\s_-])",
+    r"comment\w*|disqus\w*|replies|reply|sidebar\w*|breadcrumb\w*|pagination|pager|menu\w*|nav|navbar\w*|navigation|topbar|"
+    r"footer\w*|masthead|site-?header|page-?header)(?:$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|$)", re.S)
+_IN_TAG = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _role(tag: str, attributes: str, in_main: bool) -> str:
@@ -54,7 +54,7 @@ def _role(tag: str, attributes: str, in_main: bool) -> str:
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     if found:
         role = found.get("role", "").lower()
-        if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")) or role in DROP_ROLES:
+        if role in DROP_ROLES:
             return "drop"
         names = f"{found.get('class', '')} {found.get('id', '')}"
         if tag not in ("body", "html", "main") and DROP_NAMES.search(names):
@@ -64,12 +64,52 @@ def _role(tag: str, attributes: str, in_main: bool) -> str:
     return "main" if tag in ("article", "main") else ""
 
 
+class _Tags:
+    """Where a page's tags end, in time that grows with the page, whatever quotes it leaves open.
+
+    A sign in a tag is looked up once for all tags that begin in the gap before it, and a quote at which no tag can go
+    on, as none of its kind follows, fails all tags that come to it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'"}
+        self.gap, self.sign = (0, -1), -1
+        self.failed: set[int] = set()
+
+    def _next(self, at: int) -> int:
+        """The first quote or > from a place on, or -1."""
+        if not self.gap[0] <= at <= self.gap[1]:
+            m = _IN_TAG.search(self.page, at)
+            self.sign = m.start() if m else -1
+            self.gap = (at, m.start() if m else len(self.page))
+        return self.sign
+
+    def end(self, at: int) -> int | None:
+        """The place of the > that ends a tag, the page's end if nothing does, None if a quote stays open: not a tag."""
+        seen = []
+        while True:
+            sign = self._next(at)
+            if sign < 0:
+                return len(self.page)
+            quote = self.page[sign]
+            if quote == ">":
+                return sign
+            seen.append(sign)
+            if sign in self.failed or sign == self.last[quote]:
+                self.failed.update(seen)
+                return None
+            at = self.page.find(quote, sign + 1) + 1
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(role, text) of the page's blocks in order; role: main, body or drop."""
+    """(role, text) of the page's blocks in order; role: main, body or drop. Time grows with the page, however it is made."""
     page = page or ""
+    tags = _Tags(page)
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
+    open_of: dict[str, int] = {}  # open elements by name
+    open_blocks: list[int] = []  # places of open blocks on the stack
     drops = mains = 0
 
     def flush() -> None:
@@ -81,7 +121,10 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
 
     def pop() -> None:
         nonlocal drops, mains
-        role = stack.pop()[1]
+        tag, role = stack.pop()
+        open_of[tag] -= 1
+        if tag in BLOCK:
+            open_blocks.pop()
         drops -= role == "drop"
         mains -= role == "main"
 
@@ -92,14 +135,25 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             text.append(page[at:])
             break
         text.append(page[at : m.start()])
-        at = m.end() if m.end() > m.start() else m.start() + 1
-        if not m[2] or not m[4]:  # a comment, a declaration, or a tag that the page's end cuts off
+        at = m.end()
+        if not m[2]:  # a comment or a declaration
+            continue
+        stop = tags.end(m.end())
+        if stop is None and m[1]:  # read like a comment
+            at = (page.find(">", at) + 1) or end
+            continue
+        if stop is None:
+            text.append("<")
+            at = m.start() + 1
             continue
+        attributes, at = page[m.end() : stop], stop + 1
+        if stop == end:  # a tag that the page's end cuts off
+            break
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if any(t == tag for t, _ in stack):
+            if open_of.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -107,7 +161,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         if tag in RAW:
             if tag in ("textarea", "select", "title"):
                 flush()
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
                 at = close.end() if close else end
             continue
@@ -118,18 +172,19 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             if tag == "body":
                 while stack:
                     pop()
-            for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, a list item the one before
+            if open_blocks:  # a block ends an open paragraph, a list item the one before
+                i = open_blocks[-1]
                 t = stack[i][0]
                 if t == "p" or (t == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
                     while len(stack) > i:
                         pop()
-                    break
-                if t in BLOCK:
-                    break
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            role = _role(tag, m[3], mains > 0)
+        if tag not in VOID and not attributes.rstrip().endswith("/"):
+            role = _role(tag, attributes, mains > 0)
             role = "main" if role == "main" and not drops else "drop" if role == "drop" else ""
+            if tag in BLOCK:
+                open_blocks.append(len(stack))
             stack.append((tag, role))
+            open_of[tag] = open_of.get(tag, 0) + 1
             drops += role == "drop"
             mains += role == "main"
     flush()

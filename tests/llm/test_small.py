@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -452,6 +453,22 @@ def test_blocks():
     assert html_text.main_text(html_text.blocks("<p title='a>b'>y</p>")) == "y"
 
 
+@pytest.mark.parametrize("made", ["<b>|</i>", "<a |\"", "<b>|<hr>", "<a \"x\" |'", "<a \"x' |", "</b |\"", "<li>|</p>", "<a \"|", "<title>|", "<!--|"])
+def test_malformed_pages_take_time_by_their_size(made):
+    """Pages of 1 MB whose tags or quotes stay open; 2 seconds of processor time are many times what they need."""
+    one, end = made.split("|")
+    n = 1_000_000 // len(one + end if len(end) > 1 else one)
+    page = "<p>begin</p>" + one * n + (end * n if len(end) > 1 else end) + "<p>end</p>"
+    began = time.process_time()
+    found = html_text.blocks(page)
+    assert time.process_time() - began < 2 and found[0] == ("body", "begin")
+
+
+def test_only_what_the_contract_names_goes():
+    page = "<article><p hidden>a</p><p aria-hidden='true'>b</p><button>c</button><div class='widget-x'>d</div><div id=respond>e</div><form>f</form><div class=cookie-bar>g</div><p>h</article>"
+    assert html_text.main_text(html_text.blocks(page)) == "a\nb\nc\nd\ne\nh"
+
+
 def test_repeats_of_a_host(spark):
     menu, foot = "Home News Sport Weather Travel Culture Music Film", "all rights reserved by the people who made this page"
     rows = [(i, f"http://h{'' if i % 5 else i}.org/{i}", f"<body><div>{menu}</div><p>{' '.join(words(12, i))}</p><div>{foot}</div></body>") for i in range(40)]
