@@ -1,6 +1,6 @@
 """Registered queries over stored graphs that read little of them: expansion through offsets, pruned chains of filters, bitmaps of labels.
 
-And over ones that grow or are checked: appended edges.
+And over ones that grow or are checked: appended edges, planted faults.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from . import catalog as c
 from . import names
 from .functions.expressions import Property as P
-from .operators import expansion, labels
+from .operators import expansion, labels, verify
 from .plans.graph import Graph, GraphWriter
 from .plans.info import Layout
 from .session import cut
+from .sources.fs import Files
 
 V = names.VERTEX
 #: Vertices and edges in a chunk of the stored samples.
@@ -116,3 +117,36 @@ def register(query: Callable, sql: dict[str, str], ids: Callable[[DataFrame], Da
     over("edges_append", f"SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge, src, dst, o_totalprice, o_orderdate FROM {place}", grown(Layout.BY_SOURCE))(lambda g: g.edge_reader(c.PLACES).edges())
     places_of = "(SELECT part, place FROM (SELECT unnest(range(((SELECT count(*) FROM customer) + 499) // 500)) AS part), (SELECT unnest(range(501)) AS place))"
     over("edges_append_offsets", f"SELECT q.part, q.place, count(p.src) AS \"offset\" FROM {places_of} q LEFT JOIN {place} p ON p.src // 500 = q.part AND p.src % 500 < q.place GROUP BY ALL", grown(Layout.BY_SOURCE))(lambda g: g.edge_reader(c.PLACES).all_offsets())
+
+    # ---- faults
+
+    def faulty(spark: SparkSession, d: str, path: str) -> Graph:
+        """The shop with an edge to no order, a count and an offset that are wrong, and one order too many in the count."""
+        orders, key = c.table(spark, d, "orders"), names.hidden("key")
+        bought = c.place_ids(spark, d).select(names.SRC, names.DST)
+        stray = spark.createDataFrame([(3, orders.count() + 7)], bought.schema)
+        writer = GraphWriter(spark).put_vertices("customer", c.customers(spark, d), "c_custkey", c.SEGMENTS).put_vertices("orders", orders.select("o_orderkey"), "o_orderkey").put_edges(c.PLACES, bought.union(stray))
+        g = writer.write(writer.infer("faulty", path, PART, CHUNK, layouts=(Layout.BY_SOURCE,)))
+        reader, files = g.edge_reader(c.PLACES), Files(spark)
+        offsets = reader.offsets(1).withColumn(key, F.col("place")).withColumn(names.OFFSET, F.col(names.OFFSET) + F.when(F.col("place") == 10, 1).otherwise(0))
+        offsets.repartition(1).sortWithinPartitions(key).select(names.OFFSET).write.parquet(f"{path}spare")
+        files.move(files.glob(f"{path}spare/part-*")[0], f"{path}{reader.info.offset_path(Layout.BY_SOURCE, 1)}")
+        files.write_count(f"{path}{reader.info.edge_count_path(Layout.BY_SOURCE, 1)}", reader.count(1) + 5)
+        files.write_count(f"{path}{g.info.vertex('orders').count_path()}", orders.count() + 1)
+        return Graph.load(spark, f"{path}faulty.graph.yml")
+
+    edge = f"'customer_places_orders:{Layout.BY_SOURCE.value}'"
+    before = lambda v: f"(SELECT count(*) FROM {place} WHERE src // {PART} = 1 AND src < {PART + v})"
+    some = f"{before(11)} > {before(10)}"
+    orders = "(SELECT count(*) FROM orders)"
+    planted = [
+        f"SELECT 'edge_end', {edge}, 0, (SELECT count(*) FROM {place} WHERE src <= 3) // {CHUNK}, 1, 0 WHERE true",
+        f"SELECT 'edge_count', {edge}, 1, NULL, {before(PART)} + 5, {before(PART)} WHERE true",
+        f"SELECT 'edges_begin', {edge}, 1, 10, {before(10)}, {before(10)} + 1 WHERE {some}",
+        f"SELECT 'edges_end', {edge}, 1, 9, {before(10)}, {before(10)} + 1 WHERE true",
+        f"SELECT 'edges_end', {edge}, 1, 10, {before(10)} + 1, {before(10)} WHERE NOT {some}",
+        f"SELECT 'offset_falls', {edge}, 1, 10, {before(10)}, {before(10)} + 1 WHERE NOT {some}",
+        f"SELECT 'vertex_rows', 'orders:o_orderkey/', {orders} // {PART}, NULL, {orders} % {PART}, {orders} % {PART} + 1 WHERE true",
+        f"SELECT 'vertex_last', 'orders:o_orderkey/', {orders} // {PART}, NULL, {orders} - 1, {orders} WHERE {orders} % {PART} > 0",
+    ]
+    over("verify_faults", f"SELECT what, type, part::BIGINT AS part, chunk::BIGINT AS chunk, found::BIGINT AS found, expected::BIGINT AS expected FROM ({' UNION ALL '.join(planted)}) t(what, type, part, chunk, found, expected)", faulty)(verify.faults)

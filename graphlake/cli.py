@@ -52,10 +52,19 @@ def show(path: str, vertex: str | None = None, edge: tuple[str, str, str] | None
     return yaml_io.dump_graph(info)
 
 
-def check(path: str) -> str:
+def check(path: str, data: bool = False, shown: int = 20) -> str:
+    """Says that the metadata is valid and, if asked for, that the files are as it says; else raises with the first faults."""
     info = _info(path)
     info.validate()
-    return f"{info.name}: {len(info.vertices)} vertex types, {len(info.edges)} edge types, valid"
+    said = f"{info.name}: {len(info.vertices)} vertex types, {len(info.edges)} edge types, valid"
+    if data:
+        from .operators.verify import faults
+        from .plans.graph import Graph
+
+        if found := faults(Graph.load(_spark(), path)).limit(shown + 1).collect():
+            raise GraphError("\n".join(["the files have faults:", *(f"{r['what']} of {r['type']}, part {r['part']}, chunk {r['chunk']}: {r['found']}, not {r['expected']}" for r in found[:shown]), *(["and more"] if len(found) > shown else [])]))
+        said += ", files sound"
+    return said
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -68,7 +77,9 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("-es", "--edge-src")
     one.add_argument("-e", "--edge")
     one.add_argument("-ed", "--edge-dst")
-    commands.add_parser("check", help="check the metadata").add_argument("-p", "--path", required=True)
+    one = commands.add_parser("check", help="check the metadata, and the files")
+    one.add_argument("-p", "--path", required=True)
+    one.add_argument("--data", action="store_true", help="read the files too")
     commands.add_parser("import", help="import data").add_argument("-c", "--config", required=True)
     args = parser.parse_args(argv)
     try:
@@ -78,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
                 raise GraphError("an edge type needs its source, its name and its destination")
             print(show(args.path, args.vertex, edge if all(edge) else None))
         elif args.command == "check":
-            print(check(args.path))
+            print(check(args.path, args.data))
         else:
             from .sources.importer import import_graph, load_config
 

@@ -101,6 +101,12 @@ class VertexReader(_Source):
     def all(self) -> DataFrame:
         return self.groups(list(self.info.groups))
 
+    def placed_ids(self, group: PropertyGroup | None) -> DataFrame:
+        """Ids in a group's files, or those of the labels (None), and `part`: the number of the chunk file that each is in."""
+        path = self.info.labels_path() if group is None else self.info.group_path(group)
+        rows = self._load(self.prefix + path, "parquet" if group is None else group.file_type, [names.VERTEX], [p.field for p in group.properties] if group and group.file_type == "csv" else [], {"file_path": _FILE})
+        return rows.select(names.VERTEX, F.regexp_extract(_FILE, r"chunk(\d+)$", 1).cast("long").alias("part"))
+
     def select(self, columns: list[str], where: Expression | None = None, chunks: Sequence[int] | None = None) -> DataFrame:
         """id and the columns, of all chunks or some; only the groups that hold them or what `where` needs are read, each with its own columns."""
         wanted = list(dict.fromkeys([*columns, *(sorted(where.properties()) if where is not None else [])]))
