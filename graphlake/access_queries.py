@@ -17,6 +17,7 @@ from .operators import expansion, labels, verify
 from .plans.graph import Graph, GraphWriter
 from .plans.info import Layout
 from .session import cut
+from .sources import datasource
 from .sources.fs import Files
 
 V = names.VERTEX
@@ -118,6 +119,19 @@ def register(query: Callable, sql: dict[str, str], ids: Callable[[DataFrame], Da
     places_of = "(SELECT part, place FROM (SELECT unnest(range(((SELECT count(*) FROM customer) + 499) // 500)) AS part), (SELECT unnest(range(501)) AS place))"
     over("edges_append_offsets", f"SELECT q.part, q.place, count(p.src) AS \"offset\" FROM {places_of} q LEFT JOIN {place} p ON p.src // 500 = q.part AND p.src % 500 < q.place GROUP BY ALL", grown(Layout.BY_SOURCE))(lambda g: g.edge_reader(c.PLACES).all_offsets())
 
+    # ---- as a data source
+
+    def source(g: Graph, **options: str) -> DataFrame:
+        datasource.register(g.spark)
+        return g.spark.read.format(datasource.NAME).options(**options).load(f"{g.info.prefix}{g.info.name}.graph.yml")
+
+    over("datasource_edges", f"SELECT src, dst, o_orderdate, o_totalprice FROM {place} WHERE src >= {PART + 50}", shop(Layout.BY_SOURCE))(
+        lambda g: source(g, edge=",".join(c.PLACES), layout=Layout.BY_SOURCE.value).filter(F.col(names.SRC) >= PART + 50)
+    )
+    over("datasource_vertices", f"SELECT id, c_name, c_acctbal FROM {cid} WHERE id < {PART} AND c_name > 'Customer#00000005'", shop())(
+        lambda g: source(g, vertex="customer", columns="c_name,c_acctbal").filter((F.col(V) < PART) & (F.col("c_name") > "Customer#00000005"))
+    )
+
     # ---- faults
 
     def faulty(spark: SparkSession, d: str, path: str) -> Graph:

@@ -11,15 +11,50 @@ from ..session import cut, cut_dealt
 V, S, D = names.VERTEX, names.SRC, names.DST
 #: Rounds of a loop between two cuts of the lineage.
 CUT_EVERY = 3
+#: Edges that a hub has at least.
+HUB = 100_000
+_HUB = "_hub"
 
 
 def _ids(edges: DataFrame, vertices: int) -> DataFrame:
     return edges.sparkSession.range(vertices).withColumnRenamed("id", V)
 
 
-def _dealt(edges: DataFrame, end: str) -> DataFrame:
-    """Edges dealt by one end to the session's number of partitions, which a checkpoint keeps; joins on it don't move them again."""
-    return edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), end)
+class _Links:
+    """Edges dealt by one end for joins with values of these ids in many rounds: a vertex cut.
+
+    Edges of most ids are dealt by the id, and a checkpoint keeps the dealing, so that a round moves the values only. An
+    id that has more edges than a task's share, and than HUB, is a hub: its edges are dealt evenly over all tasks, and
+    its value is broadcast to them. There are at most as many hubs as tasks.
+    """
+
+    def __init__(self, edges: DataFrame, end: str):
+        spark, self.end = edges.sparkSession, end
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = cut(edges)
+        degrees = rows.groupBy(F.col(end).alias(_HUB)).agg(F.count("*").alias("_n"))
+        share = max(HUB, (degrees.agg(F.sum("_n")).head()[0] or 0) // tasks)
+        hubs = cut(degrees.filter(F.col("_n") > share).select(_HUB))
+        self.hubs = None if hubs.isEmpty() else F.broadcast(hubs)
+        is_hub = F.col(end) == F.col(_HUB)
+        light = rows if self.hubs is None else rows.join(self.hubs, is_hub, "left_anti")
+        self.light = cut_dealt(light.repartition(tasks, end))
+        self.heavy = None if self.hubs is None else cut(rows.join(self.hubs, is_hub, "left_semi").repartition(tasks))
+
+    def meet(self, values: DataFrame) -> DataFrame:
+        """Edges with the values (a row for an id, in a column named as the end) of their ends; edges without any go."""
+        found = self.light.join(values, self.end)
+        if self.heavy is None:
+            return found
+        of_hubs = values.join(self.hubs, F.col(self.end) == F.col(_HUB), "left_semi")
+        return found.unionByName(self.heavy.join(F.broadcast(of_hubs), self.end))
+
+    def without(self, values: DataFrame, column: str) -> _Links:
+        """The edges whose other column isn't among the values."""
+        out = object.__new__(_Links)
+        out.end, out.hubs = self.end, self.hubs
+        out.light, out.heavy = (None if x is None else x.join(values, column, "left_anti") for x in (self.light, self.heavy))
+        return out
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -31,12 +66,13 @@ def pagerank(edges: DataFrame, vertices: int, rounds: int = 10, damping: float =
 
     Parallel edges count each. Messages are summed before the join with the vertices.
     """
-    pairs = cut_dealt(_dealt(edges, S).groupBy(S, D).agg(F.count("*").cast("double").alias("_w")))  # dealt by S once for all rounds
-    out = pairs.groupBy(F.col(S).alias(V)).agg(F.sum("_w").alias("_out"))
+    counted = cut(edges.groupBy(S, D).agg(F.count("*").cast("double").alias("_w")))
+    pairs = _Links(counted, S)
+    out = counted.groupBy(F.col(S).alias(V)).agg(F.sum("_w").alias("_out"))
     ranks = cut(_ids(edges, vertices).join(out, V, "left").withColumn("rank", F.lit(1.0 / vertices if vertices else 0.0)))
     for k in range(rounds):
         share = ranks.filter("_out is not null").select(F.col(V).alias(S), (F.col("rank") / F.col("_out")).alias("_share"))
-        got = pairs.join(share, S).groupBy(F.col(D).alias(V)).agg(F.sum(F.col("_share") * F.col("_w")).alias("_got"))
+        got = pairs.meet(share).groupBy(F.col(D).alias(V)).agg(F.sum(F.col("_share") * F.col("_w")).alias("_got"))
         new = damping * (F.coalesce("_got", F.lit(0.0)) + F.when(F.col("_out").isNull(), F.col("rank")).otherwise(0.0)) + (1 - damping) / vertices
         ranks = ranks.join(got, V, "left").select(V, "_out", new.alias("rank"))
         if (k + 1) % CUT_EVERY == 0 and k + 1 < rounds:
@@ -52,13 +88,13 @@ def _search(edges: DataFrame, vertices: int, root: int, pull: bool = False) -> D
     spark = edges.sparkSession
     if not 0 <= root < vertices:
         return spark.createDataFrame([], f"{V} long, distance int, father long")
-    links = cut_dealt(_dealt(edges.select(S, D).filter(F.col(S) != F.col(D)), D if pull else S).distinct())  # dealt once for all levels
+    links = _Links(edges.select(S, D).filter(F.col(S) != F.col(D)).distinct(), S)
     reached = spark.createDataFrame([(root, 0, root)], f"{V} long, distance int, father long")
     frontier, level = reached, 0
     while True:
         level += 1
-        open_links = links.join(reached.select(F.col(V).alias(D)), D, "left_anti") if pull else links
-        step = frontier.select(F.col(V).alias(S)).join(open_links, S).groupBy(F.col(D).alias(V)).agg(F.min(S).alias("father"))
+        open_links = links.without(reached.select(F.col(V).alias(D)), D) if pull else links
+        step = open_links.meet(frontier.select(F.col(V).alias(S))).groupBy(F.col(D).alias(V)).agg(F.min(S).alias("father"))
         frontier = cut(step.join(reached, V, "left_anti").select(V, F.lit(level).alias("distance"), "father"))
         if frontier.isEmpty():
             return reached
@@ -87,12 +123,13 @@ def bfs_tree(edges: DataFrame, vertices: int, root: int = 0) -> DataFrame:
 def weak_components(edges: DataFrame, vertices: int) -> DataFrame:
     """(id, component): the smallest id that edges lead to in either direction.
 
-    A vertex takes the smallest label around it and then that label's own label, so long chains halve each round.
+    A vertex takes the smallest label around it and then that label's own label, so long chains halve each round. Both
+    sides of that second join are plain tables, so the label that most vertices have is split by adaptive execution.
     """
-    links = cut_dealt(_dealt(both_ways(edges).filter(F.col(S) != F.col(D)), D).distinct())  # dealt once for all rounds
+    links = _Links(both_ways(edges).filter(F.col(S) != F.col(D)).distinct(), D)
     labels = _ids(edges, vertices).withColumn("component", F.col(V))
     while True:
-        near = links.join(labels.withColumnRenamed(V, D), D).groupBy(F.col(S).alias(V)).agg(F.min("component").alias("_near"))
+        near = links.meet(labels.withColumnRenamed(V, D)).groupBy(F.col(S).alias(V)).agg(F.min("component").alias("_near"))
         low = labels.join(near, V, "left").select(V, "component", F.least("component", "_near").alias("_low"))
         jump = labels.select(F.col(V).alias("_low"), F.col("component").alias("_jump"))
         new = cut(low.join(jump, "_low").select(V, F.least("_low", "_jump").alias("_new"), "component"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import names
 from ..errors import InvalidError, MissingKeyError
 from ..functions import scalars
+from ..session import ship
 
 
 def to_flags(df: DataFrame, labels: list[str], column: str = names.LABELS) -> DataFrame:
@@ -99,4 +100,5 @@ def ids_of(bitmaps: DataFrame) -> DataFrame:
                 at = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little"))
                 yield pa.RecordBatch.from_arrays([pa.array(at + bucket * BITS)], names=[names.VERTEX])
 
+    ship(bitmaps.sparkSession)
     return bitmaps.select(BUCKET, BITMAP).mapInArrow(run, f"{names.VERTEX} long")

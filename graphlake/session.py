@@ -1,8 +1,10 @@
-"""Checkpoints in the folder that the session names."""
+"""Checkpoints in the folder that the session names, and the package for Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,14 @@ from .errors import InvalidError
 _CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers of this machine find the package where the driver does; clusters get it as any dependency."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or the context's; where neither is set, a temporary one, on one machine only."""
     sc = spark.sparkContext
