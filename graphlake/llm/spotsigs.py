@@ -25,8 +25,9 @@ ANCHORS = (
 CHAIN = 2
 THRESHOLD = 0.8
 NOT_WORDS = r"[^\p{L}\p{N}]+"
-#: Documents that stand in one window to find each one's next, and windows at most.
-WINDOW_ROWS, MAX_WINDOWS = 256, 4_096
+#: Documents that stand in one window to find each one's next; windows grow in number with the documents, cut twice into
+#: this many parts at most (2^20 windows: about 100 MB of text each at 100 TB).
+WINDOW_ROWS, SPLITS = 256, 1_024
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -89,38 +90,63 @@ def alike(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.select("id_a", "id_b", likeness(F.col("_a"), F.col("_b")).alias("likeness")).filter(F.col("likeness") >= threshold - 1e-12)
 
 
-def _bucket(value: Column, bounds: list[int]) -> Column:
+def _bucket(value: Column, bounds: list[float]) -> Column:
     """How many of the sorted bounds are at most the value, by two short searches."""
     step = max(1, math.isqrt(len(bounds)))
     rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     full = [r + [None] * (step - len(r)) for r in rows]
-    literal = F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in full])
-    heads = F.array(*[F.lit(r[0]).cast("long") for r in rows])
+    literal = F.array(*[F.array(*[F.lit(x).cast("double") for x in r]) for r in full])
+    heads = F.array(*[F.lit(r[0]).cast("double") for r in rows])
     row = F.size(F.filter(heads, lambda b: b <= value))
     return F.when(row == 0, 0).otherwise((row - 1) * step + F.size(F.filter(F.element_at(literal, F.greatest(row, F.lit(1))), lambda b: b <= value)))
 
 
-def with_next(docs: DataFrame, columns: list[str], window_rows: int = WINDOW_ROWS, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def _along(doc_id: Column, tie: Column) -> Column:
+    """A number that never falls along (doc_id, tie), nulls first; it tells rows of one id apart where the id is below 2^53."""
+    share = tie.cast("double") / float(1 << 64) + 0.5
+    return F.when(doc_id.isNull(), (share - 2.0) * 1e300).otherwise(doc_id.cast("double") + share)
+
+
+def _windows(rows: DataFrame, window_rows: int, splits: int) -> DataFrame:
+    """Adds `_bucket`: the number of the window of about `window_rows` rows along `_along`, ascending with it.
+
+    Quantiles cut the rows into parts and each part again; at most `splits` each time. The driver holds the bounds of
+    the first cut, and those of the second are a table of one row per part (8 MB at most), checkpointed, as merged
+    quantiles depend on the order of tasks.
+    """
+    windows = max(1, rows.count() // window_rows)
+    if windows == 1:
+        return rows.withColumn("_bucket", F.lit(0).cast("long"))
+    outer = min(splits, math.isqrt(windows - 1) + 1)
+    inner = min(splits, -(-windows // outer))
+    shares = lambda k: [i / k for i in range(1, k)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("_along", shares(outer), 10_000)).first()[0] or [])) if outer > 1 else []
+    parted = rows.withColumn("_part", _bucket(F.col("_along"), bounds).cast("long") if bounds else F.lit(0).cast("long"))
+    if inner == 1:
+        return parted.withColumnRenamed("_part", "_bucket")
+    cuts = common.cut(parted.groupBy("_part").agg(F.percentile_approx("_along", shares(inner), 10 * inner).alias("_cuts")))
+    within = F.size(F.filter("_cuts", lambda b: b <= F.col("_along")))
+    return parted.join(F.broadcast(cuts), "_part").withColumn("_bucket", F.col("_part") * inner + within).drop("_part", "_cuts")
+
+
+def with_next(docs: DataFrame, columns: list[str], window_rows: int = WINDOW_ROWS, splits: int = SPLITS) -> DataFrame:
     """Adds `next_<c>` for each column: of the row with the next smaller doc_id, and after the smallest that of the largest.
 
-    Rows are cut by quantiles of the id into windows; the largest row of a window is also sent to the next higher one.
-    Null ids rank lowest. A single row is its own next.
+    Rows are cut by quantiles of (doc_id, `_tie`) into windows, so that rows of one id needn't share one; the largest row
+    of a window is also sent to the next higher one. Null ids rank lowest. A single row is its own next. Rows that are
+    equal in both are in one window, whatever their number, and next to each other.
     """
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    windows = min(max_windows, max(1, docs.count() // window_rows))
-    bounds: list[int] = []
-    if windows > 1:
-        shares = [i / windows for i in range(1, windows)]
-        bounds = sorted(set(own.agg(F.percentile_approx("_id", shares, 10_000)).first()[0] or []))
-    own = own.withColumn("_bucket", _bucket(F.col("_id"), bounds) if bounds else F.lit(0))
-    tops = own.groupBy("_bucket").agg(F.max("_id").alias("_top"))
-    everything = Window.orderBy("_bucket")  # over one row per window, of which there are max_windows at most
+    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    own = _windows(own.withColumn("_along", _along(F.col("_id"), F.col("_tie"))), window_rows, splits).drop("_along")
+    at = F.struct("_id", "_tie")
+    tops = own.groupBy("_bucket").agg(F.max(at).alias("_top"))
+    everything = Window.orderBy("_bucket")  # over one row per window, of which there are splits ** 2 at most
     above = F.lead("_bucket").over(everything)
     tops = tops.withColumn("_to", F.coalesce(above, F.first("_bucket").over(everything))).withColumn("_wraps", above.isNull())
-    sent = F.when(F.col("_id") == F.col("_top"), F.struct(F.col("_to").alias("to"), F.lit(True).alias("ghost"), F.col("_wraps").alias("wraps")))
+    sent = F.when(at.eqNullSafe(F.col("_top")), F.struct(F.col("_to").alias("to"), F.lit(True).alias("ghost"), F.col("_wraps").alias("wraps")))
     stays = F.struct(F.col("_bucket").alias("to"), F.lit(False).alias("ghost"), F.lit(False).alias("wraps"))
     placed = own.join(F.broadcast(tops), "_bucket").withColumn("_at", F.explode(F.filter(F.array(stays, sent), lambda x: x.isNotNull()))).drop("_bucket", "_top", "_to", "_wraps")
-    order = Window.partitionBy("_at.to").orderBy("_at.wraps", F.col("_id").desc(), F.col("_tie").desc())
+    order = Window.partitionBy("_at.to").orderBy("_at.wraps", F.col("_id").desc_nulls_last(), F.col("_tie").desc())
     out = placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return out.filter(~F.col("_at.ghost")).drop("_at", "_id")
 

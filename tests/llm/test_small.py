@@ -424,6 +424,26 @@ def test_edits_and_next(spark):
     assert spotsigs.fingerprint_edits(docs(spark, [(1, "a b")])).first()["edited"] == "a a"[:2] + "a"
 
 
+@pytest.mark.parametrize(("window_rows", "splits"), [(2, 1), (2, 4), (7, 3), (1, 50)])
+def test_next_rows_over_many_windows(spark, window_rows, splits):
+    """The next row in order, whatever the windows: gaps between ids, an id of many rows, null ids."""
+    rng = np.random.default_rng(window_rows)
+    rows = [(int(i), int(t)) for i, t in zip(np.cumsum(rng.integers(1, 10**6, 90)), rng.integers(-(1 << 62), 1 << 62, 90), strict=True)]
+    rows += [(77, int(t)) for t in rng.integers(-(1 << 62), 1 << 62, 60)] + [(None, int(t)) for t in rng.integers(-(1 << 62), 1 << 62, 40)] + [(-5, 1), (1 << 60, 2), (1 << 60, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, _tie long")
+    out = spotsigs.with_next(df, ["doc_id", "_tie"], window_rows, splits).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = sorted(map(repr, zip(order, order[1:] + order[:1], strict=True)))
+    assert sorted(repr(((r["doc_id"], r["_tie"]), (r["next_doc_id"], r["next__tie"]))) for r in out) == want
+
+
+def test_windows_hold_few_rows(spark):
+    """Windows stay small where one id has a third of all rows, and are cut twice."""
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id * id) AS doc_id", "xxhash64(id) AS _tie").withColumn("_along", spotsigs._along(F.col("doc_id"), F.col("_tie")))
+    sizes = [r["count"] for r in spotsigs._windows(df, 100, 1_024).groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) > 200 and max(sizes) < 500
+
+
 def test_similar_fingerprints(spark):
     rng = np.random.default_rng(9)
     sets = [sorted(set(rng.integers(0, 40, rng.integers(1, 14)).tolist())) for _ in range(120)]
