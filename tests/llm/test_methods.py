@@ -392,6 +392,26 @@ def test_lines_of_repeated_ids_as_in_sql(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())) and sum(r["n_dropped"] for r in got) == 5
 
 
+def test_passages_of_frequent_stretches(spark, monkeypatch):
+    """Stretches that are dealt as frequent ones give the rows that they give otherwise."""
+    rng = np.random.default_rng(23)
+    phrase = [f"p{x}" for x in range(70)]
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    table = docs(spark, [(i, " ".join(own(20) + (phrase if i % 3 else own(60)) + own(20))) for i in range(400)])
+    listed = lambda: sorted((r["doc_id"], r["class_id"], tuple(r["repeated"]), tuple(r["dropped"])) for r in passages.find(table).collect())
+    plain = listed()
+    assert sum(bool(r[2]) for r in plain) == 266
+    many = lambda rows, key: [r[0] for r in rows.groupBy(key).count().filter("count > 100").collect()]
+    asked = []
+    monkeypatch.setattr(passages, "_frequent", lambda rows, key: asked.append((key, many(rows, key))) or asked[-1][1])
+    assert listed() == plain and "run" in [key for key, often in asked if often]
+
+
+def test_frequent_keys_are_found(spark):
+    rows = spark.range(200_000).selectExpr("id AS text_id", "if(id % 3 = 0, 5, id) AS run")
+    assert passages._frequent(rows, "run") == [5] and passages._frequent(rows.filter("run <> 5"), "run") == []
+
+
 def test_passages_of_families_meet_in_blocks(spark):
     """Blocks give the pairs that the groups give, each once, though each pair shares many minima."""
     rng = np.random.default_rng(21)
