@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import names
+from .errors import InvalidError
 from .operators import index
 from .plans.graph import Graph, GraphWriter
 from .plans.info import Layout
@@ -82,6 +85,27 @@ def workspace(spark: SparkSession) -> Iterator[str]:
         Files(spark).delete(path)
 
 
+@contextlib.contextmanager
+def database(spark: SparkSession, path: str) -> Iterator[str]:
+    """The JDBC address in `spark.graphlake.jdbc.url`; where it is unset, of a database below `path`, in local sessions only.
+
+    The latter is the one whose driver Spark brings; it runs within the driver's process, which executors can't reach.
+    """
+    known = spark.conf.get("spark.graphlake.jdbc.url", None)
+    if known:
+        yield known
+        return
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise InvalidError("set spark.graphlake.jdbc.url to a database that all executors reach")
+    place = path.removeprefix("file:").rstrip("/")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
+    try:
+        yield f"jdbc:derby:{place}/db;create=true"
+    finally:
+        with contextlib.suppress(Py4JJavaError):  # it says by an error that it has stopped
+            spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{place}/db;shutdown=true")
+
+
 def store(spark: SparkSession, sf_dir: str, path: str, file_type: str = "parquet", layouts: tuple[Layout, ...] = (Layout.BY_SOURCE, Layout.BY_DEST), vertex_chunk: int = 500, edge_chunk: int = 2_000, with_edges: bool = True) -> Graph:
     """Customers (labelled), orders and the edges between them, written below a path."""
     labels = SEGMENTS if file_type != "csv" else SEGMENTS
