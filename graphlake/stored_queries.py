@@ -23,7 +23,7 @@ from .plans.graph import Graph, GraphWriter
 from .plans.info import AdjList, EdgeInfo, Layout, Property, PropertyGroup, VertexInfo
 from .session import cut
 from .sources.builders import VertexBuilder
-from .sources.connectors import Folder, export_database, import_database
+from .sources.connectors import Database, Folder, export_database, import_database
 from .sources.cursors import EdgeCursor, OffsetCursor, VertexCursor
 from .sources.importer import import_delimited, import_graph
 from .sources.reader import EdgeReader, VertexReader
@@ -282,6 +282,17 @@ def register(query: Callable, sql: dict[str, str], ids: Callable[[DataFrame], Da
             export_database(g, Folder(spark, f"{path}b"))
             return cut(spark.read.parquet(f"{path}b/customer_places_orders"))
 
+    @query("database_tables", "SELECT DISTINCT o_custkey AS src, o_orderkey AS dst, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice >= 150000")
+    def database_tables(spark, d):
+        """Vertices and edges written to a relational database, twice, and edges read back in parts by a filter that it applies."""
+        with c.workspace(spark) as path, c.database(spark, path) as url:
+            db = Database(spark, url)
+            for _ in range(2):
+                db.write_vertices(c.table(spark, d, "customer").select("c_custkey", "c_name"), "customer", "c_custkey")
+                db.write_edges(c.places(spark, d).select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), "o_totalprice"), *c.PLACES, "c_custkey", "o_orderkey")
+            known = db.read_vertices("customer", ["c_custkey"]).withColumnRenamed("c_custkey", "src")
+            return cut(db.read_edges(*c.PLACES, "c_custkey", "o_orderkey", ["o_totalprice"]).filter("o_totalprice >= 150000").join(known, "src").select("src", "dst", "o_totalprice"))
+
     # ---- analytics over stored layouts
 
     def follow_graph(spark: SparkSession, d: str, path: str) -> Graph:
