@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bloom, common
 
@@ -59,18 +60,19 @@ def _suspects(bitmap_of):
     def run(batches):
         bitmap = bitmap_of.value
         for batch in batches:
-            ids, found = [], []
-            for doc_id, text in zip(*(batch.column(n) for n in ("doc_id", "text")), strict=True):
+            ids, texts, found = [], [], []
+            for doc_id, text_id, text in zip(*(batch.column(n) for n in ("doc_id", "text_id", "text")), strict=True):
                 keys = line_keys(text.as_py())
                 own = {digest(keys[i]) for i in _suspected(keys, bitmap)}
                 found.extend(own)
                 ids.extend([doc_id.as_py()] * len(own))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(found, pa.binary())})
+                texts.extend([text_id.as_py()] * len(own))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text_id": pa.array(texts, pa.int64()), "key": pa.array(found, pa.binary())})
 
     return run
 
 
-def _rebuild(bitmap_of, names: list[str]):
+def _rebuild(bitmap_of):
     def run(batches):
         bitmap = bitmap_of.value
         for batch in batches:
@@ -85,29 +87,47 @@ def _rebuild(bitmap_of, names: list[str]):
                 kept.append("\n".join(x for i, x in enumerate(all_lines) if i not in gone))
                 lines.append(len(all_lines)), dropped.append(len(gone))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_dropped", "kept"]
+                [batch.column("_row"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=["_row", "n_lines", "n_dropped", "kept"]
             )
 
     return run
 
 
+def _drops(suspects: DataFrame, min_docs: int) -> DataFrame:
+    """(doc_id, text_id, key) of the suspected lines that go: keys of `min_docs` rows or more, outside of the largest doc_id.
+
+    Keys of more than a task's even share of the rows, of which there are fewer than tasks, are broadcast, so that their
+    rows stay where they are; the others are joined by shuffle.
+    """
+    exact = suspects.groupBy("key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keep"))
+    exact = common.cut(exact.filter(F.col("_n") >= min_docs))
+    tasks = int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col("_n") * tasks > suspects.count()
+    hot = F.broadcast(exact.filter(is_hot).select("key", "_keep"))
+    others = exact.filter(~is_hot).select("key", "_keep")
+    both = suspects.join(hot, "key").unionByName(suspects.join(hot, "key", "left_anti").join(others, "key"))
+    return both.filter(F.col("doc_id") < F.col("_keep")).select("doc_id", "text_id", "key")
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, the columns in `keep`, n_lines (before), n_dropped and the `kept` text.
 
     Keys of at least MIN_CHARS code points that `min_docs` rows hold lose all their lines but those in the rows of the
     largest doc_id. Null or empty text is one empty line. A null doc_id ranks below all others. Rows that repeat a
-    doc_id count as rows of their own and share what is dropped. The kept text of a null text is empty.
+    doc_id count as rows of their own and share what is dropped. The kept text of a null text is empty. An empty table
+    gives an empty result. Columns in `keep` may have any name but those of the result.
     """
     spark = docs.sparkSession
     bits = min(max_bits, max(MIN_BITS, common.pow2_at_least(docs.count() * BITS_PER_DOC)))
     bitmap = spark.sparkContext.broadcast(bloom.seen_twice(docs.select("text"), _batch_hashes, bits))
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id")
-    suspects = docs.select(ids, "text").mapInArrow(_suspects(bitmap), "doc_id long, key binary")
-    exact = suspects.groupBy("key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keep")).filter(F.col("_n") >= min_docs)
-    drops = suspects.join(exact, "key").filter(F.col("doc_id") < F.col("_keep"))
-    drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_drop"))
-    names = ["doc_id", *keep]
-    own = docs.select("doc_id", *keep, ids.alias("_own"), F.col("text").alias("_text"))
-    joined = own.join(drops, F.col("_own") == F.col("_id"), "left").select(*names, "_text", "_drop")
-    schema = ", ".join(f"`{n}` {joined.schema[n].dataType.simpleString()}" for n in names)
-    return joined.mapInArrow(_rebuild(bitmap, names), f"{schema}, n_lines long, n_dropped long, kept string")
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
+    # what goes is decided by key and doc_id alone, so a hash of the text only parts the rows of one id, or of none
+    text_id = F.xxhash64("text")
+    suspects = docs.select(ids.alias("doc_id"), text_id.alias("text_id"), "text").mapInArrow(_suspects(bitmap), "doc_id long, text_id long, key binary")
+    drops = _drops(common.cut(suspects), min_docs)
+    drops = drops.groupBy(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id")).agg(F.collect_set("key").alias("_drop"))
+    row = F.struct(*(F.col(f"`{n}`") for n in ("doc_id", *keep))).alias("_row")
+    own = docs.select(row, ids.alias("_own"), text_id.alias("_own_text"), F.col("text").alias("_text"))
+    joined = own.join(drops, (F.col("_own") == F.col("_id")) & (F.col("_own_text") == F.col("_text_id")), "left").select("_row", "_text", "_drop")
+    schema = T.StructType([joined.schema["_row"], *(T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped")), T.StructField("kept", T.StringType())])
+    return joined.mapInArrow(_rebuild(bitmap), schema).select("_row.*", "n_lines", "n_dropped", "kept")
