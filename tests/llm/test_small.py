@@ -153,11 +153,11 @@ def test_lines_against_plain(spark):
 
 
 def test_lines_of_hot_keys_and_any_names(spark):
-    """A line that a third of all rows have, and many that few have; ids that are null or repeated; names used inside."""
+    """A line that two thirds of all rows have, which is broadcast, and many that few have; ids that are null or repeated; names used inside."""
     rng = np.random.default_rng(29)
-    pool = [f"line number {i} of those that some documents share" for i in range(150)]
+    pool = [f"line number {i} of those that some documents share" for i in range(60)]
     hot = "a line that very many of the documents have, in all sources"
-    texts = [(None if i % 5 == 0 else i // 2, "\n".join([*rng.choice(pool, 2), *([hot] if i % 3 == 0 else [])])) for i in range(400)]
+    texts = [(None if i % 5 == 0 else i // 2, "\n".join([rng.choice(pool), *([hot] if i % 3 else [])])) for i in range(400)]
     names = ("_row", "_id", "_own", "_text", "_drop", "key", "text_id", "a.b c")
     table = docs(spark, texts).withColumns({c: F.col("n_chars") for c in names if "." not in c}).withColumn("a.b c", F.col("text"))
     held = defaultdict(list)
@@ -171,7 +171,7 @@ def test_lines_of_hot_keys_and_any_names(spark):
         want[(i, *[len(t)] * (len(names) - 1), t, len(lines), len(lines) - len(kept), "\n".join(kept))] += 1
     got = line_dedup.dedup_lines(table, keep=names)
     assert got.columns == ["doc_id", *names, "n_lines", "n_dropped", "kept"]
-    assert Counter(map(tuple, got.collect())) == want and {r[-2] for r in want} >= {0, 1, 2, 3}
+    assert Counter(map(tuple, got.collect())) == want and {r[-2] for r in want} == {0, 1, 2}
 
 
 def test_filter_lets_repeats_through():
