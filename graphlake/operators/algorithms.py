@@ -42,8 +42,12 @@ class _Links:
         self.heavy = None if self.hubs is None else cut(rows.join(self.hubs, is_hub, "left_semi").repartition(tasks))
 
     def meet(self, values: DataFrame) -> DataFrame:
-        """Edges with the values (a row for an id, in a column named as the end) of their ends; edges without any go."""
-        found = self.light.join(values, self.end)
+        """Edges with the values (a row for an id, in a column named as the end) of their ends; edges without any go.
+
+        Values go to the edges of their task, not through the driver: a loop of many rounds would leave it one broadcast
+        of them after the other.
+        """
+        found = self.light.join(values.hint("shuffle_hash"), self.end)
         if self.heavy is None:
             return found
         of_hubs = values.join(self.hubs, F.col(self.end) == F.col(_HUB), "left_semi")
@@ -91,16 +95,17 @@ def _search(edges: DataFrame, vertices: int, root: int, pull: bool = False) -> D
     links = _Links(edges.select(S, D).filter(F.col(S) != F.col(D)).distinct(), S)
     reached = spark.createDataFrame([(root, 0, root)], f"{V} long, distance int, father long")
     frontier, level = reached, 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         level += 1
         open_links = links.without(reached.select(F.col(V).alias(D)), D) if pull else links
         step = open_links.meet(frontier.select(F.col(V).alias(S))).groupBy(F.col(D).alias(V)).agg(F.min(S).alias("father"))
-        frontier = cut(step.join(reached, V, "left_anti").select(V, F.lit(level).alias("distance"), "father"))
+        frontier = cut(step.join(reached.hint("merge"), V, "left_anti").select(V, F.lit(level).alias("distance"), "father"))
         if frontier.isEmpty():
             return reached
         reached = reached.union(frontier)
         if level % CUT_EVERY == 0:
-            reached = cut(reached)
+            reached = cut(reached.coalesce(tasks))  # each union adds the frontier's partitions
 
 
 def bfs(edges: DataFrame, vertices: int, root: int = 0, pull: bool = False) -> DataFrame:

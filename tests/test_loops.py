@@ -64,3 +64,14 @@ def test_edges_of_a_hub_are_dealt_evenly(edges, monkeypatch):
     heavy, light = (sorted(df.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) for df in (links.heavy, links.light))
     assert sum(heavy) == 1_999 and heavy[-1] < 3 * max(1, heavy[len(heavy) // 2]) and sum(heavy) + sum(light) == len(set(STAR))
     assert links.hubs.count() == 1
+
+
+def test_rounds_leave_no_broadcasts_of_values_to_the_driver(spark, edges):
+    """Adaptive execution would turn each round's join into a broadcast through the driver, which keeps them for a while."""
+    values = spark.range(N).withColumnRenamed("id", S).repartition(3)
+    met = algo._Links(edges.distinct(), S).meet(values)
+    assert met.count() == edges.distinct().count()
+    counted = met.groupBy().count()
+    counted.collect()
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan
