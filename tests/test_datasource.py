@@ -85,3 +85,15 @@ def test_writes_give_files_their_names(spark, stored, tmp_path):
     with pytest.raises(Exception, match="several tasks"):
         people.select(names.VERTEX, "id", "name").repartition(4).write.format(datasource.NAME).mode("overwrite").option("vertex", "v").option("group", "id,name").save(f"{tmp_path}/g.graph.yml")
     assert g.vertex_reader("v").group(info.groups[0]).count() == N
+
+
+def test_many_small_chunks_share_partitions(stored, monkeypatch):
+    """Each chunk a task would cost more than its rows."""
+    reader = datasource.GraphReader(datasource._Table({"path": f"{stored.info.prefix}g.graph.yml", "edge": "v,e,v"}))
+    n = sum(stored.edge_reader(KEY).chunk_counts())
+    single = [b.to_pylist() for p in reader.partitions() for b in reader.read(p)]
+    assert len(reader.partitions()) == n > 6
+    monkeypatch.setattr(datasource, "MOST_PARTITIONS", 3)
+    assert len(reader.partitions()) <= 3 and [b.to_pylist() for p in reader.partitions() for b in reader.read(p)] == single
+    monkeypatch.setattr(datasource, "ROWS_SHARED", 1)  # large chunks stay alone
+    assert len(reader.partitions()) == n
