@@ -3,9 +3,11 @@
 import math
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -495,3 +497,37 @@ def test_passages_of_families_are_rows_of_texts(spark):
     for block, most in ((64, 6 * 150), (1_024, 2 * 150)):
         sides = passages._block_sides(df, whole, 50, 0.8, block)
         assert told(sides) == told(pairs) and 150 <= sides.count() <= most
+
+
+def test_a_task_holds_few_minima(monkeypatch):
+    """A task makes filters of its minima as it goes; what it has in two of them was seen twice."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 120)) for _ in range(40)]
+    texts += [f"{t} {i}" for i, t in enumerate(texts[::4])]
+    batches = [pa.record_batch({"doc_id": pa.array([i], pa.int64()), "text": [t]}) for i, t in enumerate(texts)]
+    parts, most, bits = passages.bloom.parts, [], 1 << 20
+    monkeypatch.setattr(passages.bloom, "parts", lambda seen, bits: most.append(sum(map(len, seen))) or parts(seen, bits))
+
+    def let_through() -> np.ndarray:
+        most.clear()
+        rows = [r for out in passages._first_pass(bits, 8, 50)(iter(batches)) for r in out.to_pylist()]
+        assert [r["doc_id"] for r in rows if r["segment"] is None] == list(range(50))
+        held = pa.RecordBatch.from_pylist([{n: r[n] for n in ("segment", "once", "twice")} for r in rows if r["segment"] is not None])
+        (out,) = passages.bloom._merge([held])
+        return np.frombuffer(zlib.decompress(out.column("twice")[0].as_py()), np.uint8)
+
+    whole = let_through()
+    assert len(most) == 1 and most[0] > 800
+    monkeypatch.setattr(passages.bloom, "HELD", 200)
+    divided = let_through()
+    assert len(most) > 3 and max(most) < 300 and (divided & whole == whole).all() and np.unpackbits(divided & ~whole).sum() < 100
+
+
+def test_blocks_are_small_where_much_is_near(spark, monkeypatch):
+    """Texts with much around their minima fill a block sooner; pairs stay the same."""
+    rows = [(7, 40, text, text, True, True, list(range(64 * 40)), 0, 0) for text in range(40)]
+    df = spark.createDataFrame(rows, passages._OPEN).repartition(2)
+    one = passages._in_blocks(df, 1_024).count()
+    pairs = sorted(map(tuple, passages._block_pairs(df).collect()))
+    monkeypatch.setattr(passages, "NEAR_BYTES", 40 * 64 * 40)
+    assert one == 1 and passages._in_blocks(df, 1_024).count() > 3 and sorted(map(tuple, passages._block_pairs(df).collect())) == pairs
