@@ -135,3 +135,20 @@ def test_append_to_an_empty_layout(spark, tmp_path):
     other = empty.write(replace(g.info, prefix=f"{tmp_path}/empty/"))
     other.append_edges(KEY, spark.createDataFrame(OLD, SCHEMA).withColumn("extra", F.lit(1)))
     assert state(other.edge_reader(KEY)) == state(g.edge_reader(KEY))
+
+
+def test_files_of_mounted_folders_move_without_hadoop(spark, tmp_path, monkeypatch):
+    """A file, and Hadoop's sum of it, take the place of another; counts are written and read in one go."""
+    files, at = Files(spark), f"file://{tmp_path}"
+    files.write_counts([(f"{at}/a/n{k}", 10 * k) for k in range(3)])
+    assert files.read_counts([f"{at}/a/n{k}" for k in range(5)]) == [0, 10, 20, 0, 0] and files.read_count(f"{at}/a/n2") == 20
+    for name in ("a/.n1.crc", "a/.n2.crc"):
+        (tmp_path / name).write_text(name)
+    monkeypatch.setattr(Files, "_at", lambda *_: pytest.fail("asks Hadoop"))
+    assert files.below(f"{at}/a/") == ["n0", "n1", "n2"] and files.below(f"{at}/x") == []
+    files.move(f"{at}/a/n2", f"{at}/b/c/n")
+    files.move(f"{at}/a/n1", f"{tmp_path}/a/n0")
+    assert sorted(f.relative_to(tmp_path).as_posix() for f in tmp_path.rglob("*") if f.is_file()) == ["a/.n0.crc", "a/n0", "b/c/.n.crc", "b/c/n"]
+    assert files.read_counts([f"{at}/a/n0", f"{at}/b/c/n"]) == [10, 20]
+    files.write_counts([(f"{at}/a/n0", 7)])
+    assert not (tmp_path / "a/.n0.crc").exists() and files.read_count(f"{at}/a/n0") == 7
