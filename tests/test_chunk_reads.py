@@ -61,3 +61,19 @@ def test_a_group_without_a_chunk_is_an_error(stored):
             reader.edges().agg(F.count("w")).collect()
     finally:
         reader.files.move(f"{path}-away", path)
+
+
+def test_what_tasks_read_is_not_broadcast(stored, monkeypatch):
+    """The planner doesn't take it for as small as the chunks' numbers: not at first, nor from an exchange of these once that has run."""
+    monkeypatch.setattr(chunk_reads, "FEW_FILES", 0)
+    reader = stored[0].edge_reader(KEY)
+    for rows in (reader.edges(add_index=False), reader.edges(add_index=False, parts=range(0, 3)), reader.chunk_edges([(0, 0), (0, 1)]), reader.all_offsets(), reader.all_offsets([0, 2])):
+        plan = rows._jdf.queryExecution()
+        assert int(plan.optimizedPlan().stats().sizeInBytes()) > 1 << 40
+        assert "MapInArrow" in plan.executedPlan().toString() and "Exchange" not in plan.executedPlan().toString()
+
+
+def test_few_chunks_are_left_to_spark(stored):
+    g, _, _ = stored
+    few, many = (g.edge_reader(KEY).chunk_edges([(0, 1), (2, 0)] * n, ["w"]) for n in (1, chunk_reads.FEW_FILES))
+    assert len(few.inputFiles()) == 4 and many.inputFiles() == []
